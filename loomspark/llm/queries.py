@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import quality
+from loomspark.llm import language, quality, urls
 from loomspark.sources.tables import table
 
 
@@ -16,7 +16,34 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identified(docs.select("doc_id", "text"), language.fitted_on(docs))
+    return found.select("doc_id", (language.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op9_sql() -> str:
+    """The host rules, and the globs as patterns of SIMILAR meaning over the canonical URL."""
+    whole = "lower(regexp_extract(url, '^(.*?)://', 1)) || '://' || host || regexp_replace(substr(url, strpos(url, '://') + 3 + length(host)), '#.*$', '')"
+    globs = " OR ".join(f"canon GLOB '{g}'" for g in urls.BLOCK_GLOBS)
+    fits = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
+    ordered = sorted(urls.HOST_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
+    return f"""
+    WITH a AS (SELECT page_id, coalesce(url, '') AS url, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)) AS host,
+                      regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    b AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN {whole} ELSE url END AS canon FROM a)
+    SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM b"""
+
+
 QUERIES = {
+    "op7_language_id": (op7_language_id, None),
+    "op9_url_filters": (op9_url_filters, _op9_sql()),
     "op3_quality_rules": (op3_quality_rules, None),
 }
 
