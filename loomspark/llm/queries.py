@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import language, quality, urls
+from loomspark.llm import language, quality, secrets, urls
 from loomspark.sources.tables import table
 
 
@@ -41,7 +41,19 @@ def _op9_sql() -> str:
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM b"""
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_found", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
+        F.sha2(secrets.as_text(F.col("base_found")), 256).alias("base_sha256"),
+        secrets.as_text(F.col("all_found")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op10_secret_scan": (op10_secret_scan, None),
     "op7_language_id": (op7_language_id, None),
     "op9_url_filters": (op9_url_filters, _op9_sql()),
     "op3_quality_rules": (op3_quality_rules, None),
