@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import language, quality, secrets, urls
+from loomspark.llm import language, licences, pii, quality, secrets, urls
 from loomspark.sources.tables import table
 
 
@@ -52,7 +52,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.loomspark.pii.key", "set spark.loomspark.pii.key to a secret of your own")
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key)
+
+
 QUERIES = {
+    "op1_license_scan": (op1_license_scan, licences.duckdb_sql()),
+    "op5_pii_pseudonyms": (op5_pii_pseudonyms, None),
     "op10_secret_scan": (op10_secret_scan, None),
     "op7_language_id": (op7_language_id, None),
     "op9_url_filters": (op9_url_filters, _op9_sql()),
