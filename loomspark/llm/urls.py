@@ -60,7 +60,7 @@ class GlobAutomaton:
 
     def __init__(self, globs):
         chars, starts, free, loops, ends = [], [], [], [], []
-        self.always, self.n = [], len(globs)
+        self.always, self.blank, self.n = [], [], len(globs)
         for g, glob in enumerate(globs):
             begin = len(chars)
             for i, c in enumerate(glob):
@@ -74,7 +74,7 @@ class GlobAutomaton:
                         free.append(begin)
                 chars.append(c)
             if len(chars) == begin:
-                self.always.append(g)  # only stars (or nothing) in it
+                (self.always if glob else self.blank).append(g)  # only stars, or nothing, in it
             else:
                 ends.append((len(chars) - 1, g))
         self.words = max(1, -(-len(chars) // 64))
@@ -115,6 +115,7 @@ class GlobAutomaton:
             state[:alive] = (moved & self.table[codes[begin[:alive] + t]]) | (now & self.loop)
         out = np.zeros((len(texts), self.n), bool)
         out[:, self.always] = True
+        out[np.ix_(lengths == 0, self.blank)] = True
         for bit, g in self.ends:
             out[order, g] = (state[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) != 0
         return out
