@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import language, licences, pii, quality, secrets, urls
+from loomspark.llm import decontam, language, licences, pii, quality, secrets, urls
 from loomspark.sources.tables import table
 
 
@@ -61,7 +61,14 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"), key)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
+    "op2_decontamination": (op2_decontamination, None),
     "op1_license_scan": (op1_license_scan, licences.duckdb_sql()),
     "op5_pii_pseudonyms": (op5_pii_pseudonyms, None),
     "op10_secret_scan": (op10_secret_scan, None),
