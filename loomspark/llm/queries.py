@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, language, licences, pii, quality, secrets, urls
+from loomspark.llm import decontam, language, licences, packing, pii, quality, secrets, urls
 from loomspark.sources.tables import table
 
 
@@ -67,7 +67,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), packing.tokenizer_path())
+
+
 QUERIES = {
+    "op6_packing": (op6_packing, None),
     "op2_decontamination": (op2_decontamination, None),
     "op1_license_scan": (op1_license_scan, licences.duckdb_sql()),
     "op5_pii_pseudonyms": (op5_pii_pseudonyms, None),
