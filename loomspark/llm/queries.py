@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, language, licences, packing, pii, quality, secrets, urls
+from loomspark.llm import decontam, language, licences, packing, pii, quality, secrets, sharding, urls
 from loomspark.sources.tables import table
 
 
@@ -71,7 +71,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.balanced(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op8_sharding": (op8_sharding, None),
     "op6_packing": (op6_packing, None),
     "op2_decontamination": (op2_decontamination, None),
     "op1_license_scan": (op1_license_scan, licences.duckdb_sql()),
