@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, language, licences, packing, pii, quality, secrets, sharding, urls
+from loomspark.llm import decontam, language, licences, neardup, packing, pii, quality, secrets, sharding, urls
 from loomspark.sources.tables import table
 
 
@@ -76,7 +76,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keeps")
+
+
 QUERIES = {
+    "op4_minhash_dedup": (op4_minhash_dedup, None),
     "op8_sharding": (op8_sharding, None),
     "op6_packing": (op6_packing, None),
     "op2_decontamination": (op2_decontamination, None),
