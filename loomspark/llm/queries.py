@@ -94,6 +94,15 @@ QUERIES = {
 }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = (pipeline, None)
+
+
 def queries() -> dict:
     return {name: query for name, (query, _) in QUERIES.items()}
 
