@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from loomspark.plans import retrieval
+
+MODULES: tuple = (retrieval,)
 
 
 def queries() -> dict:
