@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import retrieval
+from loomspark.plans import logs, retrieval
 
-MODULES: tuple = (retrieval,)
+MODULES: tuple = (retrieval, logs)
 
 
 def queries() -> dict:
