@@ -30,10 +30,10 @@ def nearest_rank(rows: DataFrame, by: str, value: str, percents: tuple[int, ...]
     return at_ranks(rows, by, value, {f"p{p}": F.ceil(F.col("n") * p / 100) for p in percents})
 
 
-def rolling_mean(rows: DataFrame, by: str, order: str, value: str, before: int = 20) -> DataFrame:
-    """rows with the mean of each one and up to ``before`` rows ahead of it in its group, 2 decimals."""
+def rolling_mean(rows: DataFrame, by: str, order: str, value: str, before: int = 20, digits: int = 2) -> DataFrame:
+    """rows with the mean of each one and up to ``before`` rows ahead of it in its group."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(-before, 0)
-    return rows.withColumn("rolling", F.round(F.avg(value).over(w), 2))
+    return rows.withColumn("rolling", F.round(F.avg(value).over(w), digits))
 
 
 def capped(rows: DataFrame, by: str, newest: list[Column], keep: int) -> DataFrame:

@@ -22,7 +22,7 @@ def latency_percentiles_by_user(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_avg(spark: SparkSession, d: str) -> DataFrame:
-    return logs.rolling_mean(table(spark, d, "events"), "user_id", "event_id", "value").select("event_id", "user_id", "rolling")
+    return logs.rolling_mean(table(spark, d, "events"), "user_id", "event_id", "value", digits=6).select("event_id", "user_id", "rolling")
 
 
 def capped_log(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ QUERIES = {
     "latency_percentiles": (latency_percentiles, "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type"),
     "latency_percentiles_by_user": (latency_percentiles_by_user, """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM events)
         SELECT user_id, count(*) AS n, min(value) FILTER (k = ceil(c * 50 / 100.0)) AS p50, min(value) FILTER (k = ceil(c * 90 / 100.0)) AS p90, min(value) FILTER (k = ceil(c * 95 / 100.0)) AS p95 FROM r GROUP BY user_id"""),
-    "rolling_avg": (rolling_avg, "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) + 1e-9, 2) AS rolling FROM events"),
+    "rolling_avg": (rolling_avg, "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events"),
     "capped_log": (capped_log, "SELECT event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 50"),
     "cache_eviction": (cache_eviction, "SELECT doc_id, source, length(text) AS bytes, row_number() OVER w <= 30 AND sum(length(text)) OVER w <= 60000 AS kept FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)"),
     "activity_feed": (activity_feed, """SELECT * FROM (SELECT 'event' AS kind, event_id AS id, ts, event_type AS title FROM events UNION ALL SELECT 'order', o_orderkey, o_orderdate, o_orderstatus FROM orders UNION ALL SELECT 'share', o_orderkey, o_orderdate, NULL FROM orders WHERE o_orderkey % 5 = 0) WHERE ts IS NOT NULL ORDER BY ts DESC, kind, id LIMIT 200"""),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import logs, retrieval
+from loomspark.plans import graphs, logs, retrieval
 
-MODULES: tuple = (retrieval, logs)
+MODULES: tuple = (retrieval, logs, graphs)
 
 
 def queries() -> dict:
