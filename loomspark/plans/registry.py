@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import graphs, logs, retrieval
+from loomspark.plans import graphs, logs, retrieval, review
 
-MODULES: tuple = (retrieval, logs, graphs)
+MODULES: tuple = (retrieval, logs, graphs, review)
 
 
 def queries() -> dict:
