@@ -22,6 +22,11 @@ from loomspark.session import checkpointed
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: A pair of a band's group is verified if its signatures' share of equal coordinates is within this of the similarity asked
+#: for: 2.2 standard errors at 120 coordinates.
+MARGIN = 0.08
+#: Documents outside the main component of a band's group, and documents of the group, that one task compares.
+BLOCK_OUT, BLOCK_ALL = 1_000, 4_000
 #: Up to so many documents of candidate pairs are named to all tasks at once (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 
@@ -112,7 +117,7 @@ def signatures(units: np.ndarray, of: np.ndarray, n: int, k: int = BANDS * ROWS)
             again = np.isin(of, empty)
             active, who = units[again], of[again]
             continue
-        square = mixed(active + U(rank + 1) * U(0xA24BAED4963EE407))
+        square = mixed(active + U((rank + 1) * 0xA24BAED4963EE407 % 2**64))
         chance = square.astype(np.float64) / 2.0**64
         left, owner = square, who
         for number, more in enumerate(_MORE):
@@ -120,7 +125,7 @@ def signatures(units: np.ndarray, of: np.ndarray, n: int, k: int = BANDS * ROWS)
             if not hit.any():
                 break
             left, owner, chance = left[hit], owner[hit], chance[hit]
-            dart = mixed(left + U(number + 1) * U(0x9FB21C651E98DF25))
+            dart = mixed(left + U((number + 1) * 0x9FB21C651E98DF25 % 2**64))
             coordinate = (dart >> U(44)) % U(k)
             value = (U(min(rank, 2**15)) << U(48)) | (dart & U(0xFFFFFFFFFFFF))  # rank in whole, then its fraction
             np.minimum.at(best, owner * k + coordinate.astype(np.int64), value)
@@ -147,7 +152,8 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), c (digest of its words), b0 ... (band keys; null without words) of each row."""
+    """doc_id, h (hash of the text), c (digest of its words), w (units of weight), sig (a byte of each coordinate), b0 ... (band
+    keys; null without words) of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +162,15 @@ def sketched(docs: DataFrame) -> DataFrame:
                 best, some = signatures(units, of, part.num_rows)
                 keys = band_keys(best)
                 columns = [pa.array(keys[:, j], mask=~some) for j in range(BANDS)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(digest.view(np.int64)), *columns], names)
+                low = (best & U(255)).astype(np.uint8)
+                sig = pa.array([row.tobytes() for row in low], pa.binary())
+                weight = pa.array(np.bincount(of, minlength=part.num_rows).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(digest.view(np.int64)), weight, sig, *columns], names)
 
-    names = ["doc_id", "h", "c", *[f"b{j}" for j in range(BANDS)]]
+    names = ["doc_id", "h", "c", "w", "sig", *[f"b{j}" for j in range(BANDS)]]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(sketch, ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(sketch, ", ".join(f"{n} {'binary' if n == 'sig' else 'long'}" for n in names))
 
 
 def similarity(first: list[str], second: list[str]) -> np.ndarray:
@@ -203,41 +212,90 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, firsts: DataFrame) -> DataFrame
     return found.select("c", "text").dropDuplicates(["c"])
 
 
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """key, band, c, lead: the documents of each group that a band puts together, and the group's most central one, which shares
+    groups with most others."""
+    keys = F.array(*[F.col(f"b{j}") for j in range(BANDS)])
+    banded = nodes.where(F.col("b0").isNotNull()).select("c", F.posexplode(keys).alias("band", "key"))
+    groups = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    rows = checkpointed(banded.join(groups, "key"))
+    central = rows.groupBy("c").agg(F.sum("members").alias("near"))
+    lead = rows.join(central, "c").groupBy("key").agg(F.max(F.struct("near", "c")).alias("x")).select("key", F.col("x.c").alias("lead"))
+    return checkpointed(rows.join(lead, "key").select("key", "band", "c", "lead"))
+
+
+def _likely(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of different components in a group, one of them at least outside the component of the group's lead, whose
+    signatures and weights allow the similarity. Each pair comes once, from the first band that it shares."""
+    named = members.join(labels.withColumnRenamed("v", "c"), "c", "left").select("key", "band", "c", "lead", F.coalesce("comp", "c").alias("comp"))
+    main = named.where("c = lead").select("key", F.col("comp").alias("main"))
+    named = checkpointed(named.join(main, "key").select("key", "band", "c", "lead", "comp", (F.col("comp") != F.col("main")).alias("out")))
+    split = named.groupBy("key").agg(F.count_if("out").alias("n_out"), F.count("*").alias("n")).where("n_out > 0")
+    rows = checkpointed(named.join(split, "key").join(nodes.select("c", "w", "sig"), "c"))
+    packs = max(1, rows.count() // (5 * BLOCK_ALL))
+    # Small groups share tasks; a large one is cut into blocks of outsiders and blocks of all.
+    small = F.col("n") <= BLOCK_ALL // 20
+    outs, alls = F.ceil(F.col("n_out") / BLOCK_OUT).cast("int"), F.ceil(F.col("n") / BLOCK_ALL).cast("int")
+    pack = F.when(small, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))
+    rows = rows.select("*", pack.alias("pack"), outs.alias("outs"), alls.alias("alls"))
+    mine = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ("key", "band", "c", "lead", "comp", "out", "w", "sig", "pack")
+    left = rows.where("out").select(*own, F.lit(True).alias("asks"), mine("outs").alias("i"), every("alls").alias("j"))
+    right = rows.select(*own, F.lit(False).alias("asks"), every("outs").alias("i"), mine("alls").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        get = lambda name: table.column(name).to_numpy(zero_copy_only=False)
+        key, c, lead, comp, out, w, asks, band = map(get, ("key", "c", "lead", "comp", "out", "w", "asks", "band"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(c), -1)
+        found = []
+        marks = np.flatnonzero(np.diff(key)) + 1
+        for a, b in zip([0, *marks], [*marks, len(c)], strict=True):
+            ask, all_ = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+            for o in ask:
+                d = all_[(comp[all_] != comp[o]) & (c[all_] != lead[o]) & (~out[all_] | (c[all_] > c[o]))]
+                d = d[np.minimum(w[d], w[o]) >= least * np.maximum(w[d], w[o])]
+                same = sig[d] == sig[o]
+                near = same.mean(1) >= least - MARGIN
+                d, same = d[near], same[near]
+                if len(d):  # the pair belongs to the first band that it shares
+                    first = same.reshape(len(d), BANDS, ROWS).all(2).argmax(1)
+                    found.append(np.stack((np.minimum(c[d], c[o]), np.maximum(c[d], c[o])), 1)[first == band[o]])
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return left.unionByName(right).groupBy("pack", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: doc_id, h (hash of the text), class_id, class_size, keeps.
 
-    Texts with the same words are copies and stand in for each other; of the others each pair that shares a band and is
-    at least so similar is a link; classes are the components. In a band's group all texts meet its least one; where that
-    leaves more than one component in a group, texts outside the least one's component meet all of the others too, so
-    no link of a shared band is lost and a group of copies costs no more than its size. class_id is the least doc_id of the class (null if
+    Texts with the same words are copies and stand in for each other. Of the others, those that share a band are a group;
+    a pair of a group that is at least so similar is a link, and classes are the components of links. All of a group meet its
+    most central document. What that leaves outside the central document's component meets all others of the group by
+    signature, block by block, and by text where the signatures come near enough. So a group of copies costs no more
+    than its size, and no more pairs leave a task than are likely links. class_id is the least doc_id of the class (null if
     it has none), class_size counts rows, keeps tells the one document that stays (repeated rows of it all say so). A null
     text is an empty one; texts without words are copies of equal texts alone.
     """
     rows = checkpointed(sketched(docs))
     keys = [f"b{j}" for j in range(BANDS)]
-    nodes = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("x"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in keys])
-    nodes = checkpointed(nodes.select("c", F.col("x.doc_id").alias("doc_id"), F.col("x.h").alias("h"), "n", *keys))
+    nodes = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("x"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("w", "sig", *keys)])
+    nodes = checkpointed(nodes.select("c", F.col("x.doc_id").alias("doc_id"), F.col("x.h").alias("h"), "n", "w", "sig", *keys))
     firsts = nodes.select("c", "doc_id", "h")
-    banded = nodes.where(F.col("b0").isNotNull()).select("c", F.explode(F.array(*keys)).alias("key"))
-    groups = banded.groupBy("key").agg(F.min("c").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = checkpointed(banded.join(groups, "key").select("key", "least", "c"))
+    members = _grouped(nodes)
 
     def met(pairs):
         ends = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
-        return verified(pairs, _texts_of(docs, ends, firsts), least)
+        return checkpointed(verified(pairs, _texts_of(docs, ends, firsts), least))
 
-    stars = checkpointed(members.where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b")).distinct())
-    edges = checkpointed(met(stars))
+    stars = checkpointed(members.where("c <> lead").select(F.least("lead", "c").alias("a"), F.greatest("lead", "c").alias("b")).distinct())
+    edges = met(stars)
     labels = components(edges)
-    named = members.join(labels.withColumnRenamed("v", "c"), "c", "left").select("key", "least", "c", F.coalesce("comp", "c").alias("comp"))
-    named = checkpointed(named)
-    main = named.where("c = least").select("key", F.col("comp").alias("main"))
-    apart = named.join(main, "key").where("comp <> main").select("key", F.col("c").alias("b"), F.col("comp").alias("comp_b"))
-    others = named.join(apart.select("key").distinct(), "key", "left_semi")
-    cross = others.join(apart, "key").where((F.col("comp") != F.col("comp_b")) & (F.col("c") != F.col("least")))
-    cross = checkpointed(cross.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct())
-    if cross.limit(1).count():
-        more = checkpointed(met(cross))
+    likely = checkpointed(_likely(members, nodes, labels, least))
+    if likely.limit(1).count():
+        more = met(likely)
         if more.limit(1).count():
             labels = components(edges.union(more))
     whole = nodes.join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "doc_id", "h", "n")
