@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import graphs, logs, retrieval, review
+from loomspark.plans import graphs, logs, more, retrieval, review
 
-MODULES: tuple = (retrieval, logs, graphs, review)
+MODULES: tuple = (retrieval, logs, graphs, review, more)
 
 
 def queries() -> dict:

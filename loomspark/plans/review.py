@@ -179,7 +179,7 @@ def conversation_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def part_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", T.fuzzy_score("part#1", F.col("p_name")).alias("score")).where("score is not null").orderBy(F.desc("score"), "p_partkey").limit(24)
+    return table(spark, d, "part").select("p_partkey", T.fuzzy_score("red", F.col("p_name")).alias("score")).where("score is not null").orderBy(F.desc("score"), "p_partkey").limit(24)
 
 
 def free_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +250,7 @@ QUERIES = {
         SELECT item_id, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) FILTER (keep) AS kept, CAST(max(used) AS BIGINT) AS used FROM f GROUP BY item_id"""),
     "chunk_reconstruction": (chunk_reconstruction, None),
     "conversation_bundle": (conversation_bundle, "SELECT conv_id, '# ' || conv_id || chr(10) || chr(10) || string_agg('```' || role || chr(10) || text || chr(10) || '```', chr(10) || chr(10) ORDER BY turn) AS bundle FROM conversations GROUP BY conv_id"),
-    "part_fuzzy": (part_fuzzy, """SELECT * FROM (SELECT p_partkey, CAST(CASE WHEN lower(p_name) = 'part#1' THEN 100 WHEN starts_with(lower(p_name), 'part#1') THEN 80 WHEN contains(lower(p_name), 'part#1') THEN 60 WHEN regexp_matches(lower(p_name), 'p.*a.*r.*t.*#.*1') THEN 30 END AS INTEGER) AS score FROM part) WHERE score IS NOT NULL ORDER BY score DESC, p_partkey LIMIT 24"""),
+    "part_fuzzy": (part_fuzzy, """SELECT * FROM (SELECT p_partkey, CAST(CASE WHEN lower(p_name) = 'red' THEN 100 WHEN starts_with(lower(p_name), 'red') THEN 80 WHEN contains(lower(p_name), 'red') THEN 60 WHEN regexp_matches(lower(p_name), 'r.*e.*d') THEN 30 END AS INTEGER) AS score FROM part) WHERE score IS NOT NULL ORDER BY score DESC, p_partkey LIMIT 24"""),
     "free_catalog": (free_catalog, "SELECT p_brand, count(*) AS n, min(p_name) AS first FROM part WHERE p_retailprice < 1000 AND p_size < 1000 GROUP BY p_brand"),
     "unsafe_paths": (pages_unsafe_paths, r"""WITH h AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT CASE WHEN regexp_matches(href, '\.\.|[<>|*?"\x00-\x1f]') OR length(href) > 400 THEN 'unsafe' ELSE 'safe' END AS kind, count(*) AS n, count(DISTINCT href) AS n_distinct FROM h GROUP BY 1"""),
     "diff_impact": (diff_impact, """WITH m AS (SELECT conv_id, turn, replace(text, chr(10), ' ') || CASE WHEN turn % 2 = 0 THEN ' token = "abcdef"  # TODO' ELSE '' END AS body, sum(CASE WHEN turn % 3 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations)

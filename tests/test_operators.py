@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import chat, delta, dense, files, fusion, graph, lexical, logs, query, rules
+from loomspark.operators import chat, compare, delta, dense, files, fusion, graph, lexical, logs, query, rules
 
 
 def rows(df, *columns):
@@ -113,3 +113,33 @@ def test_merged_drops_overlap(spark):
     text = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(300))
     parts = [text[0:400], text[350:700], text[650:]]
     assert spark.createDataFrame([(parts,)], "p array<string>").select(files.merged(F.col("p")).alias("m")).first()["m"] == text
+
+
+def test_turn_changes_match_difflib(spark):
+    import difflib
+
+    pairs = [("a\nb\nc", "a\nx\nc\nd"), ("", "q"), (None, None), ("same", "same")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", compare.similarity_ratio("a", "b").alias("r"), compare.line_changes("a", "b").alias("c"))
+    for r in df.collect():
+        a, b = r["a"] or "", r["b"] or ""
+        assert r["r"] == difflib.SequenceMatcher(None, a, b).ratio()
+        diff = list(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=0))
+        body = [x for x in diff[2:] if not x.startswith("@@")]
+        assert (r["c"]["added"], r["c"]["removed"]) == (sum(x[0] == "+" for x in body), sum(x[0] == "-" for x in body))
+
+
+def test_diverse_choice_matches_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(12, 5))
+    v[1] = v[0]
+    score = np.linspace(1, 0.4, 12)
+    df = spark.createDataFrame([(1, i, float(score[i]), v[i].tolist()) for i in range(12)], "query_id long, id long, score double, v array<double>")
+    got = [r["id"] for r in compare.diverse(df, 5).orderBy("pick").collect()]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    picked = [0]
+    while len(picked) < 5:
+        gain = {i: 0.5 * score[i] - 0.5 * max(float(unit[i] @ unit[j]) for j in picked) for i in range(12) if i not in picked}
+        picked.append(max(gain, key=gain.get))
+    assert got == picked and 1 not in got[:2]
