@@ -109,3 +109,20 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs, all their columns as they were, in which no window of an item occurs."""
     found = contaminated(docs, items, size).where("n_hit > 0").select(F.col("doc_id").alias("__bad_id"), F.col("h").alias("__bad_h"))
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (text_hash(docs["text"]) == F.col("__bad_h")), "left_anti")
+
+
+def duckdb_sql(size: int = 10) -> str:
+    """The contract's columns for DuckDB, every window against every run of as many words."""
+    from loomspark.llm.words import LOWER, UPPER
+
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH d AS (SELECT doc_id, text, {words} AS w FROM documents),
+    i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    win AS (SELECT DISTINCT item_id, w[s:s + least(len(w), {size}) - 1] AS ws FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+    runs AS (SELECT doc_id, text, s, n, w[s:s + n - 1] AS ws FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT len(ws) AS n FROM win) WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, text, s, n, item_id FROM runs JOIN win USING (ws)),
+    pos AS (SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1, 2),
+    its AS (SELECT doc_id, text, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY 1, 2)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN pos ON pos.doc_id IS NOT DISTINCT FROM d.doc_id AND pos.text IS NOT DISTINCT FROM d.text LEFT JOIN its ON its.doc_id IS NOT DISTINCT FROM d.doc_id AND its.text IS NOT DISTINCT FROM d.text"""

@@ -84,7 +84,7 @@ QUERIES = {
     "op4_minhash_dedup": (op4_minhash_dedup, None),
     "op8_sharding": (op8_sharding, None),
     "op6_packing": (op6_packing, None),
-    "op2_decontamination": (op2_decontamination, None),
+    "op2_decontamination": (op2_decontamination, decontam.duckdb_sql()),
     "op1_license_scan": (op1_license_scan, licences.duckdb_sql()),
     "op5_pii_pseudonyms": (op5_pii_pseudonyms, None),
     "op10_secret_scan": (op10_secret_scan, None),
