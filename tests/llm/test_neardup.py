@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from loomspark.llm import neardup
 from tests.llm import nasty
@@ -52,6 +53,12 @@ def corpus():
                 text[rng.randrange(len(text))] = rng.choice(words)
             out.append((n, " ".join(text)))
             n += 1
+    base = rng.choices(words, k=60)
+    for _ in range(25):  # copies of one text, many of them too far from it and from each other
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        out.append((n := n + 1, " ".join(text)))
     chain = rng.choices(words, k=400)
     for _ in range(12):  # each close to the one before, the ends far apart
         chain = [*chain[8:], *rng.choices(words, k=8)]
@@ -81,7 +88,10 @@ def test_signatures_agree_as_often_as_texts_are_similar():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-def test_classes_match_brute_force(spark):
+@pytest.mark.parametrize("blocks", [(1_000, 4_000), (3, 20)])
+def test_classes_match_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(neardup, "BLOCK_OUT", blocks[0])
+    monkeypatch.setattr(neardup, "BLOCK_ALL", blocks[1])
     rows = [r[:2] for r in nasty.rows()] + corpus()
     full = [(*r, *[None] * 8) for r in rows]
     docs = spark.createDataFrame(full, nasty.SCHEMA).repartition(3)
