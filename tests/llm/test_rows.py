@@ -124,6 +124,8 @@ def test_pii_keeps_format_and_links(spark):
     assert luhn(card[1]) and luhn(card[2].replace(" ", ""))
     assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4} born (19|20)\d\d-\d\d-\d\d not", r["text"])
     assert by[0]["text"] is None and by[1]["text"] == "" and by[12]["text"] == nasty.TEXTS[12]
+    beside = pii.pseudonymised(spark.createDataFrame([(1, "4041894974608795 53 apples, 10 20 30 40 50, x4041894974608795, 212.555.0187")], "doc_id long, text string"), "k").first()
+    assert (beside["n_card"], beside["n_phone"]) == (1, 1) and " 53 apples, 10 20 30 40 50, x4041894974608795, " in beside["text"] and "0187" not in beside["text"]
     again = spark.createDataFrame([(1, "so 4041894974608795 again"), (2, "4041-8949-7460-8795")], "doc_id long, text string")
     first, second = (r["text"] for r in pii.pseudonymised(again, "k").orderBy("doc_id").collect())
     assert card[1] in first and second.replace("-", "") == card[1]
