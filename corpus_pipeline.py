@@ -21,8 +21,8 @@ LEAST_SCORE = 0.35
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that no language explains, go."""
-    found = language.identified(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]), language.fitted_on(docs))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language.identified(docs, language.fitted_on(docs), "__lang", "__score")
+    return found.where((F.col("__lang") != language.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a mark; all documents stay, and n_chars follows the text."""
-    found = secrets.scanned(docs)
-    text = secrets.redacted(F.col("text"), F.col("all_found"))
-    new = {"text": text} | ({"n_chars": F.when(F.size("all_found") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    found = secrets.scanned(docs, "__base", "__every")
+    text = secrets.redacted(F.col("text"), F.col("__every"))
+    new = {"text": text} | ({"n_chars": F.when(F.size("__every") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return found.withColumns(new).select(*docs.columns)
 
 

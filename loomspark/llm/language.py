@@ -93,7 +93,7 @@ class Model:
 def fit(labelled: DataFrame, per_lang: int = 4000, smoothing: float = 0.5) -> Model:
     """Learn from the rows (text, lang, key) of labelled, about ``per_lang`` documents of each lang at most.
 
-    Where a lang has more, a fraction is taken by a hash of ``key``, so that the same rows come at every run. Rows with
+    Where a lang has more, a fraction is taken by a hash of ``key`` and text, so that the same rows come at every run. Rows with
     a null text or lang teach nothing. Counts are summed by Spark; the driver gets one array of buckets per lang.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", "key")
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, per_lang: int = 4000, smoothing: float = 0.5) -> Mo
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    taken = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
+    taken = labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -123,8 +123,8 @@ def fit(labelled: DataFrame, per_lang: int = 4000, smoothing: float = 0.5) -> Mo
     return Model(langs or [UNDETERMINED], np.log(table / table.sum(0)))
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score added, row for row; columns of these names in docs are replaced.
+def identified(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two columns added, row for row: the language and its score; columns of their names in docs are replaced.
 
     Null and empty texts and texts without a letter get ``und`` and 0. The model is broadcast: its size is buckets x langs.
     """
@@ -136,9 +136,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = shared.value.score([t or "" for t in texts])
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in (lang, score)]
     found = docs.select(*rest, predict(F.col("text").cast("string")).alias("__found"))
-    return found.select(*rest, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
+    return found.select(*rest, F.col("__found.lang_pred").alias(lang), F.col("__found.score").alias(score))
 
 
 def fold(doc_id: Column) -> Column:

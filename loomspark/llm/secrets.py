@@ -83,22 +83,22 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.coalesce(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))), _none())
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """docs with arrays base_found and all_found of structs (start, kind, end), by start and kind, added row for row.
+def scanned(docs: DataFrame, base: str = "base_found", every: str = "all_found") -> DataFrame:
+    """docs with two arrays of structs (start, kind, end) added, row for row: base spans and all spans, by start and kind.
 
     kind is the place in KINDS; places are code points, end exclusive. Entropy adds the candidates that don't lie within
-    a base span. A null text is an empty one. Columns of these two names in docs are replaced.
+    a base span. A null text is an empty one. Columns of the two names in docs are replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = [c for c in docs.columns if c not in ("base_found", "all_found")]
+    rest = [c for c in docs.columns if c not in (base, every)]
     assign = F.filter(found(text, ASSIGN, 2), lambda x: F.length(x["value"]) >= 6)
     parts = docs.select(
         *rest,
-        F.sort_array(F.concat(_of_kind(assign, 0), _of_kind(found(text, ACCESS), 1), _of_kind(found(text, HEX), 2))).alias("base_found"),
+        F.sort_array(F.concat(_of_kind(assign, 0), _of_kind(found(text, ACCESS), 1), _of_kind(found(text, HEX), 2))).alias(base),
         _of_kind(_entropy_spans(text), 3).alias("__more"),
     )
-    new = F.filter("__more", lambda x: ~F.exists("base_found", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    return parts.select(*rest, "base_found", F.sort_array(F.concat("base_found", new)).alias("all_found"))
+    new = F.filter("__more", lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
+    return parts.select(*rest, base, F.sort_array(F.concat(base, new)).alias(every))
 
 
 def as_text(spans: Column) -> Column:
