@@ -232,7 +232,7 @@ def _likely(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: floa
     named = checkpointed(named.join(main, "key").select("key", "band", "c", "lead", "comp", (F.col("comp") != F.col("main")).alias("out")))
     split = named.groupBy("key").agg(F.count_if("out").alias("n_out"), F.count("*").alias("n")).where("n_out > 0")
     rows = checkpointed(named.join(split, "key").join(nodes.select("c", "w", "sig"), "c"))
-    packs = max(1, rows.count() // (5 * BLOCK_ALL))
+    packs = max(1, rows.count() // (BLOCK_ALL // 4 + 1))
     # Small groups share tasks; a large one is cut into blocks of outsiders and blocks of all.
     small = F.col("n") <= BLOCK_ALL // 20
     outs, alls = F.ceil(F.col("n_out") / BLOCK_OUT).cast("int"), F.ceil(F.col("n") / BLOCK_ALL).cast("int")
