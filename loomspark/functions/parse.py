@@ -13,6 +13,7 @@ IMPORTS = {
     "rs": (r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+([\w:]+)", r"(?m)^[ \t]*mod[ \t]+(\w+)[ \t]*;"),
     "java": (r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+)[ \t]*;",),
 }
+#: Fixed patterns: file:3-9, and "lines 3-9 in file".
 CITED = r"(?<![\w/])([A-Za-z0-9_][A-Za-z0-9_.\-]*(?:/[A-Za-z0-9_.\-]+)*\.[A-Za-z0-9_]+):(\d+)(?:\s*[-–—]\s*(\d+))?"
 IN_WORDS = r"(?i)\bLines?\s+(\d+)(?:\s*[-–—]\s*(\d+))?[*_\s]*\s*(?:in|from|of)\s+`?([A-Za-z0-9_][A-Za-z0-9_.\-]*(?:/[A-Za-z0-9_.\-]+)*\.[A-Za-z0-9_]+)`?"
 

@@ -20,6 +20,7 @@ SYNONYMS = (
     ("dependency", "import", "module", "package"),
     ("config", "configuration", "settings", "environment"),
 )
+#: Fixed patterns: a file named by @, and an identifier with its dots.
 SCOPE = r"@([A-Za-z0-9_\-\./\\]+)"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 

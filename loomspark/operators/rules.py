@@ -39,7 +39,11 @@ CATEGORIES = (
     ("path_traversal", r"(?i)(\.\.\/|\.\.\\|os\.path\.join.*request|open\s*\(.*request)"),
 )
 SEVERITIES = ("critical", "high", "medium", "low", "info")
+#: Languages that are code, words that raise a file's score in its name and in its text, and kinds that lower it.
 CODE = ("py", "js", "jsx", "ts", "tsx", "go", "java", "rs", "rb")
+NAME_WORDS = ("auth", "security", "api", "service", "agent", "retriev", "ingest")
+TEXT_WORDS = ("password", "token", "secret", "subprocess", "sql", "exec(")
+PLAIN_KINDS = ("json", "yaml", "yml", "md", "txt")
 
 
 def lines(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -87,9 +91,9 @@ def triage_score(name: Column, language: Column, content: Column) -> Column:
     add = lambda cond, n: F.when(cond, n).otherwise(0)
     return (
         1 + add((F.length(content) < 100) & ~code, -8) + add(code, 4)
-        + add(has(name, ("auth", "security", "api", "service", "agent", "retriev", "ingest")), 3)
-        + add(has(low, ("password", "token", "secret", "subprocess", "sql", "exec(")), 3)
-        + add(name.endswith("lock") | name.contains("package-lock"), -5) + add(language.isin("json", "yaml", "yml", "md", "txt"), -2)
+        + add(has(name, NAME_WORDS), 3)
+        + add(has(low, TEXT_WORDS), 3)
+        + add(name.endswith("lock") | name.contains("package-lock"), -5) + add(language.isin(*PLAIN_KINDS), -2)
     )
 
 
