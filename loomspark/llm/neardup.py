@@ -142,7 +142,7 @@ def band_keys(best: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text."""
     sizes = np.array([len(x or "") for x in batch.column(column).to_pylist()], np.int64)
     marks = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, "text_a", 2_000_000):
+            for part in _parts(batch, "text_a", 1_000_000):
                 close = similarity(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()) >= least
                 yield part.select(["a", "b"]).filter(pa.array(close))
 
