@@ -23,8 +23,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: A pair of a band's group is verified if its signatures' share of equal coordinates is within this of the similarity asked
-#: for: 2.2 standard errors at 120 coordinates.
-MARGIN = 0.08
+#: for: 5.5 standard errors at 120 coordinates, so that far fewer pairs are lost than for want of a band (0.007 % at 0.8).
+MARGIN = 0.2
 #: Documents outside the main component of a band's group, and documents of the group, that one task compares.
 BLOCK_OUT, BLOCK_ALL = 1_000, 4_000
 #: Up to so many documents of candidate pairs are named to all tasks at once (some 40 bytes each); more are joined by a shuffle.
@@ -231,7 +231,8 @@ def _likely(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: floa
     main = named.where("c = lead").select("key", F.col("comp").alias("main"))
     named = checkpointed(named.join(main, "key").select("key", "band", "c", "lead", "comp", (F.col("comp") != F.col("main")).alias("out")))
     split = named.groupBy("key").agg(F.count_if("out").alias("n_out"), F.count("*").alias("n")).where("n_out > 0")
-    rows = checkpointed(named.join(split, "key").join(nodes.select("c", "w", "sig"), "c"))
+    bands = F.array(*[F.col(f"b{j}") for j in range(BANDS)]).alias("bands")
+    rows = checkpointed(named.join(split, "key").join(nodes.select("c", "w", "sig", bands), "c"))
     packs = max(1, rows.count() // (BLOCK_ALL // 4 + 1))
     # Small groups share tasks; a large one is cut into blocks of outsiders and blocks of all.
     small = F.col("n") <= BLOCK_ALL // 20
@@ -240,7 +241,7 @@ def _likely(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: floa
     rows = rows.select("*", pack.alias("pack"), outs.alias("outs"), alls.alias("alls"))
     mine = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ("key", "band", "c", "lead", "comp", "out", "w", "sig", "pack")
+    own = ("key", "band", "c", "lead", "comp", "out", "w", "sig", "bands", "pack")
     left = rows.where("out").select(*own, F.lit(True).alias("asks"), mine("outs").alias("i"), every("alls").alias("j"))
     right = rows.select(*own, F.lit(False).alias("asks"), every("outs").alias("i"), mine("alls").alias("j"))
 
@@ -249,6 +250,7 @@ def _likely(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: floa
         get = lambda name: table.column(name).to_numpy(zero_copy_only=False)
         key, c, lead, comp, out, w, asks, band = map(get, ("key", "c", "lead", "comp", "out", "w", "asks", "band"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(c), -1)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
         found = []
         marks = np.flatnonzero(np.diff(key)) + 1
         for a, b in zip([0, *marks], [*marks, len(c)], strict=True):
@@ -256,11 +258,9 @@ def _likely(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: floa
             for o in ask:
                 d = all_[(comp[all_] != comp[o]) & (c[all_] != lead[o]) & (~out[all_] | (c[all_] > c[o]))]
                 d = d[np.minimum(w[d], w[o]) >= least * np.maximum(w[d], w[o])]
-                same = sig[d] == sig[o]
-                near = same.mean(1) >= least - MARGIN
-                d, same = d[near], same[near]
-                if len(d):  # the pair belongs to the first band that it shares
-                    first = same.reshape(len(d), BANDS, ROWS).all(2).argmax(1)
+                d = d[(sig[d] == sig[o]).mean(1) >= least - MARGIN]
+                if len(d):  # the pair belongs to the first band that it shares, by the keys that made the groups
+                    first = (keys[d] == keys[o]).argmax(1)
                     found.append(np.stack((np.minimum(c[d], c[o]), np.maximum(c[d], c[o])), 1)[first == band[o]])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})

@@ -104,6 +104,20 @@ def test_classes_match_brute_force(spark, monkeypatch, blocks):
     assert set(ids) == want and max(ids[i] for i in ids if i != 17) == 1
 
 
+@pytest.mark.parametrize(("accident", "agreeing"), [(True, 100), (False, 80)])
+def test_a_pair_that_shares_a_band_reaches_the_exact_check(spark, accident, agreeing):
+    """Band 3 is shared. Of band 0 the low bytes alone agree, or few coordinates do beside band 3."""
+    n, shared = neardup.BANDS * neardup.ROWS, set(range(15, 20))
+    even = [*shared, *(range(5) if accident else []), *(i for i in range(20, n))][:agreeing]
+    sigs = {1: bytes(n), 2: bytes(i % 7 + 1 for i in range(n)), 3: bytes(i % 7 + 1 if i in even else 100 for i in range(n))}
+    keys = {c: [7 if j == 3 else c * 100 + j for j in range(neardup.BANDS)] for c in sigs}
+    names = ", ".join(f"b{j} long" for j in range(neardup.BANDS))
+    nodes = spark.createDataFrame([(c, 50, sigs[c], *keys[c]) for c in sigs], f"c long, w long, sig binary, {names}")
+    members = spark.createDataFrame([(7, 3, c, 1) for c in sigs], "key long, band int, c long, lead long")
+    labels = spark.createDataFrame([], "v long, comp long")
+    assert [tuple(r) for r in neardup._likely(members, nodes, labels, 0.8).collect()] == [(2, 3)]
+
+
 def test_empty(spark):
     assert neardup.classes(nasty.empty(spark)).count() == 0
     assert neardup.deduplicated(nasty.empty(spark)).count() == 0
