@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,13 @@ EQUIVALENT = (("licence", "license"), ("organisation", "organization"), ("favour
 #: Lines that name a holder or a year, left out before the digest.
 COPYRIGHT = r"(?i)^[^\p{L}\p{N}]*(?:copyright\b|\(c\)|©|portions copyright\b)"
 
+#: Files of ``license_texts`` that hold full public texts. MIT and ISC are in KNOWN.
+FULL = (("Apache-2.0", "allow"), ("BSD-2-Clause", "allow"), ("BSD-3-Clause", "allow"), ("CC0-1.0", "allow"), ("GPL-2", "review"), ("GPL-3", "review"), ("MPL-2.0", "review"))
+#: Canonical lines that only name a licence, left out of whole texts.
+TITLES = ("mit license", "the mit license", "the mit license mit", "mit license mit", "isc license", "the isc license", "isc license isc", "bsd license", "bsd 2 clause license", "the bsd 2 clause license", "bsd 3 clause license", "the bsd 3 clause license", "simplified bsd license", "new bsd license")
+#: Lines that name a holder, also those that end in "All rights reserved.", but not lines of a licence that begin by the word.
+HOLDER = r"(?i)^[^A-Za-z0-9]*(?:(?:portions )?copyright\b(?!.*\bnotice).*(?:\d{4}|\(c\)|©|<year>|\[y+\]|\[year\]|all rights reserved)|©|\(c\) *(?:copyright *)?(?:\d{4}|<year>)|all rights reserved\W*$)"
+
 
 def canonical_line(line: Column) -> Column:
     """Lower case, words parted by single blanks, one spelling each, copyright lines empty."""
@@ -81,12 +92,64 @@ def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
     return rows.select(digest(whole).alias("digest"), "license", "policy").groupBy("digest").agg(F.min("license").alias("license"), F.min("policy").alias("policy"))
 
 
+def body(text: Column) -> Column:
+    """The canonical words of a text without its titles and holders."""
+
+    def line(x: Column) -> Column:
+        folded = F.array_join(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), " ")
+        for other, one in EQUIVALENT:
+            folded = F.replace(folded, F.lit(other), F.lit(one))
+        return F.when(x.rlike(HOLDER), "").otherwise(F.trim(folded))
+
+    return F.concat_ws(" ", F.filter(F.transform(F.split(text, "\n"), line), lambda x: (x != "") & ~x.isin(*TITLES)))
+
+
+def _body(text: str) -> str:
+    """The same of a known text."""
+    out = []
+    for x in text.split("\n"):
+        folded = re.sub(r"[\W_]+", " ", x.lower())
+        for other, one in EQUIVALENT:
+            folded = folded.replace(other, one)
+        if folded.strip() and folded.strip() not in TITLES and not re.search(HOLDER, x):
+            out.append(folded.strip())
+    return " ".join(out)
+
+
+@lru_cache(maxsize=1)
+def full_texts() -> tuple[tuple[str, str, str], ...]:
+    """Licence, policy and words of the full texts, those with an appendix also without it."""
+    out = [(name, policy, _body(text)) for name, policy, text in KNOWN if len(text) > 500]
+    for name, policy in FULL:
+        text = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text("utf-8")
+        license = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}.get(name, name)
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        out += [(license, policy, _body(x)) for x in ([text, text[: end.end()], text[: end.start()]] if end else [text])]
+    return tuple(out)
+
+
+def full_hits(docs: DataFrame) -> DataFrame:
+    """doc_id, h, part (0: it is the text, 1: the text is among its words), license, policy of each full text in a document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = docs.select("doc_id", F.xxhash64(text).alias("h"), F.explode(F.array(body(text))).alias("words"))  # worked out once
+    found = [
+        F.when(
+            F.contains(F.concat(F.lit(" "), "words", F.lit(" ")), F.lit(f" {known} ")),
+            F.struct(F.when(F.col("words") == known, 0).otherwise(1).alias("part"), F.lit(license).alias("license"), F.lit(policy).alias("policy")),
+        )
+        for license, policy, known in full_texts()
+    ]
+    least = min(len(known) for _, _, known in full_texts())
+    return words.where(F.length("words") >= least).select("doc_id", "h", F.explode(F.array_compact(F.array(*found))).alias("m")).select("doc_id", "h", "m.*")
+
+
 def scanned(docs: DataFrame, texts=KNOWN) -> DataFrame:
     """A row for each row of docs: doc_id, license (of the whole text, or null), notices (of lines, sorted and
     comma-joined, maybe empty), policy (forbid, review, allow or none; the strictest that was found).
 
     Each text gives one digest for the whole and one for each distinct line; they meet the known digests in a hash
-    join, and only what was found is shuffled. Null texts hold nothing. Equal rows give equal rows. Other columns of docs
+    join, and only what was found is shuffled. Full texts of licences are also looked for among the words, whatever titles,
+    holders or other text stand around them: one that is the whole gives license, another counts as a notice. Null texts hold nothing. Equal rows give equal rows. Other columns of docs
     are not read.
     """
     spark = docs.sparkSession
@@ -98,6 +161,7 @@ def scanned(docs: DataFrame, texts=KNOWN) -> DataFrame:
     )
     each = keyed.select("doc_id", "h", F.explode(marks).alias("m")).select("doc_id", "h", "m.part", F.col("m.digest").alias("mark"))
     hits = each.join(F.broadcast(known(spark, texts)), F.col("mark") == F.col("digest"))  # a list of fixed size
+    hits = hits.select("doc_id", "h", "part", "license", "policy").unionByName(full_hits(docs))
     ranks = F.when(F.col("policy") == "forbid", 3).when(F.col("policy") == "review", 2).otherwise(1)
     hits = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).agg(
         F.min(F.when(F.col("part") == 0, F.col("license"))).alias("license"),

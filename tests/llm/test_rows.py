@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 from math import comb, log2
+from pathlib import Path
 
 import pytest
 
@@ -192,3 +194,16 @@ def test_language_held_out_accuracy_and_rows(spark):
     by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got.collect()}
     assert by[0] == by[1] == by[2] == by[3] == ("und", 0.0) and all(0 <= s <= 1 for _, s in by.values())
     assert language.identified(nasty.empty(spark), language.fitted_on(nasty.empty(spark))).count() == 0
+
+
+def test_full_licence_texts_are_found_with_title_and_holder(spark):
+    mit = next(t for n, _, t in licences.KNOWN if n == "MIT" and len(t) > 500)
+    bsd = (Path(licences.__file__).parent / "license_texts" / "BSD-3-Clause.txt").read_text()
+    holder = "Copyright (c) 2020 X. All rights reserved."
+    texts = ["MIT License\n\nCopyright (c) 2020 X\n\n" + mit, f"The MIT License (MIT)\n{holder}\n{mit}", bsd.replace("Copyright (c) <year>, <holder>", holder)]
+    texts += [(Path(licences.__file__).parent / "license_texts" / f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-3", "MPL-2.0")] + ["A readme.\n" + textwrap.fill(mit, 60) + "\nMore.", mit[:-200]]
+    rows = licences.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = [(r["license"], r["notices"], r["policy"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    whole = [(n, "", p) for n, p in (("MIT", "allow"), ("MIT", "allow"), ("BSD-3-Clause", "allow"), ("Apache-2.0", "allow"), ("GPL-3.0", "review"), ("MPL-2.0", "review"))]
+    assert [(a, c) for a, _, c in got[:6]] == [(a, c) for a, _, c in whole]
+    assert got[6:] == [(None, "MIT", "allow"), (None, "", "none")]
