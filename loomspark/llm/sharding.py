@@ -2,8 +2,8 @@
 
 Equal texts are linked. Documents of a group are alike to the propagation, so the state is a table of cells (group,
 shard of origin, count) instead of documents: joins of each round move whole cells to the shard that holds most of
-their group, as far as that shard's quota allows. Groups too large for a shard are first cut into parts by a hash.
-A last pass moves what is over the exact quota, documents without a link first, to where it is missing.
+their group, as far as that shard's quota allows. Groups larger than a quarter of a shard, of which there are fewer
+than four times the shards, are given places first: whole where one has room, else shard after shard is filled. A last pass moves what is over the exact quota, documents without a link first, to where it is missing.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ def _hash(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def _propagated(cells: DataFrame, loads: dict[int, int], shards: int, capacity: int, rounds: int) -> DataFrame:
-    """cells (g, part, origin, n, shard) with the shard that each ends in. loads: documents in each shard, kept up to date."""
+def _propagated(cells: DataFrame, loads: dict[int, int], shards: int, capacity: int, rounds: int, full: list[int]) -> DataFrame:
+    """cells (g, part, origin, n, shard) with the shard that each ends in. loads: linked documents in each shard, kept up to date.
+    full: shards that large groups fill, which others want last."""
     for turn in range(rounds):
         held = cells.groupBy(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("shard").alias("s2")).agg(F.sum("n").alias("m"))
-        best = held.groupBy("g2", "part2").agg(F.max_by("s2", F.struct("m", F.hash("g2", "s2"))).alias("best"))
+        best = held.groupBy("g2", "part2").agg(F.max_by("s2", F.struct(~F.col("s2").isin(full), "m", F.hash("g2", "s2"))).alias("best"))
         wish = cells.join(best, (F.col("g") == F.col("g2")) & (F.col("part") == F.col("part2"))).drop("g2", "part2")
         wish = checkpointed(wish)
         flows = [(r["shard"], r["best"], r["n"]) for r in wish.where("shard <> best").groupBy("shard", "best").agg(F.sum("n").alias("n")).collect()]  # shards x shards at most
@@ -52,6 +53,21 @@ def _shares(flows: list, loads: dict[int, int], shards: int, capacity: int) -> l
     return share
 
 
+def _places(groups: list[tuple[int, int]], shards: int, quota: int) -> tuple[dict[int, list[tuple[int, int]]], list[int]]:
+    """(shard, documents) pairs of each group (largest first): the tightest shard that holds it whole, else the emptiest are filled; and what room is left."""
+    room, out = [quota] * shards, {}
+    for g, left in groups:
+        out[g] = []
+        while left:
+            whole = [s for s in range(shards) if room[s] >= left]
+            s = min(whole, key=lambda x: room[x]) if whole else max(range(shards), key=lambda x: room[x])
+            take = min(left, room[s]) or left
+            out[g].append((s, take))
+            room[s] -= take
+            left -= take
+    return out, room
+
+
 def balanced(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float = 0.05) -> DataFrame:
     """A row for each row of docs: doc_id, size, text_crc32, shard, slot (0, 1, ... in each shard), linked.
 
@@ -68,19 +84,30 @@ def balanced(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float =
     rows = checkpointed(rows)
     total = rows.count()
     capacity = int(total / shards * (1 + slack)) + 1
-    most = max(1, capacity // 4)  # documents of a part of a group
-
-    groups = rows.groupBy(F.col("g").alias("gg")).count().where("count > 1").select("gg", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    placed = rows.join(groups, F.col("g") == F.col("gg"), "left").drop("gg")
-    placed = placed.select("*", F.pmod("r", F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.pmod(_hash("r"), F.lit(shards)).cast("int").alias("origin"))
-    placed = checkpointed(placed)
-    loads = dict.fromkeys(range(shards), 0) | {r["origin"]: r["count"] for r in placed.groupBy("origin").count().collect()}
-    cells = placed.where("parts is not null").groupBy("g", "part", "origin").agg(F.count("*").alias("n")).withColumn("shard", F.col("origin"))
-    cells = _propagated(checkpointed(cells), loads, shards, capacity, rounds)
+    quota = max(1, total // shards)
+    groups = checkpointed(rows.groupBy("g").count().where("count > 1"))
+    large = [(r["g"], r["count"]) for r in groups.where(F.col("count") > quota / 4).orderBy(F.desc("count"), "g").collect()]  # fewer than 4 x (shards + 1)
+    places, room = _places(large, shards, quota)
+    full = [s for s in range(shards) if room[s] < quota // 10]
+
+    spark = docs.sparkSession
+    named = spark.createDataFrame([(g, [n for _, n in at], [s for s, _ in at]) for g, at in places.items()], "gg long, takes array<long>, ats array<int>")
+    placed = rows.join(groups.select(F.col("g").alias("gl"), F.lit(True).alias("linked")), F.col("g") == F.col("gl"), "left").join(F.broadcast(named), F.col("g") == F.col("gg"), "left")
+    # A document's place is where its hash falls among the shares of the group's places.
+    point = F.pmod("r", F.lit(1 << 20)) / float(1 << 20) * F.aggregate("takes", F.lit(0).cast("long"), lambda x, y: x + y)
+    passed = F.aggregate("takes", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at")), lambda x, y: F.struct((x["sum"] + y).alias("sum"), (x["at"] + F.when(point >= x["sum"] + y, 1).otherwise(0)).alias("at")))
+    given = F.get("ats", passed["at"])
+    placed = placed.select("doc_id", "size", "text_crc32", "g", "r", F.coalesce("linked", F.lit(False)).alias("linked"), given.alias("given"), F.pmod(_hash("r"), F.lit(shards)).cast("int").alias("origin"))
+    placed = checkpointed(placed.withColumn("part", F.lit(0)))
+    # Documents without a link make room for others in the last pass, so that only linked ones are a load.
+    held = placed.where("linked").groupBy(F.coalesce("given", "origin").alias("s")).count().collect()
+    loads = dict.fromkeys(range(shards), 0) | {r["s"]: r["count"] for r in held}
+    cells = placed.where("linked and given is null").groupBy("g", "part", "origin").agg(F.count("*").alias("n")).withColumn("shard", F.col("origin"))
+    cells = _propagated(checkpointed(cells), loads, shards, capacity, rounds, full)
 
     moved = cells.select(F.col("g").alias("cg"), F.col("part").alias("cp"), F.col("origin").alias("co"), F.col("shard").alias("cs"))
     on = (F.col("g") == F.col("cg")) & (F.col("part") == F.col("cp")) & (F.col("origin") == F.col("co"))
-    settled = placed.join(moved, on, "left").select("doc_id", "size", "text_crc32", "g", "r", F.col("parts").isNotNull().alias("linked"), F.coalesce("cs", "origin").alias("s"))
+    settled = placed.join(moved, on, "left").select("doc_id", "size", "text_crc32", "g", "r", "linked", F.coalesce("given", "cs", "origin").alias("s"))
     return _numbered(settled, shards, total)
 
 

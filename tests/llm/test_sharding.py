@@ -40,3 +40,14 @@ def test_links_stay_together(spark):
     assert linked == 2100 and lost < 0.2 * linked
     of_hot = sorted(Counter(r["shard"] for r in rows if r["doc_id"] >= 9000).values())
     assert sum(of_hot[-12:]) > 0.6 * 3000  # a third of all rows needs eight shards at least
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    sizes = {"hot": 800, "a": 90, "b": 70, "c": 40}  # shards of 100
+    docs = [(i, t) for i, t in enumerate(t for t, n in sizes.items() for _ in range(n))]
+    docs += [(i, f"own {i}") for i in range(len(docs), 2400)]
+    rows = sharding.balanced(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    law(rows, docs, 24)
+    by = {t: sorted(Counter(r["shard"] for r in rows if docs[r["doc_id"]][1] == t).values()) for t in sizes}
+    assert [by[t] for t in "abc"] == [[90], [70], [40]]
+    assert sum(by["hot"][-8:]) > 0.9 * 800
