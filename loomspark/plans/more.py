@@ -64,8 +64,9 @@ def watcher_changes(spark: SparkSession, d: str) -> DataFrame:
 def layers(spark: SparkSession, d: str) -> DataFrame:
     """Pages by first folder of their url: the eight largest, and the rest together."""
     rows = table(spark, d, "pages").select(F.regexp_extract("url", r"://(?:www\.|m\.|blog\.)?([^/]+)", 1).alias("layer")).groupBy("layer").agg(F.count("*").alias("n"))
-    ranked = rows.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("n"), "layer")))  # a row per layer
-    return ranked.groupBy(F.when(F.col("nth") <= 8, F.col("layer")).otherwise("(other)").alias("layer")).agg(F.sum("n").alias("n"))
+    largest = rows.orderBy(F.desc("n"), "layer").limit(8).select(F.col("layer").alias("named"), F.lit(True).alias("large"))
+    named = rows.join(F.broadcast(largest), F.col("layer").eqNullSafe(F.col("named")), "left")
+    return named.groupBy(F.when(F.col("large"), F.col("layer")).otherwise("(other)").alias("layer")).agg(F.sum("n").alias("n"))
 
 
 def repo_summary(spark: SparkSession, d: str) -> DataFrame:

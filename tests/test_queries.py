@@ -35,3 +35,10 @@ def test_query_matches_sql(spark, con, name):
 
 def test_queries_read_their_tables():
     assert len(registry.queries()) > 50 and set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_layers_has_no_window_over_all_rows(spark):
+    from loomspark.plans.more import layers
+    from tests.conftest import SF
+
+    assert "Window" not in layers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
