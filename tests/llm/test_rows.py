@@ -101,6 +101,59 @@ def test_entropy_slides_exactly_and_allow_list_holds(spark):
     assert spans == {1: "entropy:4:28", 2: "", 3: "", 4: "", 5: ""}
 
 
+def brute_scan(text):
+    """All spans and the redacted text, in plain Python."""
+
+    def entropy(s):
+        return max(-sum(c / 20 * log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+
+    def limit(v):
+        if not re.search("[A-Za-z]", v):
+            return None
+        if not re.search("[0-9]", v):
+            return secrets.LIMITS["letters"] if re.search("[a-z]", v) and re.search("[A-Z]", v) else None
+        return secrets.LIMITS["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "alnum" if re.fullmatch("[A-Za-z0-9]+", v) else "base64"]
+
+    allowed = re.compile(
+        r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9=+/_-]+$|EXAMPLE|[xX]{6,}|0123456789|abcdefghij"
+        r"|^[+/_=-]*[A-Za-z]*(?:[+/_=-]+(?:[A-Za-z]+|[0-9]{1,4})){2,}[+/_=-]*$"
+    )
+    base = base_spans(text)
+    every = list(base)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if limit(m[0]) is not None and not allowed.search(m[0]) and entropy(m[0]) >= limit(m[0]) and not any(a <= m.start() and b >= m.end() for a, _, b, _ in base):
+            every.append((m.start(), 3, m.end(), "entropy"))
+    every.sort()
+    out, at = "", 0
+    for a, _, b, _ in every:
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in every), out + text[at:] if every else text
+
+
+def test_texts_full_of_secrets_match_brute_force(spark):
+    import random
+
+    draw = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+
+    def bit(i):
+        n = draw.choice((3, 8, 20, 25, 60, 300))
+        value = "".join(draw.choice(letters[: draw.choice((4, 16, 62, 67))]) for _ in range(n))
+        return draw.choice((f'token = "{value}"', f"secret:{value}", value, f"api_key={value}.token={value}", f"AKIA{value.upper()}", value.lower(), "ébène 🙂 plain words here\n", "a/b/c/2024"))
+
+    texts = ["token=abcdef" * 3, " ".join(f'token = "abc{i:05d}"' for i in range(5000)), "/".join("ab" for _ in range(30000)), "0a" * 40000, "é" * 4096 + "token=abcdefgh" + "🙂" * 4090 + " secret: abcdefgh"]
+    texts += [" ".join(bit(i) for i in range(k)) for k in (0, 1, 2, 3, 5, 9, 17, 40, 200, 900)]
+    got = secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in got.select("doc_id", "text", secrets.as_text(F.col("all_found")).alias("s"), secrets.redacted(F.col("text"), F.col("all_found")).alias("t")).collect():
+        assert (r["s"], r["t"]) == brute_scan(r["text"]), r["doc_id"]
+
+
+def test_secrets_of_an_empty_table(spark):
+    assert secrets.scanned(nasty.empty(spark)).count() == 0
+
+
 def test_redaction_takes_spans_out(spark):
     df = secrets.scanned(nasty.documents(spark)).select("doc_id", secrets.redacted(F.col("text"), F.col("all_found")).alias("t"))
     got = {r["doc_id"]: r["t"] for r in df.where("doc_id in (0, 4, 8)").collect()}
