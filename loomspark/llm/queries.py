@@ -57,8 +57,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.loomspark.pii.key", "set spark.loomspark.pii.key to a secret of your own")
-    return pii.pseudonymised(table(spark, sf_dir, "documents"), key)
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
