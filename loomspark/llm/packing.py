@@ -1,58 +1,78 @@
 """Packing by lexical retrieval: documents that share rare tokens share a window.
 
-Documents are dealt over shards of about ``per_shard`` by a hash, so shards are even however the corpus is skewed, and
-their number grows with it. Each shard holds an inverted index of its documents with BM25 weights. A seed document opens
-a window; its unused neighbours, best score first, fill it. A document that does not fit whole is cut at the
-window's end and its rest opens the next window as the next seed. So all windows of a shard are full but the last.
+Texts are encoded once. Counts of documents over the whole corpus give each token its weight (idf). Three weighted random
+orders of the vocabulary, in which a token comes early in proportion to its weight, give each document three keys: its
+earliest token in each order. Two documents have a key in common with the probability of the weighted similarity of
+their tokens, so that sorting by the keys brings neighbours together, and range partitioning cuts that order evenly, however
+skewed the corpus is. Along the order, each ``per_shard`` documents are a shard of the inverted index. A seed document opens a window;
+its unused neighbours in the shard, best BM25 first, fill it. A document that does not fit whole is cut at the window's end
+and its rest opens the next window as the next seed. So all windows of a task are full but the last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import checkpointed
+
 K1, B = 1.2, 0.75
 #: Token that ends a document.
 END = 1
+#: Keys by which documents are sorted.
+KEYS = 3
+#: Tokens that one task packs, about.
+PER_TASK = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Fixed value: the public split pattern of byte-level vocabularies whose file names none of its own.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _plain(spec: dict) -> bool:
+    """Whether the vocabulary splits and merges as ``tiktoken`` does: byte level, the public pattern, nothing else."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    none = ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges", "dropout")
+    return (
+        spec.get("normalizer") is None
+        and split.get("type") == "ByteLevel"
+        and bool(split.get("use_regex", True))
+        and not split.get("add_prefix_space")
+        and model.get("type") == "BPE"
+        and not any(model.get(x) for x in none)
+        and not any(t.get(x) for t in spec.get("added_tokens", []) for x in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str):
-    """The tokenizer at the path, as a function from a text to the bytes of its ids (little-endian, 32 bits each).
+def _encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
+    """The tokenizer at the path, as a function from a text to its ids, and the number of ids.
 
-    A byte-level vocabulary of ``tokenizers`` (json) is read into the merge table of ``tiktoken``, which gives the same ids at four
-    times the speed. Strings of special tokens in a text are ordinary text.
+    A plain byte-level vocabulary of ``tokenizers`` (json) is read into the merge table of ``tiktoken``, which gives the same
+    ids at four times the speed; any other goes through ``tokenizers`` itself. Strings of added tokens become their ids.
     """
     import json
-    import sys
-    from array import array
-
-    import tiktoken
 
     spec = json.loads(open(path, encoding="utf-8").read())
-    sign = {c: b for b, c in _byte_signs().items()}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(sign[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    bpe = tiktoken.Encoding("from_json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(text: str) -> bytes:
-        ids = array("I", bpe.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    return encode
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    size = max([*spec["model"]["vocab"].values(), *added.values()]) + 1
+    if not _plain(spec):
+        from tokenizers import Tokenizer
 
+        whole = Tokenizer.from_file(path)
+        return lambda text: whole.encode(text, add_special_tokens=False).ids, size
+    import tiktoken
 
-#: Fixed value: the public split pattern of this vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    sign = {c: b for b, c in _byte_signs().items()}
+    ranks = {bytes(sign[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    bpe = tiktoken.Encoding("from_json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: bpe.encode(text, allowed_special="all"), size
 
 
 def _byte_signs() -> dict[int, str]:
@@ -62,26 +82,83 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def width(tokenizer: str) -> str:
+    """How an id is stored: two bytes where all ids of the vocabulary fit."""
+    return "<u2" if _encoder(tokenizer)[1] <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit numbers in a binary) of each row, END included; null text is empty."""
+    """doc_id and ids (little-endian unsigned numbers in a binary) of each row, END included; null text is empty."""
+    kind = width(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.array([END], "<u4").tobytes()
+        encoder, _ = _encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [encoder(t or "") + end for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
+                ids = [np.array([*encoder(t or ""), END], kind).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(encode, "doc_id long, ids binary")
 
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, h long, ids binary")
+
+def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, int, int]:
+    """Documents that hold each token (an array by id, no longer than the vocabulary), documents, and tokens in all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for ids in batch.column("ids"):
+                text = np.frombuffer(ids.as_buffer(), kind)
+                own = np.unique(text[:-1])
+                if len(own) and own[-1] >= len(held):
+                    held = np.concatenate((held, np.zeros(own[-1] + 1 - len(held), np.int64)))
+                held[own] += 1
+                n, total = n + 1, total + len(text)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1, -2], pa.int64()), pa.array([*held[some], n, total], pa.int64())], ["token", "n"])
+
+    summed = tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = {r["token"]: r["n"] for r in summed.collect()}  # a row per id of the vocabulary at most
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    held = np.zeros(max(found, default=0) + 1, np.int64)
+    held[list(found)] = list(found.values())
+    return held, n, total
+
+
+def idf_of(held: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - held + 0.5) / (held + 0.5))
+
+
+def orders(held: np.ndarray, n: int, keys: int = KEYS) -> np.ndarray:
+    """keys random orders of the tokens (places, by id): an exponential race in which a token's rate is its idf squared.
+    Tokens of one document bring nobody together and come last."""
+    rate = np.where(held > 1, idf_of(held, n) ** 2, 1e-9)
+    race = np.random.default_rng(7).exponential(size=(keys, len(held))) / rate
+    return np.argsort(np.argsort(race, axis=1), axis=1).astype(np.int32)
+
+
+def keyed(tokens: DataFrame, kind: str, places: np.ndarray) -> DataFrame:
+    """tokens with k0, k1, ...: the earliest place of each document's tokens in each order; -1 for a document without a token."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]
+            columns = [[int(place[t[:-1]].min()) if len(t) > 1 else -1 for t in texts] for place in places]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int32()) for c in columns]], names)
+
+    names = [*tokens.columns, *[f"k{j}" for j in range(len(places))]]
+    fields = ", ".join(f"{n} {'binary' if n == 'ids' else 'long' if n in tokens.columns else 'int'}" for n in names)
+    return tokens.mapInArrow(key, fields)
 
 
 class Index:
-    """Inverted index of one shard: for each token the documents that hold it, with their BM25 weights."""
+    """Inverted index of one shard: for each token the documents that hold it, with their BM25 weights.
+
+    Weights and the mean length are those of the whole corpus where they are given, else of the shard."""
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
         lengths = np.array([len(t) for t in texts])
         terms, counts, owners = [], [], []
         for i, t in enumerate(texts):
@@ -95,9 +172,9 @@ class Index:
         term, count, self.owner = term[order], count[order], owner[order]
         self.keys, self.begin, df = np.unique(term, return_index=True, return_counts=True)
         self.end = self.begin + df
-        idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
-        self.weight = np.repeat(idf, df) * count * (K1 + 1) / (count + norm[self.owner])
+        weight = idf_of(df, len(texts)) if idf is None else idf[self.keys]
+        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if mean is None else mean))
+        self.weight = np.repeat(weight, df) * count * (K1 + 1) / (count + norm[self.owner])
         self.n = len(texts)
 
     def scores(self, doc: int) -> np.ndarray:
@@ -110,17 +187,17 @@ class Index:
         return np.bincount(self.owner[places], self.weight[places], self.n)
 
 
-def order_of(texts: list[np.ndarray], window: int) -> list[int]:
-    """The documents of a shard in the order in which they fill windows."""
-    index, unused = Index(texts), np.ones(len(texts), bool)
+def order_of(texts: list[np.ndarray], window: int, room: int = 0, idf: np.ndarray | None = None, mean: float | None = None) -> list[int]:
+    """The documents of a shard in the order in which they fill windows, the first of which has so much room left (0: a new one)."""
+    index, unused = Index(texts, idf, mean), np.ones(len(texts), bool)
     out: list[int] = []
     ranked: list[int] = []
-    room = seed = first = 0
+    seed, first = -1, 0
     while len(out) < len(texts):
-        if room == 0:  # a new window: the first unused document is its seed
+        if room == 0 or seed < 0:  # a new window, or one that another shard began: the first unused document is the seed
             while not unused[first]:
                 first += 1
-            pick, ranked = first, []
+            pick, seed, ranked = first, first, []
         else:
             if not ranked:  # unused neighbours of the seed, best last; ties in the order of the shard
                 left = np.flatnonzero(unused)
@@ -138,31 +215,46 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, per_shard: int =
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every token of every row lies in exactly one piece; rows that are equal are packed as often as they come. A null text
-    is its END alone. sequence_id is unique over shards; offsets in a sequence leave no gap. Other columns are not read.
+    is its END alone. sequence_id is unique over tasks; offsets in a sequence leave no gap. Other columns are not read.
     """
-    n = docs.count()
-    shards = max(1, -(-n // per_shard))
-    tokens = tokenized(docs, tokenizer)
-    tokens = tokens.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    apart = 1 << 40  # more sequences than a shard can have
-
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
-        texts = [np.frombuffer(x, "<u4") for x in table.column("ids").to_pylist()]
-        ids, shard = table.column("doc_id").to_pylist(), table.column("shard")[0].as_py()
-        out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-        at = 0
-        for d in order_of(texts, window):
-            text, start = texts[d], 0
-            while start < len(text):
-                length = min(len(text) - start, window - at % window)
-                row = (ids[d], start, length, crc32(text[start : start + length].tobytes()), len(text), shard * apart + at // window, at % window)
-                for c, v in zip(out.values(), row, strict=True):
-                    c.append(v)
-                start, at = start + length, at + length
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-    return tokens.groupBy("shard").applyInArrow(pack, SCHEMA)
+    kind = width(tokenizer)
+    tokens = checkpointed(tokenized(docs, tokenizer))
+    held, n, total = statistics(tokens, kind)
+    idf, mean = idf_of(held, n), total / max(n, 1)
+    apart = 1 << 40  # more sequences than a task can have
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        """Documents in the order of the keys, so many at a time."""
+        ids, texts = [], []
+        for batch in batches:
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids.append(doc_id)
+                texts.append(np.frombuffer(x, kind))
+                if len(texts) == per_shard:
+                    yield ids, texts
+                    ids, texts = [], []
+        if texts:
+            yield ids, texts
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, at = TaskContext.get().partitionId() * apart, 0
+        for ids, texts in shards(batches):
+            rows = []
+            for d in order_of(texts, window, -at % window, idf, mean):
+                text, start = texts[d].astype("<u4"), 0
+                while start < len(text):
+                    length = min(len(text) - start, window - at % window)
+                    rows.append((ids[d], start, length, crc32(text[start : start + length].tobytes()), len(text), first + at // window, at % window))
+                    start, at = start + length, at + length
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    by = [f"k{j}" for j in range(KEYS)]
+    # Rows of the checkpoint have fixed places, so each has a number of its own: equal rows are dealt out like others.
+    numbered = tokens.withColumn("r", F.monotonically_increasing_id())
+    spread = F.xxhash64("r")
+    sorted_ = keyed(numbered, kind, orders(held, n)).withColumn("r", spread).repartitionByRange(max(1, -(-total // PER_TASK)), *by, "r").sortWithinPartitions(*by, "r")
+    return sorted_.select("doc_id", "ids").mapInArrow(pack, SCHEMA)
 
 
 def tokenizer_path() -> str:

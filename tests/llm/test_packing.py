@@ -40,7 +40,6 @@ def test_round_trip(spark):
     rows = [r[:2] for r in nasty.rows()] + [(70, "two  blanks and \n a line \n\n end "), (71, " leading"), (72, "it's 12,345 ok nbsp <|endoftext|>x")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, shard string")
     pieces = packing.packed(docs, packing.tokenizer_path(), per_shard=8).collect()
-    HF.encode_special_tokens = True
     check(pieces, rows)
 
 
@@ -69,3 +68,46 @@ def test_neighbours_come_by_bm25():
                 tf = (s[:-1] == term).sum()
                 want[j] += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[j] / lengths.mean()))
         assert index.scores(d) == pytest.approx(want)
+
+
+def test_every_code_point_is_encoded_as_the_tokenizer_does():
+    encode, size = packing._encoder(packing.tokenizer_path())
+    assert size == HF.get_vocab_size() and packing.width(packing.tokenizer_path()) == "<u2"
+    texts = [f"a{chr(c)} {chr(c)}1{chr(c)}!{chr(c)}{chr(c)}  {chr(c)}" for c in [*range(0x3000), *range(0x3000, 0xD800, 97), *range(0xE000, 0x110000, 997)]]
+    assert [encode(t) for t in texts] == [e.ids for e in HF.encode_batch(texts, add_special_tokens=False)]
+    assert encode("a<|endoftext|>b")[1] == 50256
+
+
+def test_statistics_and_keys_are_of_the_whole_corpus(spark):
+    docs = nasty.documents(spark)
+    kind = packing.width(packing.tokenizer_path())
+    tokens = packing.tokenized(docs, packing.tokenizer_path()).persist()
+    held, n, total = packing.statistics(tokens, kind)
+    ids = [HF.encode(r[1] or "", add_special_tokens=False).ids for r in nasty.rows()]
+    want = np.zeros(len(held), np.int64)
+    for x in ids:
+        want[list(set(x))] += 1
+    assert held.tolist() == want.tolist() and (n, total) == (len(ids), sum(map(len, ids)) + len(ids))
+    places = packing.orders(held, n)
+    got = sorted((r["k0"], r["k1"], r["k2"]) for r in packing.keyed(tokens, kind, places).collect())
+    assert got == sorted(tuple(min((int(p[t]) for t in x), default=-1) for p in places) for x in ids)
+
+
+def test_neighbours_far_apart_in_the_table_share_windows(spark):
+    """Topics dealt over the table at random: most windows hold one topic, which a random order would hardly ever give."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    topics = [rng.choice(words, 12, replace=False) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(topics[i % 40], 30))) for i in rng.permutation(2000).tolist()]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), packing.tokenizer_path(), window=512).collect()
+    by = defaultdict(list)
+    for p in pieces:
+        by[p["sequence_id"]].append(p["doc_id"] % 40)
+    same = sum(max(x.count(t) for t in set(x)) for x in by.values()) / sum(map(len, by.values()))
+    assert same > 0.6
+
+
+def test_equal_rows_are_spread_and_whole(spark):
+    rows = [(1, "the same words again")] * 3000 + [(None, None)] * 1000
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), packing.tokenizer_path(), window=64).collect()
+    assert sum(p["length"] for p in pieces) == 3000 * (len(HF.encode("the same words again", add_special_tokens=False).ids) + 1) + 1000
