@@ -22,12 +22,10 @@ from loomspark.session import checkpointed
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: A pair of a band's group is verified if its signatures' share of equal coordinates is within this of the similarity asked
-#: for: 5.5 standard errors at 120 coordinates, so that far fewer pairs are lost than for want of a band (0.007 % at 0.8).
-MARGIN = 0.2
-#: Documents outside the main component of a band's group, and documents of the group, that one task compares.
-BLOCK_OUT, BLOCK_ALL = 1_000, 4_000
-#: Up to so many documents of candidate pairs are named to all tasks at once (some 40 bytes each); more are joined by a shuffle.
+#: Documents, and shingles, of a group that one task compares with as many others: a task holds some 60 MB of shingles. They
+#: grow with the input beyond GROUPS groups that are larger, so that no more than twice as many are named to all tasks.
+BLOCK, UNITS, GROUPS = 2_000, 4_000_000, 50_000
+#: Up to so many documents of groups are named to all tasks at once (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 
 U = np.uint64
@@ -152,8 +150,7 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), c (digest of its words), w (units of weight), sig (a byte of each coordinate), b0 ... (band
-    keys; null without words) of each row."""
+    """doc_id, h (hash of the text), c (digest of its words), w (units of weight), b0 ... (band keys; null without words) of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,15 +159,13 @@ def sketched(docs: DataFrame) -> DataFrame:
                 best, some = signatures(units, of, part.num_rows)
                 keys = band_keys(best)
                 columns = [pa.array(keys[:, j], mask=~some) for j in range(BANDS)]
-                low = (best & U(255)).astype(np.uint8)
-                sig = pa.array([row.tobytes() for row in low], pa.binary())
                 weight = pa.array(np.bincount(of, minlength=part.num_rows).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(digest.view(np.int64)), weight, sig, *columns], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(digest.view(np.int64)), weight, *columns], names)
 
-    names = ["doc_id", "h", "c", "w", "sig", *[f"b{j}" for j in range(BANDS)]]
+    names = ["doc_id", "h", "c", "w", *[f"b{j}" for j in range(BANDS)]]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(sketch, ", ".join(f"{n} {'binary' if n == 'sig' else 'long'}" for n in names))
+    return rows.mapInArrow(sketch, ", ".join(f"{n} long" for n in names))
 
 
 def similarity(first: list[str], second: list[str]) -> np.ndarray:
@@ -187,117 +182,150 @@ def similarity(first: list[str], second: list[str]) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts (c, text) are at least so similar."""
+def _named(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """c, w and units (the unit weights as sorted 64-bit hashes) of the nodes (c, w, doc_id, h), from the document that stands for each."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, "text_a", 1_000_000):
-                close = similarity(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()) >= least
-                yield part.select(["a", "b"]).filter(pa.array(close))
-
-    with_b = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(keep, "a long, b long")
-
+            for part in _parts(batch, "text"):
+                units, of, _ = cells([t or "" for t in part.column("text").to_pylist()])
+                ends = np.cumsum(np.bincount(of, minlength=part.num_rows))
+                each = [np.sort(x).tobytes() for x in np.split(units, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("c"), part.column("w"), pa.array(each, pa.binary())], ["c", "w", "units"])
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, firsts: DataFrame) -> DataFrame:
-    """c and text of the nodes (c), from the document that stands for each."""
-    wanted = checkpointed(nodes.distinct().join(firsts, "c").select("c", F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")))
+    wanted = nodes.select("c", "w", F.col("doc_id").alias("w_id"), F.col("h").alias("w_h"))
     small = wanted.count() <= BROADCAST_DOCS
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
-    found = rows.join(F.broadcast(wanted) if small else wanted, on)
-    return found.select("c", "text").dropDuplicates(["c"])
+    found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
+    # A document that comes several times gives the same units each time.
+    return found.select("c", "w", "text").mapInArrow(sort, "c long, w long, units binary").groupBy("c").agg(F.first("w").alias("w"), F.first("units").alias("units"))
 
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    """key, band, c, lead: the documents of each group that a band puts together, and the group's most central one, which shares
-    groups with most others."""
+def _groups(nodes: DataFrame) -> DataFrame:
+    """g, c, near, w: groups of documents (c) that share a band with the document g, which is the most central one, that which
+    shares groups of bands with most others (near), of some band's group; g is in its own group.
+
+    All of a band's group come to the same g, so any two that share a band share a g.
+    """
     keys = F.array(*[F.col(f"b{j}") for j in range(BANDS)])
-    banded = nodes.where(F.col("b0").isNotNull()).select("c", F.posexplode(keys).alias("band", "key"))
+    banded = nodes.where(F.col("b0").isNotNull()).select("c", "w", F.explode(keys).alias("key"))
     groups = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     rows = checkpointed(banded.join(groups, "key"))
     central = rows.groupBy("c").agg(F.sum("members").alias("near"))
-    lead = rows.join(central, "c").groupBy("key").agg(F.max(F.struct("near", "c")).alias("x")).select("key", F.col("x.c").alias("lead"))
-    return checkpointed(rows.join(lead, "key").select("key", "band", "c", "lead"))
-
-
-def _likely(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """a, b: pairs of different components in a group, one of them at least outside the component of the group's lead, whose
-    signatures and weights allow the similarity. Each pair comes once, from the first band that it shares."""
-    named = members.join(labels.withColumnRenamed("v", "c"), "c", "left").select("key", "band", "c", "lead", F.coalesce("comp", "c").alias("comp"))
-    main = named.where("c = lead").select("key", F.col("comp").alias("main"))
-    named = checkpointed(named.join(main, "key").select("key", "band", "c", "lead", "comp", (F.col("comp") != F.col("main")).alias("out")))
-    split = named.groupBy("key").agg(F.count_if("out").alias("n_out"), F.count("*").alias("n")).where("n_out > 0")
-    bands = F.array(*[F.col(f"b{j}") for j in range(BANDS)]).alias("bands")
-    rows = checkpointed(named.join(split, "key").join(nodes.select("c", "w", "sig", bands), "c"))
-    packs = max(1, rows.count() // (BLOCK_ALL // 4 + 1))
-    # Small groups share tasks; a large one is cut into blocks of outsiders and blocks of all.
-    small = F.col("n") <= BLOCK_ALL // 20
-    outs, alls = F.ceil(F.col("n_out") / BLOCK_OUT).cast("int"), F.ceil(F.col("n") / BLOCK_ALL).cast("int")
-    pack = F.when(small, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))
-    rows = rows.select("*", pack.alias("pack"), outs.alias("outs"), alls.alias("alls"))
-    mine = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ("key", "band", "c", "lead", "comp", "out", "w", "sig", "bands", "pack")
-    left = rows.where("out").select(*own, F.lit(True).alias("asks"), mine("outs").alias("i"), every("alls").alias("j"))
-    right = rows.select(*own, F.lit(False).alias("asks"), every("outs").alias("i"), mine("alls").alias("j"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        get = lambda name: table.column(name).to_numpy(zero_copy_only=False)
-        key, c, lead, comp, out, w, asks, band = map(get, ("key", "c", "lead", "comp", "out", "w", "asks", "band"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(c), -1)
-        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
-        found = []
-        marks = np.flatnonzero(np.diff(key)) + 1
-        for a, b in zip([0, *marks], [*marks, len(c)], strict=True):
-            ask, all_ = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
-            for o in ask:
-                d = all_[(comp[all_] != comp[o]) & (c[all_] != lead[o]) & (~out[all_] | (c[all_] > c[o]))]
-                d = d[np.minimum(w[d], w[o]) >= least * np.maximum(w[d], w[o])]
-                d = d[(sig[d] == sig[o]).mean(1) >= least - MARGIN]
-                if len(d):  # the pair belongs to the first band that it shares, by the keys that made the groups
-                    first = (keys[d] == keys[o]).argmax(1)
-                    found.append(np.stack((np.minimum(c[d], c[o]), np.maximum(c[d], c[o])), 1)[first == band[o]])
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return left.unionByName(right).groupBy("pack", "i", "j").applyInArrow(compare, "a long, b long")
+    rows = checkpointed(rows.join(central, "c").select("key", "c", "w", "near"))
+    lead = rows.groupBy("key").agg(F.max(F.struct("near", "c")).alias("x")).select("key", F.col("x.c").alias("g"))
+    return checkpointed(rows.join(lead, "key").select("g", "c", "near", "w").distinct())
+
+
+def _compared(table: pa.Table, least: float) -> pa.Table:
+    """a, b: rows that ask and rows of other components in their group that are at least so similar, one of each component."""
+    table = table.sort_by("g")
+    g, c, comp, w, asks = (table.column(x).to_numpy(zero_copy_only=False) for x in ("g", "c", "comp", "w", "asks"))
+    units = [np.frombuffer(x, U) for x in table.column("units").to_pylist()]
+    found = []
+    marks = np.flatnonzero(np.diff(g)) + 1
+    for a, b in zip([0, *marks], [*marks, len(g)], strict=True):
+        ask, others = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+        if not len(ask) or not len(others):
+            continue
+        # Units are numbered; those of one document are marked, and the marks under each other document are its common units.
+        sizes = np.array([len(units[i]) for i in (*others, *ask)])
+        names, number = np.unique(np.concatenate([units[i] for i in (*others, *ask)]), return_inverse=True)
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        held = number[: begin[len(others)]]
+        marked = np.zeros(len(names), bool)
+        for i, o in enumerate(ask, len(others)):
+            own = number[begin[i] : begin[i + 1]]
+            marked[own] = True
+            common = np.add.reduceat(marked[held], begin[: len(others)], dtype=np.int64)
+            marked[own] = False
+            close = others[(common / np.maximum(1, w[others] + w[o] - common) >= least) & (comp[others] != comp[o])]
+            close = close[np.unique(comp[close], return_index=True)[1]]
+            found.append(np.stack((np.full(len(close), c[o]), c[close]), 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _links(asking: DataFrame, all_: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """a, b: for each row (g, c, comp, w) that asks, rows of its group in other components whose exact similarity is at least so
+    great, one at least of each component that has any.
+
+    Small groups share tasks. A large one is cut into blocks of rows that ask and blocks of others, and each pair of blocks
+    is a task; no pairs but links leave it.
+    """
+    total = all_.agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()  # two numbers
+    block, limit = max(BLOCK, total["n"] // GROUPS), max(UNITS, total["w"] // GROUPS)
+    packs = max(1, total["n"] // (block // 2 + 1), total["w"] // (limit // 2 + 1))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("w") / limit)).cast("int")
+        return df.groupBy("g").agg(size.alias(name)).withColumnRenamed("g", f"g_{name}")
+
+    large = blocks(all_, "alls").where("alls > 1").join(blocks(asking, "outs"), F.col("g_alls") == F.col("g_outs")).select(F.col("g_alls").alias("large"), "alls", "outs")
+    large = checkpointed(large)
+
+    def dealt(df: DataFrame, asks: bool, mine: str, other: str) -> DataFrame:
+        rows = df.join(F.broadcast(large), F.col("g") == F.col("large"), "left")  # at most 2 GROUPS rows
+        pack = F.coalesce("large", F.pmod(F.xxhash64("g"), F.lit(packs)))
+        own = F.pmod(F.xxhash64("c"), F.coalesce(mine, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        rows = rows.select("g", "c", "comp", F.lit(asks).alias("asks"), pack.alias("pack"), own.alias(mine), every.alias(other))
+        return rows.join(units, "c").select("g", "c", "comp", "w", "units", "asks", "pack", "outs", "alls")
+
+    rows = dealt(asking, True, "outs", "alls").unionByName(dealt(all_, False, "alls", "outs"))
+    return rows.groupBy("pack", "outs", "alls").applyInArrow(lambda table: _compared(table, least), "a long, b long")
+
+
+def _apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """g, c, near, w, comp, out: the groups whose documents are of several components; out: not of the one that has most of the group."""
+    named = groups.join(labels.withColumnRenamed("v", "c"), "c", "left").select("g", "c", "near", "w", F.coalesce("comp", "c").alias("comp"))
+    named = checkpointed(named)
+    counted = named.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy(F.col("g").alias("g2")).agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
+    joined = named.join(mixed, F.col("g") == F.col("g2"))
+    return checkpointed(joined.select("g", "c", "near", "w", "comp", (F.col("comp") != F.col("most.comp")).alias("out")))
+
+
+def linked(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """v, comp: the components of the links among nodes; a node without a link may be missing.
+
+    All of a group meet its central document. What that leaves outside the group's largest component sends one document,
+    the most central, to meet the others; then all that is still outside meets all others of the group. Similarities are exact
+    throughout, so that the only links that can be lost are those of pairs that share no band.
+    """
+    groups = _groups(nodes)
+    units = checkpointed(_named(docs, nodes.join(groups.select("c").distinct(), "c")))
+    alone = groups.select("g", "c", "w", F.col("c").alias("comp"))
+    edges = checkpointed(_links(alone.where("g = c"), alone, units, least))
+    labels = components(edges)
+    for last in (False, True):
+        apart = _apart(groups, labels)
+        out = apart.where("out")
+        if not out.limit(1).count():
+            break
+        if not last:
+            out = out.groupBy("g").agg(F.max_by(F.struct("c", "comp", "w"), F.struct("near", "c")).alias("x")).select("g", "x.*")
+        more = checkpointed(_links(out.select("g", "c", "comp", "w"), apart.select("g", "c", "comp", "w"), units, least))
+        if more.limit(1).count():
+            edges = edges.union(more)
+            labels = components(edges)
+    return labels
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: doc_id, h (hash of the text), class_id, class_size, keeps.
 
-    Texts with the same words are copies and stand in for each other. Of the others, those that share a band are a group;
-    a pair of a group that is at least so similar is a link, and classes are the components of links. All of a group meet its
-    most central document. What that leaves outside the central document's component meets all others of the group by
-    signature, block by block, and by text where the signatures come near enough. So a group of copies costs no more
-    than its size, and no more pairs leave a task than are likely links. class_id is the least doc_id of the class (null if
+    Texts with the same words are copies and stand in for each other. Of the others, pairs that share a band and are at least
+    so similar are links, and classes are the components of links. class_id is the least doc_id of the class (null if
     it has none), class_size counts rows, keeps tells the one document that stays (repeated rows of it all say so). A null
     text is an empty one; texts without words are copies of equal texts alone.
     """
     rows = checkpointed(sketched(docs))
     keys = [f"b{j}" for j in range(BANDS)]
-    nodes = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("x"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("w", "sig", *keys)])
-    nodes = checkpointed(nodes.select("c", F.col("x.doc_id").alias("doc_id"), F.col("x.h").alias("h"), "n", "w", "sig", *keys))
-    firsts = nodes.select("c", "doc_id", "h")
-    members = _grouped(nodes)
-
-    def met(pairs):
-        ends = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
-        return checkpointed(verified(pairs, _texts_of(docs, ends, firsts), least))
-
-    stars = checkpointed(members.where("c <> lead").select(F.least("lead", "c").alias("a"), F.greatest("lead", "c").alias("b")).distinct())
-    edges = met(stars)
-    labels = components(edges)
-    likely = checkpointed(_likely(members, nodes, labels, least))
-    if likely.limit(1).count():
-        more = met(likely)
-        if more.limit(1).count():
-            labels = components(edges.union(more))
+    nodes = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("x"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("w", *keys)])
+    nodes = checkpointed(nodes.select("c", F.col("x.doc_id").alias("doc_id"), F.col("x.h").alias("h"), "n", "w", *keys))
+    labels = linked(docs, nodes, least)
     whole = nodes.join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "doc_id", "h", "n")
     whole = checkpointed(whole)
     heads = whole.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("x"), F.sum("n").cast("long").alias("class_size"))

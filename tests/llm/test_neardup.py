@@ -88,10 +88,10 @@ def test_signatures_agree_as_often_as_texts_are_similar():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-@pytest.mark.parametrize("blocks", [(1_000, 4_000), (3, 20)])
-def test_classes_match_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(neardup, "BLOCK_OUT", blocks[0])
-    monkeypatch.setattr(neardup, "BLOCK_ALL", blocks[1])
+@pytest.mark.parametrize("sizes", [(2_000, 4_000_000, 500_000), (5, 400, 500_000), (2_000, 4_000_000, 0)])
+def test_classes_match_brute_force(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK", "UNITS", "BROADCAST_DOCS"), sizes, strict=True):
+        monkeypatch.setattr(neardup, name, size)
     rows = [r[:2] for r in nasty.rows()] + corpus()
     full = [(*r, *[None] * 8) for r in rows]
     docs = spark.createDataFrame(full, nasty.SCHEMA).repartition(3)
@@ -104,18 +104,23 @@ def test_classes_match_brute_force(spark, monkeypatch, blocks):
     assert set(ids) == want and max(ids[i] for i in ids if i != 17) == 1
 
 
-@pytest.mark.parametrize(("accident", "agreeing"), [(True, 100), (False, 80)])
-def test_a_pair_that_shares_a_band_reaches_the_exact_check(spark, accident, agreeing):
-    """Band 3 is shared. Of band 0 the low bytes alone agree, or few coordinates do beside band 3."""
-    n, shared = neardup.BANDS * neardup.ROWS, set(range(15, 20))
-    even = [*shared, *(range(5) if accident else []), *(i for i in range(20, n))][:agreeing]
-    sigs = {1: bytes(n), 2: bytes(i % 7 + 1 for i in range(n)), 3: bytes(i % 7 + 1 if i in even else 100 for i in range(n))}
-    keys = {c: [7 if j == 3 else c * 100 + j for j in range(neardup.BANDS)] for c in sigs}
-    names = ", ".join(f"b{j} long" for j in range(neardup.BANDS))
-    nodes = spark.createDataFrame([(c, 50, sigs[c], *keys[c]) for c in sigs], f"c long, w long, sig binary, {names}")
-    members = spark.createDataFrame([(7, 3, c, 1) for c in sigs], "key long, band int, c long, lead long")
-    labels = spark.createDataFrame([], "v long, comp long")
-    assert [tuple(r) for r in neardup._likely(members, nodes, labels, 0.8).collect()] == [(2, 3)]
+def test_rows_that_ask_meet_all_others_of_their_group_exactly():
+    """Two groups in one task; a row outside meets all, by exact similarity, and names one of each component that is near."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: words, 2: [*words[:90], *"abcdefghij"], 3: [*words[:93], *"tuvwxyz"], 4: words[:40], 5: [*words[:90], *"abcdefghix"]}
+    rows = []
+    for g, members in ((1, (1, 2, 3, 4, 5)), (9, (1, 4))):
+        for c in members:
+            units_, _, _ = neardup.cells([" ".join(texts[c])])
+            for asks in (True, False):
+                rows.append((g, c, 2 if c == 5 else c, len(units_), asks, np.sort(units_).tobytes()))
+    table = pa.Table.from_pylist([dict(zip(("g", "c", "comp", "w", "asks", "units"), r, strict=True)) for r in rows])
+    got = {tuple(r.values()) for r in neardup._compared(table, 0.8).to_pylist()}
+    near = {(a, b) for a in texts for b in texts if a != b and jaccard(units(" ".join(texts[a])), units(" ".join(texts[b]))) >= 0.8}
+    comp = lambda c: 2 if c == 5 else c
+    assert {(a, comp(b)) for a, b in got} == {(a, comp(b)) for a, b in near if comp(a) != comp(b)} and got <= near
 
 
 def test_empty(spark):
