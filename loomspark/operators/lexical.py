@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import code_tokens
+from loomspark.session import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Documents and queries whose scores one task holds as a matrix (8 bytes each).
+DOCS, QUERIES = 1_000, 1_000
+#: Up to so many different tokens of queries are sent to all tasks (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_TOKENS = 500_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -15,27 +23,150 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, code_tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
-    """query_key, key, score (6 decimals): documents that share a token with a query and score above 0.
+class Index:
+    """Tokens of the documents, cut once, and the weight of each token over all of them.
 
-    A token counts once per document. A token in more than half of all documents has the weight epsilon times the mean
-    weight. Only tokens of queries reach the join; the weights of all are summed in one aggregate.
+    tokens: key, the carried columns, tokens (array). weights: token, idf; a token in more than half of all documents has the
+    weight epsilon times the mean weight. Both lie in the checkpoint folder or, if the index was written, in its own.
     """
-    rows = postings(docs, key, text)
-    stats = docs.select(F.count("*").alias("n"), F.avg(F.size(code_tokens(F.col(text)))).alias("avgdl"))
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = df.crossJoin(F.broadcast(stats)).select("token", "avgdl", raw.alias("idf"))  # stats is one row
-    mean = weights.agg(F.avg("idf").alias("mean"))
+
+    def __init__(self, tokens: DataFrame, weights: DataFrame, key: str):
+        self.tokens, self.weights, self.key = tokens, weights, key
+        stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(1.0)).alias("avgdl")).first()  # two numbers
+        self.n, self.avgdl = stats["n"], stats["avgdl"] or 1.0
+
+    @classmethod
+    def of(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> Index:
+        tokens = checkpointed(docs.select(key, *carry, code_tokens(F.col(text)).alias("tokens")))
+        n = tokens.count()
+        held = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        raw = checkpointed(held.select("token", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
+        mean = raw.agg(F.avg("idf")).first()[0] or 0.0  # one number
+        return cls(tokens, raw.select("token", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf")), key)
+
+    def write(self, folder: str, docs: DataFrame, text: str = "text") -> None:
+        """Stores the index with a fingerprint of the documents that it was made of."""
+        self.tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
+        self.weights.write.mode("overwrite").parquet(f"{folder}/weights")
+        fingerprint(docs, self.key, text).write.mode("overwrite").parquet(f"{folder}/fingerprint")
+
+    @classmethod
+    def read(cls, folder: str, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index | None:
+        """A stored index, or None if the documents are no longer those that it was made of."""
+        spark = docs.sparkSession
+        if spark.read.parquet(f"{folder}/fingerprint").first() != fingerprint(docs, key, text).first():
+            return None
+        return cls(spark.read.parquet(f"{folder}/tokens"), spark.read.parquet(f"{folder}/weights"), key)
+
+
+def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """n, mark: one row that changes with any row of the documents, whatever their order."""
+    each = F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("\0")))
+    return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(each.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("mark"))
+
+
+def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each row's place in the list of distinct values, the list, and the values' places in ascending order (null first)."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    values = coded.dictionary
+    order = np.empty(len(values), np.int64)
+    order[pc.sort_indices(values, null_placement="at_start").to_numpy()] = np.arange(len(values))
+    return coded.indices.to_numpy(zero_copy_only=False), values, order
+
+
+def best(column: np.ndarray, some: np.ndarray, ties: np.ndarray, k: int | None) -> np.ndarray:
+    """Of the places ``some`` those of the k highest values, highest first, ties by the least of ``ties``."""
+    if k is not None and len(some) > k:
+        edge = np.partition(column[some], len(some) - k)[len(some) - k]
+        some = some[column[some] >= edge]
+    return some[np.lexsort((ties[some], -column[some]))][:k]
+
+
+def _matrix(hits: pa.Table, asked: pa.Table, key: str, query_key: str, within: str | None, k: int | None) -> pa.Table:
+    """Scores of a block of documents for a block of queries, the best k of each query (and group) alone."""
+    words = pc.unique(asked.column("token"))
+    number, keys, ties = _numbered(hits.column(key))
+    group, groups, _ = _numbered(hits.column(within)) if within else (np.zeros_like(number), pa.array([None]), None)
+    # A document is a key in a group; a key that comes several times in one is one document.
+    each, docs = np.unique(number.astype(np.int64) * max(1, len(groups)) + group, return_inverse=True)
+    number, group = np.divmod(each, max(1, len(groups)))
+    ties = ties[number]
+    asks, names, _ = _numbered(asked.column(query_key))
+    n, m = len(each), len(names)
+    scores = np.zeros((n, m))
+
+    def cells(table, owner, size, value):
+        """token, owner and summed value of each pair, by token."""
+        token = pc.index_in(table.column("token"), words).to_numpy(zero_copy_only=False)
+        value = table.column(value).to_numpy()
+        some = ~np.isnan(token.astype(float))
+        pair, at = np.unique(token[some].astype(np.int64) * size + owner[some], return_inverse=True)
+        return pair // size, pair % size, np.bincount(at, value[some], len(pair))
+
+    token, doc, weight = cells(hits, docs, n, "w")
+    of, query, idf = cells(asked, asks, m, "idf")
+    edges, query_edges = (np.searchsorted(x, np.arange(len(words) + 1)) for x in (token, of))
+    for t in np.unique(token):
+        a, b = slice(edges[t], edges[t + 1]), slice(query_edges[t], query_edges[t + 1])
+        scores[np.ix_(doc[a], query[b])] += np.outer(weight[a], idf[b])
+    scores = np.round(scores, 6)
+    parts = [np.flatnonzero(group == g) for g in np.unique(group)]
+    rows, columns = [], []
+    for q in range(m):
+        for part in parts:
+            top = best(scores[:, q], part[scores[part, q] > 0], ties, k)
+            rows.append(top)
+            columns.append(np.full(len(top), q))
+    rows, columns = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows, columns))
+    out = {query_key: names.take(pa.array(columns)), key: keys.take(pa.array(number[rows]))}
+    if within:
+        out[within] = groups.take(pa.array(group[rows]))
+    return pa.table(out | {"score": pa.array(scores[rows, columns])})
+
+
+def scored(index: Index, queries: DataFrame, query_key: str = "item_id", query_text: str = "text", k: int | None = None, where: Column | None = None, within: str | None = None) -> DataFrame:
+    """query_key, key, (within,) score (6 decimals): documents that share a token with a query and score above 0.
+
+    A token counts once per document. With k, no fewer than the k best of each query (and value of within, a carried column)
+    are among them. where: the documents that may be found; weights are those of all. Blocks of documents meet blocks of queries; only
+    tokens of queries are moved.
+    """
+    key, own = index.key, [index.key] + ([within] if within else [])
     asked = queries.select(query_key, F.explode(code_tokens(F.col(query_text))).alias("token"))
-    used = weights.join(asked.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(mean))
-    used = used.select("token", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hits = rows.join(used, "token").select("token", key, (F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-    scored = hits.join(asked, "token").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
-    return scored.where("score > 0")
+    used = checkpointed(index.weights.join(asked.select("token").distinct(), "token", "left_semi"))
+    asked = asked.join(used, "token")
+    n_used, n_queries = used.count(), queries.count()
+    rows = index.tokens if where is None else index.tokens.where(where)
+    dl = F.size("tokens")
+    rows = rows.select(*own, ((K1 + 1) / (1 + K1 * (1 - B + B * dl / index.avgdl))).alias("w"), F.explode("tokens").alias("token"))
+    names = used.select("token")
+    hits = rows.join(F.broadcast(names) if n_used <= BROADCAST_TOKENS else names, "token", "left_semi")
+    p, q = max(1, -(-index.n // DOCS)), max(1, -(-n_queries // QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hits = hits.select("*", F.pmod(F.xxhash64(key), F.lit(p)).cast("int").alias("p"), every(q).alias("q"))
+    asked = asked.select("*", every(p).alias("p"), F.pmod(F.xxhash64(query_key), F.lit(q)).cast("int").alias("q"))
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(queries, query_key), *[kind(index.tokens, c) for c in own], "score double"])
+    return hits.groupBy("p", "q").cogroup(asked.groupBy("p", "q")).applyInArrow(lambda a, b: _matrix(a, b, key, query_key, within, k), schema)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
+    """query_key, key, score (6 decimals) of all documents that score above 0."""
+    return scored(Index.of(docs, key, text), queries, query_key, query_text)
+
+
+def search(
+    docs: DataFrame | Index, queries: DataFrame, k: int, query_key: str = "item_id", query_text: str = "text", where: Column | None = None, within: str | None = None
+) -> DataFrame:
+    """query_key, key, (within,) score, rank: the k best documents of each query (and value of within), ties by key.
+
+    where (over carried columns) comes before the ranks: it is the documents that are searched."""
+    index = docs if isinstance(docs, Index) else Index.of(docs)
+    found = scored(index, queries, query_key, query_text, k, where, within)
+    return ranked(found, [query_key, within] if within else query_key, index.key, k=k)
 
 
-def ranked(scored: DataFrame, by: str, key: str, score: str = "score", k: int | None = None) -> DataFrame:
+def ranked(scored: DataFrame, by: str | list[str], key: str, score: str = "score", k: int | None = None) -> DataFrame:
     """scored with rank (1, 2, ...) in each group, highest score first, ties by key; the first k of each."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(key))).cast("int"))
     return out.where(F.col("rank") <= k) if k else out

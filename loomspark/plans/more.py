@@ -15,7 +15,7 @@ from loomspark.sources.tables import table
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The ten first hits of each item in slices of 1,792 characters; a document's score is its best slice's share of the item's tokens."""
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    top = lexical.ranked(lexical.bm25(docs, items), "item_id", "doc_id", k=10).select("item_id", "doc_id")
+    top = lexical.search(docs, items, 10).select("item_id", "doc_id")
     asked = items.select("item_id", T.code_tokens(F.col("text")).alias("q"))
     hits = top.join(docs.select("doc_id", "text"), "doc_id").join(asked, "item_id").select("item_id", "doc_id", "q", "text", F.explode(T.window_spans(F.col("text"), 1792, 179)).alias("w"))
     score = F.size(F.array_intersect("q", T.code_tokens(F.expr("substring(text, w.start + 1, w.stop - w.start)")))) / F.size("q")

@@ -17,8 +17,10 @@ def tok(t: str) -> str:
     return f"list_distinct(list_filter(list_transform({found}, lambda x: lower(x)), lambda x: length(x) > 1))"
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"))
+def _search(spark: SparkSession, d: str, k: int, carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """The k first documents of each item: item_id, doc_id, score, rank, and the one column that ranks are counted within."""
+    index = lexical.Index.of(table(spark, d, "documents"), carry=carry)
+    return lexical.search(index, table(spark, d, "benchmark"), k, **how)
 
 
 BM25_SQL = f"""
@@ -34,11 +36,11 @@ BM25_SQL = f"""
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.ranked(_bm25(spark, d), "item_id", "doc_id", k=10)
+    return _search(spark, d, 10)
 
 
 def _top_with_source(spark: SparkSession, d: str, k: int) -> DataFrame:
-    top = lexical.ranked(_bm25(spark, d), "item_id", "doc_id", k=k)
+    top = _search(spark, d, k)
     return top.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
 
 
@@ -59,7 +61,7 @@ DENSE_SQL = """
 
 def _two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A lexical list and a dense one for the queries that both have: item i beside vector 50 i."""
-    words = lexical.ranked(_bm25(spark, d), "item_id", "doc_id", k=15).select(F.col("item_id").cast("long").alias("query_id"), "doc_id", "score", "rank")
+    words = _search(spark, d, 15).select(F.col("item_id").cast("long").alias("query_id"), "doc_id", "score", "rank")
     near = _neighbours(spark, d).select((F.col("query_id") / 50).cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
     return words, near
 
@@ -130,27 +132,31 @@ def file_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_variants(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("turn = 0")
-    return rows.select("conv_id", F.posexplode(query.variants(F.col("text"))).alias("nth", "variant"))
+    """The variants of each turn."""
+    rows = table(spark, d, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", F.posexplode(query.variants(F.col("text"))).alias("nth", "variant"))
 
 
 def _variants_sql() -> str:
     groups = " ".join(f"WHEN {' OR '.join(f'''contains(lower(text), '{w}')''' for w in g)} THEN text || ' {' '.join(g)}'" for g in query.SYNONYMS)
     return f"""
-    WITH a AS (SELECT conv_id, text, nullif(array_to_string(regexp_extract_all(text, '{query.IDENTIFIER}'), ' '), '') AS names, CASE {groups} END AS wide FROM conversations WHERE turn = 0),
-    b AS (SELECT conv_id, list_filter([text, CASE WHEN names <> text THEN names END, CASE WHEN wide <> text AND wide IS DISTINCT FROM names THEN wide END], lambda x: x IS NOT NULL) AS v FROM a)
-    SELECT conv_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS nth, unnest(v) AS variant FROM b"""
+    WITH a AS (SELECT conv_id, turn, text, nullif(array_to_string(regexp_extract_all(text, '{query.IDENTIFIER}'), ' '), '') AS names, CASE {groups} END AS wide FROM conversations WHERE text IS NOT NULL),
+    b AS (SELECT conv_id, turn, list_filter([text, CASE WHEN names <> text THEN names END, CASE WHEN wide <> text AND wide IS DISTINCT FROM names THEN wide END], lambda x: x IS NOT NULL) AS v FROM a)
+    SELECT conv_id, turn, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS nth, unnest(v) AS variant FROM b"""
 
 
 def intent_filter_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of each item in the language asked for (by item), or all of its hits where none is in it."""
+    """The first ten documents of each item in the language asked for (by item), or of all where none in it is a hit."""
     langs = F.get(F.array(*map(F.lit, ("fr", "en", "de", "xx"))), (F.col("item_id") % 4).cast("int"))
-    return query.scoped_or_all(_top_with_source(spark, d, 10), "item_id", F.col("lang") == langs).select("item_id", "doc_id", "lang", "rank", "fell_back")
+    hits = _search(spark, d, 10, ("lang",), within="lang").drop("rank")  # the first ten of all are among the first ten of each
+    chosen = query.scoped_or_all(hits, "item_id", F.col("lang") == langs)
+    return lexical.ranked(chosen, "item_id", "doc_id", k=10).select("item_id", "doc_id", "lang", "rank", "fell_back")
 
 
 def failure_diagnosis(spark: SparkSession, d: str) -> DataFrame:
-    """What is wrong with the hits of each item, if anything: hits in the sources asked for, by item."""
-    hits = _top_with_source(spark, d, 10).where((F.col("item_id") % 3 != 0) | (F.col("source") == "src1"))
+    """What is wrong with the ten first hits of each item, if anything, in the sources asked for, by item."""
+    asked = (F.col("item_id") % 3 != 0) | (F.col("source") == "src1")
+    hits = lexical.ranked(_search(spark, d, 10, ("source",), within="source").drop("rank").where(asked), "item_id", "doc_id", k=10)
     n = table(spark, d, "documents").select(F.count("*").alias("n_indexed"))
     per = hits.groupBy("item_id").agg(F.count("*").alias("kept"), F.countDistinct("source").alias("n_sources"))
     rows = table(spark, d, "benchmark").select("item_id", query.intent(F.col("text")).alias("intent")).join(per, "item_id", "left").crossJoin(F.broadcast(n)).fillna(0, ["kept", "n_sources"])  # n is one row
@@ -163,11 +169,14 @@ def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repo_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Hits whose source, written in any spelling, is one of two repositories, and whose name holds a part."""
+    """The first 200 hits of each item among documents whose source, written in any spelling, is one of two repositories, or
+    whose name holds a part: the filter comes before the ranks."""
     wanted = [f"https://host.test/{s}" for s in ("src1", "src12")]
     spelled = F.concat(F.lit(" https://host.test/"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, ".git").otherwise("/"))
-    hits = _top_with_source(spark, d, 200).withColumn("repo", T.normal_repo(spelled))
-    return hits.where(F.col("repo").isin(wanted) | F.lower("source").contains("src7")).select("item_id", "doc_id", "repo", "rank")
+    repo = T.normal_repo(spelled)
+    hits = _search(spark, d, 200, ("source",), where=repo.isin(wanted) | F.lower("source").contains("src7"))
+    named = table(spark, d, "documents").select("doc_id", repo.alias("repo"))
+    return hits.join(named, "doc_id").select("item_id", "doc_id", "repo", "rank")
 
 
 QUERIES = {
@@ -191,12 +200,16 @@ QUERIES = {
     "file_scope": (file_scope, rf"""WITH {ASKED_SQL}, m AS (SELECT conv_id, turn, q, regexp_extract(q, '@([A-Za-z0-9_\-\./\\]+)', 0) AS w, regexp_extract(q, '@([A-Za-z0-9_\-\./\\]+)', 1) AS f FROM asked)
         SELECT conv_id, turn, CASE WHEN w <> '' AND trim(replace(q, w, '')) <> '' THEN trim(replace(q, w, '')) ELSE q END AS question, CASE WHEN w <> '' THEN f END AS file FROM m"""),
     "query_variants": (query_variants, _variants_sql()),
-    "intent_filter_fallback": (intent_filter_fallback, f"""WITH {BM25_SQL}, a AS (SELECT item_id, doc_id, lang, rank, lang = ['fr', 'en', 'de', 'xx'][item_id % 4 + 1] AS m FROM top JOIN tk USING (doc_id) WHERE rank <= 10),
-        b AS (SELECT *, count(*) FILTER (m) OVER (PARTITION BY item_id) AS n FROM a) SELECT item_id, doc_id, lang, rank, n = 0 AS fell_back FROM b WHERE m OR n = 0"""),
+    "intent_filter_fallback": (intent_filter_fallback, f"""WITH {BM25_SQL}, a AS (SELECT item_id, doc_id, lang, score, lang = ['fr', 'en', 'de', 'xx'][item_id % 4 + 1] AS m FROM top JOIN tk USING (doc_id)),
+        b AS (SELECT *, count(*) FILTER (m) OVER (PARTITION BY item_id) AS n FROM a),
+        c AS (SELECT item_id, doc_id, lang, n = 0 AS fell_back, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM b WHERE m OR n = 0)
+        SELECT item_id, doc_id, lang, rank, fell_back FROM c WHERE rank <= 10"""),
     "failure_diagnosis": (failure_diagnosis, f"""WITH {BM25_SQL}, i AS ({_intent_sql().replace('conv_id, turn', 'item_id').replace('conversations', 'benchmark')}),
-        p AS (SELECT item_id, count(*) AS kept, count(DISTINCT source) AS n_sources FROM top JOIN tk USING (doc_id) WHERE rank <= 10 AND (item_id % 3 <> 0 OR source = 'src1') GROUP BY item_id)
+        h AS (SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS nth FROM top JOIN tk USING (doc_id) WHERE item_id % 3 <> 0 OR source = 'src1'),
+        p AS (SELECT item_id, count(*) AS kept, count(DISTINCT source) AS n_sources FROM h WHERE nth <= 10 GROUP BY item_id)
         SELECT item_id, coalesce(kept, 0) AS kept, coalesce(n_sources, 0) AS n_sources, CASE WHEN (SELECT count(*) FROM documents) = 0 THEN 'P10' WHEN coalesce(kept, 0) = 0 AND intent <> 'general' THEN 'P05' WHEN coalesce(kept, 0) = 0 THEN 'P01' WHEN kept >= 3 AND n_sources = 1 THEN 'P08' END AS diagnosis FROM i LEFT JOIN p USING (item_id)"""),
     "fuzzy_search": (fuzzy_search, r"""SELECT * FROM (SELECT page_id, url, CAST(CASE WHEN lower(url) = 'example.net/en' THEN 100 WHEN starts_with(lower(url), 'example.net/en') THEN 80 WHEN contains(lower(url), 'example.net/en') THEN 60
         WHEN regexp_matches(lower(url), '(?s)e.*x.*a.*m.*p.*l.*e.*\..*n.*e.*t.*/.*e.*n') THEN 30 END AS INTEGER) AS score FROM pages) WHERE score IS NOT NULL ORDER BY score DESC, page_id LIMIT 50"""),
-    "repo_filter": (repo_filter, f"""WITH {BM25_SQL} SELECT item_id, doc_id, 'https://host.test/' || source AS repo, rank FROM top JOIN tk USING (doc_id) WHERE rank <= 200 AND (source IN ('src1', 'src12') OR contains(source, 'src7'))"""),
+    "repo_filter": (repo_filter, f"""WITH {BM25_SQL}, h AS (SELECT item_id, doc_id, 'https://host.test/' || source AS repo, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+        FROM top JOIN tk USING (doc_id) WHERE source IN ('src1', 'src12') OR contains(source, 'src7')) SELECT * FROM h WHERE rank <= 200"""),
 }

@@ -120,20 +120,29 @@ def detection_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rules.detection(rows, "lang", F.col("flagged"), F.col("quality") == 0)
 
 
+def _answers(index: lexical.Index, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """q, id: the documents that hold an item's whole text, word by word.
+
+    A document that does holds all of the item's tokens, the rarest too: only documents with that one are compared."""
+    words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(" "))
+    asked = items.select("item_id", words("text").alias("passage"), F.explode(T.code_tokens(F.col("text"))).alias("token"))
+    rarest = asked.join(index.weights, "token").groupBy("item_id", "passage").agg(F.max_by("token", F.struct("idf", "token")).alias("token"))
+    held = index.tokens.select("doc_id", F.explode("tokens").alias("token")).join(rarest, "token").select("doc_id", "item_id", "passage")
+    both = docs.select("doc_id", words("text").alias("w")).join(held, "doc_id").where(F.contains("w", F.col("passage")))
+    return both.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id")).distinct()
+
+
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages as questions; documents that hold the passage word by word (by its first eight words) are the answers."""
+    """Benchmark passages as questions; documents that hold the whole passage are the answers."""
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    ranked = lexical.ranked(lexical.bm25(docs, items), "item_id", "doc_id", k=5).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    runs = docs.select("doc_id", words("text").alias("w")).where("size(w) >= 8").select(F.col("doc_id").alias("id"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("run"))
-    asked = items.select(F.col("item_id").alias("q"), F.array_join(F.slice(words("text"), 1, 8), " ").alias("run"))
-    truth = runs.join(asked, "run").select("q", "id").distinct()
-    return rules.retrieval_metrics(items.select(F.col("item_id").alias("q")), ranked, truth)
+    index = lexical.Index.of(docs)
+    ranked = lexical.search(index, items, 5).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
+    return rules.retrieval_metrics(items.select(F.col("item_id").alias("q")), ranked, _answers(index, docs, items))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """The first ten hits of each item gathered by source, as citations of line spans."""
-    top = lexical.ranked(lexical.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")), "item_id", "doc_id", k=10)
+    top = lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 10)
     docs = table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 100 + 1).alias("start_line"), (F.col("doc_id") % 100 + F.size(F.split("text", "\n"))).alias("end_line"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("fn"), "doc_id")).alias("symbol"))
     return rules.citations(top.withColumn("score", F.col("score") - 40).join(docs, "doc_id"), ["item_id", "source"])
 
@@ -162,7 +171,7 @@ def repo_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     """Of the twenty first hits of each item, those that fit 14,000 characters."""
-    top = lexical.ranked(lexical.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")), "item_id", "doc_id", k=20)
+    top = lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 20)
     sizes = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("size"))
     return files.fitted(top.join(sizes, "doc_id"), "item_id", "rank", "size", 14_000)
 
@@ -232,9 +241,9 @@ QUERIES = {
     "detection_metrics": (detection_metrics, """WITH r AS (SELECT lang, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) > 20 AS f, quality = 0 AS t FROM documents JOIN labels USING (doc_id)),
         c AS (SELECT lang, count(*) FILTER (f AND t) AS tp, count(*) FILTER (f AND NOT t) AS fp, count(*) FILTER (NOT f AND t) AS fn, count(*) FILTER (NOT f AND NOT t) AS tn FROM r GROUP BY lang)
         SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 4) END AS f1 FROM c"""),
-    "retrieval_metrics": (retrieval_metrics, rf"""WITH {BM25_SQL}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
-        runs AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS run FROM w WHERE len(w) >= 8), a AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:8], ' ') AS run FROM benchmark),
-        truth AS (SELECT DISTINCT item_id, doc_id FROM runs JOIN a USING (run)), g AS (SELECT item_id, min(rank) AS first, count(*) AS n FROM top JOIN truth USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id)
+    "retrieval_metrics": (retrieval_metrics, rf"""WITH {BM25_SQL},
+        w AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS w FROM documents), a AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS p FROM benchmark),
+        truth AS (SELECT DISTINCT item_id, doc_id FROM w JOIN a ON contains(w, p)), g AS (SELECT item_id, min(rank) AS first, count(*) AS n FROM top JOIN truth USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id)
         SELECT count(*) AS n_queries, round(100 * avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 4) AS hit_at_k, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(100 * avg(coalesce(n, 0) / 5), 4) AS precision_at_k FROM benchmark LEFT JOIN g USING (item_id)"""),
     "citations": (citations, f"""WITH {BM25_SQL}, h AS (SELECT item_id, d.source, rank, t.score - 40 AS score, d.doc_id % 100 + 1 AS a, d.doc_id % 100 + len(string_split(d.text, chr(10))) AS b, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE 'fn' || d.doc_id END AS symbol FROM top t JOIN documents d USING (doc_id) WHERE rank <= 10)
         SELECT item_id, source, min(a) AS start_line, max(b) AS end_line, count(*) AS chunk_count, max(score) AS score, arg_max(symbol, (score, -rank)) FILTER (symbol IS NOT NULL) AS symbol, min(rank) AS first_rank, CASE WHEN max(score) >= 2 THEN 'high' WHEN max(score) >= -3 THEN 'medium' ELSE 'low' END AS trust FROM h GROUP BY item_id, source"""),

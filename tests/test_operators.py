@@ -143,3 +143,37 @@ def test_diverse_choice_matches_brute_force(spark):
         gain = {i: 0.5 * score[i] - 0.5 * max(float(unit[i] @ unit[j]) for j in picked) for i in range(12) if i not in picked}
         picked.append(max(gain, key=gain.get))
     assert got == picked and 1 not in got[:2]
+
+
+def test_stored_index_is_used_until_the_documents_change(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma delta"), (3, None)], "doc_id long, text string")
+    ask = spark.createDataFrame([(7, "gamma alpha")], "item_id long, text string")
+    index = lexical.Index.of(docs)
+    index.write(str(tmp_path), docs)
+    again = lexical.Index.read(str(tmp_path), docs.orderBy("text"))
+    want = lexical.search(docs, ask, 5).collect()
+    assert again is not None and lexical.search(again, ask, 5).collect() == want and {r["doc_id"] for r in want} == {1, 2}
+    assert lexical.Index.read(str(tmp_path), docs.withColumn("text", F.concat("text", F.lit("!")))) is None
+    assert lexical.Index.read(str(tmp_path), docs.union(docs.limit(1))) is None
+
+
+def test_search_in_blocks_is_as_in_one(spark, monkeypatch):
+    rows = [(i, " ".join(f"word{(i * j) % 17}" for j in range(1, 6)), f"s{i % 3}") for i in range(60)] + [(None, "word3 word4", "s0"), (5, "word3", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ask = spark.createDataFrame([(i, f"word{i} word{2 * i} other") for i in range(9)] + [(9, None)], "item_id long, text string")
+    index = lexical.Index.of(docs, carry=("source",))
+    found = lambda **how: sorted(map(tuple, lexical.search(index, ask, 4, **how).collect()), key=repr)
+    want = found(), found(within="source"), found(where=F.col("source") == "s1")
+    for name, n in (("DOCS", 7), ("QUERIES", 2), ("BROADCAST_TOKENS", 0)):
+        monkeypatch.setattr(lexical, name, n)
+    assert (found(), found(within="source"), found(where=F.col("source") == "s1")) == want
+    assert lexical.search(docs.limit(0), ask, 3).count() == 0 and lexical.search(docs, ask.limit(0), 3).count() == 0
+
+
+def test_dense_in_blocks_is_as_in_one(spark, monkeypatch):
+    v = spark.range(40).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * k).cast("float") for k in range(1, 6)]).alias("embedding"))
+    found = lambda: sorted(map(tuple, dense.cosine_top(v, v.where("vec_id % 7 = 0"), 3).collect()))
+    want = found()
+    monkeypatch.setattr(dense, "ROWS", 9)
+    monkeypatch.setattr(dense, "QUERIES", 2)
+    assert found() == want and len(want) == 18
