@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,143 +54,189 @@ CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTH
 SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ),
 )
-#: Spellings that count as one.
-EQUIVALENT = (("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("programme", "program"), ("https", "http"), ("acknowledgement", "acknowledgment"))
+#: Spellings of a word that count as one.
+EQUIVALENT = {
+    "acknowledgement": "acknowledgment",
+    "acknowledgements": "acknowledgments",
+    "authorise": "authorize",
+    "authorised": "authorized",
+    "copyrightholder": "copyright holder",
+    "favour": "favor",
+    "https": "http",
+    "licence": "license",
+    "licenced": "licensed",
+    "licences": "licenses",
+    "neighbouring": "neighboring",
+    "organisation": "organization",
+    "organisations": "organizations",
+    "programme": "program",
+    "programmes": "programs",
+    "sublicence": "sublicense",
+}
 #: Lines that name a holder or a year, left out before the digest.
 COPYRIGHT = r"(?i)^[^\p{L}\p{N}]*(?:copyright\b|\(c\)|©|portions copyright\b)"
 
-#: Files of ``license_texts`` that hold full public texts. MIT and ISC are in KNOWN.
-FULL = (("Apache-2.0", "allow"), ("BSD-2-Clause", "allow"), ("BSD-3-Clause", "allow"), ("CC0-1.0", "allow"), ("GPL-2", "review"), ("GPL-3", "review"), ("MPL-2.0", "review"))
-#: Canonical lines that only name a licence, left out of whole texts.
-TITLES = ("mit license", "the mit license", "the mit license mit", "mit license mit", "isc license", "the isc license", "isc license isc", "bsd license", "bsd 2 clause license", "the bsd 2 clause license", "bsd 3 clause license", "the bsd 3 clause license", "simplified bsd license", "new bsd license")
+#: Files of ``license_texts`` that hold full public texts, their names and whether they may be used to train. MIT and ISC are in KNOWN.
+FULL = {
+    "0BSD": ("0BSD", "allow"),
+    "Apache-2.0": ("Apache-2.0", "allow"),
+    "Artistic-1.0": ("Artistic-1.0", "review"),
+    "BSD-2-Clause": ("BSD-2-Clause", "allow"),
+    "BSD-3-Clause": ("BSD-3-Clause", "allow"),
+    "BSL-1.0": ("BSL-1.0", "allow"),
+    "CC0-1.0": ("CC0-1.0", "allow"),
+    "GFDL-1.3": ("GFDL-1.3", "review"),
+    "GPL-1": ("GPL-1.0", "review"),
+    "GPL-2": ("GPL-2.0", "review"),
+    "GPL-3": ("GPL-3.0", "review"),
+    "LGPL-2": ("LGPL-2.0", "review"),
+    "LGPL-2.1": ("LGPL-2.1", "review"),
+    "LGPL-3": ("LGPL-3.0", "review"),
+    "MPL-1.1": ("MPL-1.1", "review"),
+    "MPL-2.0": ("MPL-2.0", "review"),
+    "OFL-1.1": ("OFL-1.1", "review"),
+    "Unlicense": ("Unlicense", "allow"),
+    "WTFPL": ("WTFPL", "allow"),
+    "Zlib": ("Zlib", "allow"),
+}
+#: Canonical lines that only name a licence, left out of whole texts.
+TITLES = (
+    "0bsd license",
+    "bsd 2 clause license",
+    "bsd 3 clause license",
+    "bsd license",
+    "bsd zero clause license",
+    "isc license",
+    "isc license isc",
+    "mit license",
+    "mit license mit",
+    "new bsd license",
+    "simplified bsd license",
+    "the bsd 2 clause license",
+    "the bsd 3 clause license",
+    "the isc license",
+    "the mit license",
+    "the mit license mit",
+    "the unlicense",
+    "the zlib license",
+    "zero clause bsd",
+    "zlib license",
+)
 #: Lines that name a holder, also those that end in "All rights reserved.", but not lines of a licence that begin by the word.
 HOLDER = r"(?i)^[^A-Za-z0-9]*(?:(?:portions )?copyright\b(?!.*\bnotice).*(?:\d{4}|\(c\)|©|<year>|\[y+\]|\[year\]|all rights reserved)|©|\(c\) *(?:copyright *)?(?:\d{4}|<year>)|all rights reserved\W*$)"
+#: Policies, the strictest last.
+POLICIES = ("none", "allow", "review", "forbid")
 
 
-def canonical_line(line: Column) -> Column:
-    """Lower case, words parted by single blanks, one spelling each, copyright lines empty."""
-    folded = F.array_join(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), " ")
-    for other, one in EQUIVALENT:
-        folded = F.replace(folded, F.lit(other), F.lit(one))
-    return F.when(line.rlike(COPYRIGHT) & ~line.rlike(r"(?i)all rights reserved\W*$|notice"), "").otherwise(F.trim(folded))
+def _folded(line: Column) -> Column:
+    """Lower case, words parted by single blanks, one spelling each."""
+    pairs = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
+    words = F.split(F.lower(line), r"[^\p{L}\p{N}]+")
+    return F.trim(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(pairs, w), w)), " "))
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text that aren't empty."""
-    return F.filter(F.transform(F.split(text, "\n"), canonical_line), lambda x: x != "")
+def lines_of(text: Column) -> Column:
+    """Array of structs (raw, words) of the lines of a text."""
+    return F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("raw"), _folded(x).alias("words")))
 
 
-def digest(canonical: Column) -> Column:
-    return F.sha2(canonical, 256)
-
-
-def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """digest, license, policy: one row per canonical text of the list, whose size is fixed."""
-    rows = spark.createDataFrame(list(texts), "license string, policy string, text string")
-    whole = F.concat_ws(" ", canonical_lines(F.col("text")))
-    return rows.select(digest(whole).alias("digest"), "license", "policy").groupBy("digest").agg(F.min("license").alias("license"), F.min("policy").alias("policy"))
-
-
-def body(text: Column) -> Column:
-    """The canonical words of a text without its titles and holders."""
+def canonical_lines(lines: Column) -> Column:
+    """The words of the lines that aren't empty; lines that name a holder are."""
+    named = lambda x: x.rlike(COPYRIGHT) & ~x.rlike(r"(?i)all rights reserved\W*$|notice")
+    return F.filter(F.transform(lines, lambda x: F.when(named(x["raw"]), "").otherwise(x["words"])), lambda x: x != "")
 
-    def line(x: Column) -> Column:
-        folded = F.array_join(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), " ")
-        for other, one in EQUIVALENT:
-            folded = F.replace(folded, F.lit(other), F.lit(one))
-        return F.when(x.rlike(HOLDER), "").otherwise(F.trim(folded))
 
-    return F.concat_ws(" ", F.filter(F.transform(F.split(text, "\n"), line), lambda x: (x != "") & ~x.isin(*TITLES)))
+def body(lines: Column) -> Column:
+    """The words of a text without its titles and holders."""
+    kept = F.filter(lines, lambda x: (x["words"] != "") & ~x["words"].isin(*TITLES) & ~x["raw"].rlike(HOLDER))
+    return F.concat_ws(" ", F.transform(kept, lambda x: x["words"]))
 
 
-def _body(text: str) -> str:
-    """The same of a known text."""
-    out = []
-    for x in text.split("\n"):
-        folded = re.sub(r"[\W_]+", " ", x.lower())
-        for other, one in EQUIVALENT:
-            folded = folded.replace(other, one)
-        if folded.strip() and folded.strip() not in TITLES and not re.search(HOLDER, x):
-            out.append(folded.strip())
-    return " ".join(out)
+def digest(canonical: Column) -> Column:
+    return F.sha2(canonical, 256)
 
 
-@lru_cache(maxsize=1)
-def full_texts() -> tuple[tuple[str, str, str], ...]:
-    """Licence, policy and words of the full texts, those with an appendix also without it."""
-    out = [(name, policy, _body(text)) for name, policy, text in KNOWN if len(text) > 500]
-    for name, policy in FULL:
-        text = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text("utf-8")
-        license = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}.get(name, name)
+def full_texts() -> list[tuple[str, str, str]]:
+    """Licence, policy and text of the full texts, those with an appendix also without it."""
+    out = [row for row in KNOWN if len(row[2]) > 500]
+    for file, (name, policy) in FULL.items():
+        text = (Path(__file__).parent / "license_texts" / f"{file}.txt").read_text("utf-8")
         end = re.search(r"END OF TERMS AND CONDITIONS", text)
-        out += [(license, policy, _body(x)) for x in ([text, text[: end.end()], text[: end.start()]] if end else [text])]
-    return tuple(out)
-
-
-def full_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, h, part (0: it is the text, 1: the text is among its words), license, policy of each full text in a document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select("doc_id", F.xxhash64(text).alias("h"), F.explode(F.array(body(text))).alias("words"))  # worked out once
-    found = [
-        F.when(
-            F.contains(F.concat(F.lit(" "), "words", F.lit(" ")), F.lit(f" {known} ")),
-            F.struct(F.when(F.col("words") == known, 0).otherwise(1).alias("part"), F.lit(license).alias("license"), F.lit(policy).alias("policy")),
-        )
-        for license, policy, known in full_texts()
-    ]
-    least = min(len(known) for _, _, known in full_texts())
-    return words.where(F.length("words") >= least).select("doc_id", "h", F.explode(F.array_compact(F.array(*found))).alias("m")).select("doc_id", "h", "m.*")
-
-
-def scanned(docs: DataFrame, texts=KNOWN) -> DataFrame:
-    """A row for each row of docs: doc_id, license (of the whole text, or null), notices (of lines, sorted and
-    comma-joined, maybe empty), policy (forbid, review, allow or none; the strictest that was found).
-
-    Each text gives one digest for the whole and one for each distinct line; they meet the known digests in a hash
-    join, and only what was found is shuffled. Full texts of licences are also looked for among the words, whatever titles,
-    holders or other text stand around them: one that is the whole gives license, another counts as a notice. Null texts hold nothing. Equal rows give equal rows. Other columns of docs
-    are not read.
+        out += [(name, policy, x) for x in ([text, text[: end.end()], text[: end.start()]] if end else [text])]
+    return out
+
+
+def known(spark: SparkSession, texts=KNOWN, full=None) -> DataFrame:
+    """digest, words, full, license, policy (its place in POLICIES): a row per canonical text of the lists. Of the full texts
+    the words stand by, without titles and holders; of several with the same digest the strictest policy holds."""
+    rows = [(*row, False) for row in texts] + [(*row, True) for row in (full_texts() if full is None else full)]
+    rows = spark.createDataFrame(rows, "license string, policy string, text string, full boolean").select("*", lines_of(F.col("text")).alias("lines"))
+    words = F.when(F.col("full"), body(F.col("lines"))).otherwise(F.concat_ws(" ", canonical_lines(F.col("lines"))))
+    rank = F.array_position(F.array(*map(F.lit, POLICIES)), F.col("policy")) - 1
+    rows = rows.select(words.alias("words"), "full", "license", rank.alias("policy"))
+    return rows.groupBy(digest(F.col("words")).alias("digest"), "words").agg(F.max("full").alias("full"), F.min("license").alias("license"), F.max("policy").cast("int").alias("policy"))
+
+
+def scanned(docs: DataFrame, texts=KNOWN, full=None) -> DataFrame:
+    """A row for each row of docs: doc_id, license (of the whole text, or null), notices (of lines, and of full texts that stand
+    among others; sorted and comma-joined, maybe empty), policy (forbid, review, allow or none; the strictest that was found).
+
+    Each text gives a digest for the whole, one for the whole without titles and holders, and one for each distinct line;
+    they meet the known digests in a hash join, and only what was found is shuffled. A known full text that stands among
+    other words, whatever line breaks, titles and holders are about it, gives its digest as well. Null texts hold nothing.
+    Equal rows give equal rows. Other columns of docs are not read. The list of known texts goes to all tasks:
+    it may have 10,000 texts and 10 MB at most.
     """
     spark = docs.sparkSession
+    table = known(spark, texts, full).collect()  # the list given, whose size is checked here
+    if len(table) > 10_000 or sum(len(r["words"]) for r in table) > 10_000_000:
+        raise ValueError("the list of known licences is too long to go to all tasks")
+    listed = spark.createDataFrame([(r["digest"], r["license"], r["policy"]) for r in table], "digest string, license string, policy int")
+    inner = sorted({(r["words"], r["digest"]) for r in table if r["full"]})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), canonical_lines(text).alias("lines"))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), lines_of(text).alias("lines"))
+    keyed = keyed.select("doc_id", "h", canonical_lines(F.col("lines")).alias("lines"), body(F.col("lines")).alias("body"))
+    mark = lambda part, value: F.struct(F.lit(part).alias("part"), value.alias("digest"))
+    padded = F.concat(F.lit(" "), "body", F.lit(" "))
+    among = F.array(*[F.when((F.length("body") > len(w)) & F.contains(padded, F.lit(f" {w} ")), mark(1, F.lit(d))) for w, d in inner])
+    least = min((len(w) for w, _ in inner), default=0)
     marks = F.concat(
-        F.array(F.struct(F.lit(0).alias("part"), digest(F.concat_ws(" ", "lines")).alias("digest"))),
-        F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(1).alias("part"), digest(x).alias("digest"))),
+        F.array(mark(0, digest(F.concat_ws(" ", "lines"))), mark(0, digest(F.col("body")))),
+        F.transform(F.array_distinct("lines"), lambda x: mark(1, digest(x))),
+        F.when(F.length("body") > least, F.array_compact(among)).otherwise(F.array().cast("array<struct<part:int,digest:string>>")),
     )
     each = keyed.select("doc_id", "h", F.explode(marks).alias("m")).select("doc_id", "h", "m.part", F.col("m.digest").alias("mark"))
-    hits = each.join(F.broadcast(known(spark, texts)), F.col("mark") == F.col("digest"))  # a list of fixed size
-    hits = hits.select("doc_id", "h", "part", "license", "policy").unionByName(full_hits(docs))
-    ranks = F.when(F.col("policy") == "forbid", 3).when(F.col("policy") == "review", 2).otherwise(1)
+    hits = each.join(F.broadcast(listed), F.col("mark") == F.col("digest"))
     hits = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).agg(
         F.min(F.when(F.col("part") == 0, F.col("license"))).alias("license"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("part") == 1, F.col("license")))), ",").alias("notices"),
-        F.max(ranks).alias("rank"),
+        F.max("policy").alias("rank"),
     )
     ids = docs.select("doc_id", F.xxhash64(text).alias("h"))
     joined = ids.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
-    policy = F.get(F.array(*map(F.lit, ("none", "allow", "review", "forbid"))), F.coalesce("rank", F.lit(0)))
+    policy = F.get(F.array(*map(F.lit, POLICIES)), F.coalesce("rank", F.lit(0)))
     return joined.select("doc_id", "license", F.coalesce("notices", F.lit("")).alias("notices"), policy.alias("policy"))
 
 
 def duckdb_sql(texts=KNOWN) -> str:
     """The same lookup for DuckDB, over canonical texts instead of their digests."""
 
+    spelled = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in EQUIVALENT.items()) + " ELSE w END"
+
     def canonical(line: str) -> str:
-        folded = f"trim(regexp_replace(lower({line}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-        for other, one in EQUIVALENT:
-            folded = f"replace({folded}, '{other}', '{one}')"
+        words = f"string_split(regexp_replace(lower({line}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+        folded = f"trim(array_to_string(list_transform({words}, lambda w: {spelled}), ' '))"
         dropped = r"(?i)^[^\p{L}\p{N}]*(?:copyright\b|\(c\)|©|portions copyright\b)"
         return rf"CASE WHEN regexp_matches({line}, '{dropped}') AND NOT regexp_matches({line}, '(?i)all rights reserved\W*$|notice') THEN '' ELSE {folded} END"
 
     values = ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in texts)
     return f"""
     WITH source(license, policy, body) AS (VALUES {values}),
-    known AS (SELECT canon, min(license) AS license, min(policy) AS policy FROM (
+    known AS (SELECT canon, min(license) AS license, max(CASE policy WHEN 'forbid' THEN 3 WHEN 'review' THEN 2 ELSE 1 END) AS rank FROM (
         SELECT license, policy, array_to_string(list_filter([{canonical('x')} FOR x IN string_split(body, chr(10))], lambda y: y <> ''), ' ') AS canon FROM source) GROUP BY canon),
     lines AS (SELECT doc_id, text, list_filter([{canonical('x')} FOR x IN string_split(coalesce(text, ''), chr(10))], lambda y: y <> '') AS ls FROM documents),
     marks AS (SELECT doc_id, text, 0 AS part, array_to_string(ls, ' ') AS canon FROM lines UNION ALL SELECT doc_id, text, 1, unnest(list_distinct(ls)) FROM lines),
     hits AS (SELECT doc_id, text, min(license) FILTER (part = 0) AS license, string_agg(DISTINCT license, ',' ORDER BY license) FILTER (part = 1) AS notices,
-        max(CASE policy WHEN 'forbid' THEN 3 WHEN 'review' THEN 2 ELSE 1 END) AS rank FROM (SELECT DISTINCT * FROM marks) JOIN known USING (canon) GROUP BY doc_id, text)
+        max(rank) AS rank FROM (SELECT DISTINCT * FROM marks) JOIN known USING (canon) GROUP BY doc_id, text)
     SELECT d.doc_id, h.license, coalesce(h.notices, '') AS notices, ['none', 'allow', 'review', 'forbid'][coalesce(rank, 0) + 1] AS policy
     FROM documents d LEFT JOIN hits h ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text IS NOT DISTINCT FROM h.text"""

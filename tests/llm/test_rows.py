@@ -420,3 +420,37 @@ def test_full_licence_texts_are_found_with_title_and_holder(spark):
     whole = [(n, "", p) for n, p in (("MIT", "allow"), ("MIT", "allow"), ("BSD-3-Clause", "allow"), ("Apache-2.0", "allow"), ("GPL-3.0", "review"), ("MPL-2.0", "review"))]
     assert [(a, c) for a, _, c in got[:6]] == [(a, c) for a, _, c in whole]
     assert got[6:] == [(None, "MIT", "allow"), (None, "", "none")]
+
+
+@pytest.fixture(scope="module")
+def licence_rows(spark):
+    """What is found in each licence file as it is, among prose with other line breaks, and cut short."""
+    texts, folder = {}, Path(licences.__file__).parent / "license_texts"
+    files = {n: (name, policy, (folder / f"{n}.txt").read_text()) for n, (name, policy) in licences.FULL.items()}
+    files |= {n: (n, p, t) for n, p, t in licences.KNOWN if len(t) > 500}
+    for n, (_, _, text) in files.items():
+        texts[n, "whole"] = text
+        texts[n, "holder"] = "Copyright (c) 1999-2024 Some Body <x@y.org>. All rights reserved.\n\n" + text.upper()
+        texts[n, "among"] = "A readme of a thing.\n\n" + "\n".join(x if re.search(licences.HOLDER, x) else textwrap.fill(x, 50) for x in text.split("\n")) + "\n\nint main() { return 0; }"
+        texts[n, "cut"] = text[: len(text) // 2]
+    keys = list(texts)
+    rows = licences.scanned(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(keys)], "doc_id long, text string")).collect()
+    return files, {keys[r["doc_id"]]: r for r in rows}
+
+
+@pytest.mark.parametrize("file", [*licences.FULL, "MIT", "ISC"])
+def test_every_licence_file_is_found(licence_rows, file):
+    files, rows = licence_rows
+    name, policy, _ = files[file]
+    at_least = lambda r: licences.POLICIES.index(r["policy"]) >= licences.POLICIES.index(policy)
+    assert rows[file, "whole"]["license"] == name and at_least(rows[file, "whole"])
+    assert rows[file, "holder"]["license"] == name
+    assert rows[file, "among"]["license"] is None and name in rows[file, "among"]["notices"].split(",") and at_least(rows[file, "among"])
+    assert rows[file, "cut"]["license"] is None and name not in rows[file, "cut"]["notices"].split(",")
+
+
+def test_spellings_are_of_whole_words_and_the_strictest_policy_holds(spark):
+    texts = (("A", "allow", "the programmer has a license"), ("B", "forbid", "The Programmer -- has a LICENCE"), ("C", "allow", "organisation organisation"))
+    docs = spark.createDataFrame([(1, "The programmer has a licence!"), (2, "the programr has a license"), (3, "organization  organisation")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["policy"]) for r in licences.scanned(docs, texts, []).collect()}
+    assert got == {1: ("A", "forbid"), 2: (None, "none"), 3: ("C", "allow")}
