@@ -12,11 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.spans import let
 from loomspark.llm.words import folded_words
 from loomspark.session import checkpointed
 
-#: Up to so many windows go to all tasks at once (some 300 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Words of windows that are asked for in each text as a set: so many, and so many bytes of them, at most. More are joined.
+SET_WORDS, SET_BYTES = 50_000, 1_000_000
+#: A table of windows or of their words is sent to all tasks up to so many bytes, else joined by a shuffle.
+BROADCAST_BYTES = 64_000_000
 
 
 def windows_of(items: DataFrame, size: int = 10) -> DataFrame:
@@ -30,64 +33,94 @@ def windows_of(items: DataFrame, size: int = 10) -> DataFrame:
     return each.distinct()
 
 
-def _sized(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_WINDOWS else df
+def _sized(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if its rows, of so many bytes each and 50 more, are few enough."""
+    total = df.agg(F.coalesce(F.sum(size + 50), F.lit(0)).alias("n")).first()["n"]  # one number
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Frame of doc_id, h (hash of the text), n_words, and for each place of a window in the document start, stop (0-based,
-    exclusive) and window; a document without any has one row with nulls there. And the windows of items.
+def _wanted(words: DataFrame) -> list[str] | None:
+    """The words (one column) if they are few enough to be asked for as a set."""
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(words.columns[0])), F.lit(0))).first()
+    return [r[0] for r in words.collect()] if n <= SET_WORDS and size <= SET_BYTES else None
 
-    Documents are scanned twice: for the counts of the windows' words, and for the join.
+
+def _holding(words: Column, wanted: list[str] | None) -> Column:
+    """Array of structs (pos, word) of the words that are in the set, or of all without one."""
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    return placed if wanted is None else F.filter(placed, lambda x: x["word"].isin(wanted))
+
+
+def counted(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """word, n: how often each word of the vocabulary (v) comes in the documents; words that never come are missing."""
+    wanted = _wanted(vocabulary)
+    words = docs.select(folded_words(F.col("text").cast("string")).alias("words"))
+    each = words.select(F.explode(_holding(F.col("words"), wanted)).alias("x")).select("x.word")
+    if wanted is None:
+        each = each.join(_sized(vocabulary, F.octet_length("v")), F.col("word") == F.col("v"), "left_semi")
+    return each.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frame of doc_id, h (hash of the text) and, for each place of a window in a document, start, stop (0-based, exclusive) and
+    window; frame of doc_id, h, n_words of each row of docs; and the windows of items.
+
+    Texts are cut into words twice: for the counts of the windows' words, and for the join. Of a text only the places of
+    prefixes, with the words about them, leave its row.
     """
     per_item = checkpointed(windows_of(items, size))
-    windows = per_item.select("words").distinct()
-    n_windows = windows.count()
-    vocabulary = windows.select(F.explode("words").alias("v")).distinct()
-
-    words = docs.select(F.explode(folded_words(F.col("text").cast("string"))).alias("word"))
-    counted = words.join(_sized(vocabulary, n_windows), F.col("word") == F.col("v"), "left_semi").groupBy("word").count()
-    ranked = windows.select("words", F.posexplode("words").alias("at", "v")).join(counted, F.col("v") == F.col("word"), "left")
-    prefix = ranked.groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "v", "at")).alias("x"))
+    windows = checkpointed(per_item.select("words").distinct())
+    vocabulary = checkpointed(windows.select(F.explode("words").alias("v")).distinct())
+    counts = checkpointed(counted(docs, vocabulary))
+    ranked = windows.select("words", F.posexplode("words").alias("at", "v")).join(_sized(counts, F.octet_length("word")), F.col("v") == F.col("word"), "left")
+    prefix = ranked.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "v", "at")).alias("x"))
     # A window with a word that no document has can't occur; it needs no place in the join.
     prefix = checkpointed(prefix.where("x.n > 0").select(F.col("words").alias("window"), F.col("x.v").alias("rarest"), F.col("x.at").alias("at")))
+    rarest = checkpointed(prefix.select("rarest").distinct())
+    wanted = _wanted(rarest)
 
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), folded_words(text).alias("words"))
-    rows = rows.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), "words", F.posexplode_outer("words").alias("pos", "word"))
+
+    def about(words: Column) -> Column:
+        """The number of words, and the places of prefixes with the words that a window can have before and after them."""
+        around = lambda x: F.slice(words, F.greatest(x["pos"] - size + 2, F.lit(1)), 2 * size - 1)
+        places = F.transform(_holding(words, wanted), lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), around(x).alias("around")))
+        return F.struct(F.size(words).cast("long").alias("n_words"), places.alias("about"))
+
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), let(folded_words(text), about).alias("x")).select("doc_id", "h", "x.*")
+    if wanted is not None:
+        rows = checkpointed(rows)
+    places = rows.select("doc_id", "h", "n_words", F.explode("about").alias("x")).select("doc_id", "h", "n_words", "x.*")
+    if wanted is None:
+        places = places.join(_sized(rarest.withColumnRenamed("rarest", "r"), F.octet_length("r")), F.col("word") == F.col("r"), "left_semi")
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
-    if n_windows <= BROADCAST_WINDOWS:
-        around, first = F.col("words"), start
-    else:  # the shuffled row carries only the words about it
-        around, first = F.slice("words", F.greatest(F.col("pos") - size + 2, F.lit(1)), 2 * size), start - F.greatest(F.col("pos") - size + 1, F.lit(0))
-    rows = rows.select("doc_id", "h", "n_words", "pos", "word", around.alias("around"))
+    first = start - F.greatest(F.col("pos") - size + 1, F.lit(0))
     same = F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("window")) == F.col("window")
-    joined = rows.join(_sized(prefix, n_windows), (F.col("word") == F.col("rarest")) & fits & same, "left")
-    joined = joined.where(F.col("window").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
-    return joined.select("doc_id", "h", "n_words", start.alias("start"), (start + F.size("window")).alias("stop"), F.col("window")), per_item
-
+    bytes_of = F.aggregate("window", F.lit(0), lambda n, w: n + F.octet_length(w) + 20)
+    found = places.join(_sized(prefix, bytes_of), (F.col("word") == F.col("rarest")) & fits & same)
+    return found.select("doc_id", "h", start.alias("start"), (start + F.size("window")).alias("stop"), "window"), rows.select("doc_id", "h", "n_words"), per_item
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """A row for each distinct (doc_id, text) of docs: doc_id, h, n_words, n_hit, n_items, item_ids (sorted strings).
 
-    h is a 64-bit hash of the text, which tells rows of one doc_id apart. A document word is hit if it lies in an
-    occurrence of a window; an item is counted if one of its windows occurs. Null and empty texts have no words.
-    """
-    found, per_item = hits(docs, items, size)
+def contaminated(found: DataFrame, per_item: DataFrame) -> DataFrame:
+    """doc_id, h, n_hit (words in an occurrence of a window), item_ids (sorted strings; items of which a window occurs) of each
+    (doc_id, text) in which any does, from hits()."""
     found = checkpointed(found)
-    places = found.where("start is not null").select("doc_id", "h", "start", "stop").distinct()
+    places = found.select("doc_id", "h", "start", "stop").distinct()
     # Number of words under the union of the places: each adds what lies beyond all those before it.
     last = F.expr("max(stop) over (partition by doc_id, h order by start, stop rows between unbounded preceding and 1 preceding)")
     added = places.select("doc_id", "h", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(last, F.lit(0)))).alias("n"))
     n_hit = added.groupBy("doc_id", "h").agg(F.sum("n").cast("long").alias("n_hit"))
-    pairs = found.where("start is not null").select("doc_id", "h", "window").distinct()
-    pairs = pairs.join(per_item, F.col("window") == F.col("words")).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    both = _keyed(n_hit, "a").join(_keyed(pairs, "b"), (F.col("a_id").eqNullSafe(F.col("b_id"))) & (F.col("a_h") == F.col("b_h")))
-    base = found.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"))
-    out = base.join(both, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")), "left")
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
+    # Windows that the same items have count once for a document, and bring their items as one list.
+    owners = checkpointed(per_item.groupBy(F.col("words").alias("window_of")).agg(F.array_sort(F.collect_set("item_id")).alias("ids")))
+    owners = owners.select("window_of", "ids", F.xxhash64("ids").alias("owner"))
+    size = F.aggregate("window_of", F.lit(0), lambda n, w: n + F.octet_length(w) + 20)
+    pairs = found.select("doc_id", "h", "window").join(_sized(owners.select("window_of", "owner"), size), F.col("window") == F.col("window_of")).select("doc_id", "h", "owner").distinct()
+    lists = owners.groupBy(F.col("owner").alias("o")).agg(F.first("ids").alias("ids"))
+    ids_size = F.aggregate("ids", F.lit(0), lambda n, x: n + F.octet_length(x) + 20)
+    named = pairs.join(_sized(lists, ids_size), F.col("owner") == F.col("o")).groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
+    both = _keyed(n_hit, "a").join(_keyed(named, "b"), F.col("a_id").eqNullSafe(F.col("b_id")) & (F.col("a_h") == F.col("b_h")))
+    return both.select(F.col("a_id").alias("doc_id"), F.col("a_h").alias("h"), "n_hit", "item_ids")
 
 
 def _keyed(df: DataFrame, name: str) -> DataFrame:
@@ -99,16 +132,23 @@ def text_hash(text: Column) -> Column:
 
 
 def judged(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """A row for each row of docs: doc_id and the columns of contaminated(); equal rows give equal rows."""
-    found = _keyed(contaminated(docs, items, size), "f")
-    ids = docs.select("doc_id", text_hash(F.col("text")).alias("h"))
-    return ids.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))).drop("f_id", "f_h")
+    """A row for each row of docs: doc_id, h, n_words, n_hit, n_items, item_ids (sorted strings); equal rows give equal rows.
+
+    h is a 64-bit hash of the text, which tells rows of one doc_id apart. A document word is hit if it lies in an
+    occurrence of a window; an item is counted if one of its windows occurs. Null and empty texts have no words.
+    """
+    found, rows, per_item = hits(docs, items, size)
+    bad = _keyed(contaminated(found, per_item), "f")
+    out = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")), "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    return out.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs, all their columns as they were, in which no window of an item occurs."""
-    found = contaminated(docs, items, size).where("n_hit > 0").select(F.col("doc_id").alias("__bad_id"), F.col("h").alias("__bad_h"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (text_hash(docs["text"]) == F.col("__bad_h")), "left_anti")
+    found, _, per_item = hits(docs, items, size)
+    bad = contaminated(found, per_item).select(F.col("doc_id").alias("__bad_id"), F.col("h").alias("__bad_h"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (text_hash(docs["text"]) == F.col("__bad_h")), "left_anti")
 
 
 def duckdb_sql(size: int = 10) -> str:

@@ -38,9 +38,10 @@ ITEMS = [(1, "the same words again and again the same words again and again"), (
          (5, " ".join(f"w{i}" for i in range(500, 540))), (6, "again and again the same words again and again the same extra tail"), (2, "Short ITEM"), (7, "É à Zürich")]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_matches_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+@pytest.mark.parametrize(("words", "size"), [(50_000, 64_000_000), (0, 64_000_000), (0, 0), (50_000, 0)])
+def test_matches_brute_force(spark, monkeypatch, words, size):
+    monkeypatch.setattr(decontam, "SET_WORDS", words)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
     rows = [*nasty.rows(), (60, "here is a short, item: and w501 w502", *[None] * 8), (61, "x " + " ".join(f"W{i}" for i in range(495, 512)), *[None] * 8)]
     got = decontam.judged(spark.createDataFrame(rows, nasty.SCHEMA), spark.createDataFrame(ITEMS, "item_id int, text string")).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["item_ids"])) for r in got) == brute([r[:2] for r in rows], ITEMS)
