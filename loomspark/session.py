@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +24,35 @@ def local_session(app: str = "loomspark", cores: int | str = "*", partitions: in
     )
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package sent to its executors once, so that tasks can import it wherever they run.
+
+    Where it is installed on all machines (see pyproject.toml) this changes nothing.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_loomspark_shipped", False):
+        folder = tempfile.mkdtemp(prefix="spark-")  # on the driver, which serves it to the executors
+        with zipfile.ZipFile(f"{folder}/loomspark.zip", "w", zipfile.ZIP_DEFLATED) as out:
+            package = Path(__file__).resolve().parent
+            for file in sorted(package.rglob("*")):
+                if file.suffix in (".py", ".txt"):
+                    out.write(file, file.relative_to(package.parent))
+        context.addPyFile(f"{folder}/loomspark.zip")
+        context._loomspark_shipped = True
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where neither that nor a folder set by
-    hand exists (a single machine, as in tests) is a temporary one taken.
+    The folder is the session's ``spark.checkpoint.dir``. Where neither that nor a folder set by hand exists, a temporary one
+    is taken on a single machine, as in tests; on a cluster, whose executors would each write to their own disk, it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
