@@ -25,7 +25,8 @@ def imported(text: Column, language: str) -> Column:
 
 
 def stem(module: Column) -> Column:
-    """The last part of a path or dotted module, without an extension of a path, in lower case."""
+    """The last part of a path or dotted module (:: counts as a dot), without an extension of a path, in lower case."""
+    module = F.replace(module, F.lit("::"), F.lit("."))
     tail = F.element_at(F.split(F.regexp_replace(module, "^[.]+", ""), "[/\\\\]"), -1)
     dotted = F.element_at(F.split(module, "\\."), -1)
     return F.lower(F.when(module.contains("/"), F.regexp_replace(tail, r"\..*$", "")).otherwise(dotted))
@@ -47,14 +48,17 @@ def package_json(text: Column) -> Column:
 
 
 def claims(text: Column) -> Column:
-    """Array of (file, start, end) cited as file:3-9 or "lines 3-9 in file"; the end is the start where none is given."""
-    take = lambda p, g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    """Array of (file, start, end) cited as file:3-9 or "lines 3-9 in file", in the order of the text, each once; the end is the
+    start where none is given."""
+    found = F.regexp_extract_all(text, F.lit(f"(?:{IN_WORDS})|(?:{CITED})"), F.lit(0))
 
-    def zipped(p, f, a, b):
-        rows = F.arrays_zip(take(p, f).alias("f"), take(p, a).alias("a"), take(p, b).alias("b"))
-        return F.transform(rows, lambda r: F.struct(r["f"].alias("file"), r["a"].cast("int").alias("start"), F.coalesce(r["b"].try_cast("int"), r["a"].cast("int")).alias("end")))
+    def read(m: Column) -> Column:
+        worded = m.rlike("(?i)^lines?\\s")
+        part = lambda words, cited: F.when(worded, F.regexp_extract(m, IN_WORDS, words)).otherwise(F.regexp_extract(m, CITED, cited))
+        start = part(1, 2).try_cast("int")
+        return F.struct(part(3, 1).alias("file"), start.alias("start"), F.coalesce(part(2, 3).try_cast("int"), start).alias("end"))
 
-    return F.array_distinct(F.concat(zipped(CITED, 1, 2, 3), zipped(IN_WORDS, 3, 1, 2)))
+    return F.array_distinct(F.transform(found, read))
 
 
 def without_thoughts(text: Column) -> Column:
@@ -78,3 +82,21 @@ def sections(text: Column) -> Column:
     """Array of (file, body) of FILE: name ... END FILE blocks."""
     p = r"(?sm)^FILE: ([^\n]+)\n(.*?)^END FILE"
     return F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.trim(x)).alias("file"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("body"))
+
+
+def go_modules(text: Column) -> Column:
+    """Array of (name, version) that a go.mod requires, on lines of their own or in a block."""
+    pattern = r"(?m)^[ \t]*(?:require[ \t]+)?([a-z0-9.\-]+\.[a-z]+/[^\s]+)[ \t]+v(\d+\.\d+\.\d+)"
+    take = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    return F.zip_with(take(1), take(2), lambda n, v: F.struct(n.alias("name"), v.alias("version")))
+
+
+#: The comments of a review, as they stand in JSON between fences.
+COMMENTS = "array<struct<file:string,line:int,quote:string,comment:string>>"
+
+
+def comments(text: Column, most: int = 12) -> Column:
+    """Array of (file, line, quote, comment) of the fenced JSON blocks of a text, the first so many; a block that isn't such JSON has none."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```json\s*(.*?)```"), F.lit(1))
+    read = F.transform(blocks, lambda b: F.coalesce(F.from_json(b, COMMENTS), F.array().cast(COMMENTS)))
+    return F.slice(F.filter(F.flatten(read), lambda c: c["quote"].isNotNull() & c["comment"].isNotNull()), 1, most)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import extra, graphs, logs, more, retrieval, review
+from loomspark.plans import code, extra, graphs, logs, more, retrieval, review
 
-MODULES: tuple = (retrieval, logs, graphs, review, more, extra)
+MODULES: tuple = (retrieval, logs, graphs, review, more, extra, code)
 
 
 def queries() -> dict:
