@@ -28,6 +28,8 @@ K1, B = 1.2, 0.75
 END = 1
 #: Keys by which documents are sorted.
 KEYS = 3
+#: A token that more than one in so many documents hold tells no neighbours.
+COMMON = 4
 #: Tokens that one task packs, about.
 PER_TASK = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -51,7 +53,7 @@ def _plain(spec: dict) -> bool:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
+def _encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
     """The tokenizer at the path, as a function from a text to its ids, and the number of ids.
 
     A plain byte-level vocabulary of ``tokenizers`` (json) is read into the merge table of ``tiktoken``, which gives the same
@@ -66,13 +68,13 @@ def _encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        return lambda text: whole.encode(text, add_special_tokens=False).ids, size
+        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32), size
     import tiktoken
 
     sign = {c: b for b, c in _byte_signs().items()}
     ranks = {bytes(sign[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     bpe = tiktoken.Encoding("from_json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: bpe.encode(text, allowed_special="all"), size
+    return lambda text: bpe.encode_to_numpy(text, allowed_special="all"), size
 
 
 def _byte_signs() -> dict[int, str]:
@@ -92,11 +94,11 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     kind = width(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _encoder(tokenizer)
+        encoder, end = _encoder(tokenizer)[0], np.array([END], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [np.array([*encoder(t or ""), END], kind).tobytes() for t in part.column("text").to_pylist()]
+                ids = [encoder(t or "").astype(kind).tobytes() + end for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -156,31 +158,34 @@ def keyed(tokens: DataFrame, kind: str, places: np.ndarray) -> DataFrame:
 class Index:
     """Inverted index of one shard: for each token the documents that hold it, with their BM25 weights.
 
-    Weights and the mean length are those of the whole corpus where they are given, else of the shard."""
+    Weights and the mean length are those of the whole corpus where they are given, else of the shard. Tokens of weight 0 are left out."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
         lengths = np.array([len(t) for t in texts])
-        terms, counts, owners = [], [], []
-        for i, t in enumerate(texts):
-            term, count = np.unique(t[:-1], return_counts=True)
-            terms.append(term)
-            counts.append(count)
-            owners.append(np.full(len(term), i, np.int32))
-        self.terms = terms
-        term, count, owner = np.concatenate(terms), np.concatenate(counts), np.concatenate(owners)
-        order = np.argsort(term, kind="stable")
-        term, count, self.owner = term[order], count[order], owner[order]
-        self.keys, self.begin, df = np.unique(term, return_index=True, return_counts=True)
-        self.end = self.begin + df
-        weight = idf_of(df, len(texts)) if idf is None else idf[self.keys]
+        n = len(texts)
+        term = np.concatenate([t[:-1] for t in texts]).astype(np.uint64)
+        owner = np.repeat(np.arange(n, dtype=np.uint64), lengths - 1)
+        if idf is not None:
+            told = idf[term] > 0
+            term, owner = term[told], owner[told]
+        # One sort by token, then document; runs are the postings with their counts.
+        pair, count = np.unique(term * np.uint64(n) + owner, return_counts=True)
+        term, self.owner = (pair // np.uint64(n)).astype(np.int64), (pair % np.uint64(n)).astype(np.int64)
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        df = np.diff(np.append(first, len(term)))
+        weight = idf_of(df, n) if idf is None else idf[term[first]]
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if mean is None else mean))
         self.weight = np.repeat(weight, df) * count * (K1 + 1) / (count + norm[self.owner])
-        self.n = len(texts)
+        # Of each document's tokens, where their postings begin and how many there are.
+        order = np.argsort(self.owner, kind="stable")
+        self.begin, self.df = np.repeat(first, df)[order], np.repeat(df, df)[order]
+        self.at = np.searchsorted(self.owner[order], np.arange(n + 1))
+        self.n = n
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document of the shard for the distinct tokens of one."""
-        at = np.searchsorted(self.keys, self.terms[doc])
-        begin, n = self.begin[at], self.end[at] - self.begin[at]
+        own = slice(self.at[doc], self.at[doc + 1])
+        begin, n = self.begin[own], self.df[own]
         if not len(n):
             return np.zeros(self.n)
         places = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -220,7 +225,8 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, per_shard: int =
     kind = width(tokenizer)
     tokens = checkpointed(tokenized(docs, tokenizer))
     held, n, total = statistics(tokens, kind)
-    idf, mean = idf_of(held, n), total / max(n, 1)
+    # Tokens of more than a quarter of all documents are stop words of the index.
+    idf, mean = np.where(held > n / COMMON, 0.0, idf_of(held, n)), total / max(n, 1)
     apart = 1 << 40  # more sequences than a task can have
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
