@@ -5,17 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.session import checkpointed
+
+
+def running_sums(rows: DataFrame, by: str, order: list[Column], values: list[str]) -> DataFrame:
+    """rows with upto_<value> for each value: its sum over the row and all rows of its group before it (equal places in the
+    order are before each other).
+
+    Rows are cut into ranges of the order; sums of whole ranges are added up first, then those inside each. So a group that
+    holds most rows is the work of many tasks.
+    """
+    placed = checkpointed(rows.repartitionByRange(F.col(by), *order).withColumn("__range", F.spark_partition_id()))
+    totals = placed.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__of")).agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    before = Window.partitionBy("__by").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__by", "__of", *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values])
+    inside = Window.partitionBy(by, "__range").orderBy(*order)
+    joined = placed.join(totals, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
+    return joined.select(*rows.columns, *[(F.sum(v).over(inside) + F.col(f"__{v}")).alias(f"upto_{v}") for v in values])
+
 
 def at_ranks(rows: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
     """by, n and, for each name, the value at a 1-based rank (an expression over n) in ascending order.
 
-    Equal values are counted first, so a group brings no more rows to its task than it has distinct values.
+    Equal values are counted first; running counts are summed up range by range.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).count()
-    w = Window.partitionBy(by)
-    running = counts.withColumn("n", F.sum("count").over(w)).withColumn("upto", F.sum("count").over(w.orderBy(value)))
-    picked = [F.min(F.when(F.col("upto") >= rank, F.col(value))).alias(name) for name, rank in ranks.items()]
-    return running.groupBy(by).agg(F.max("n").alias("n"), *picked)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    running = running_sums(counts, by, [F.col(value)], ["n"]).withColumnRenamed("n", "own")
+    total = counts.groupBy(F.col(by).alias("__by")).agg(F.sum("n").alias("n"))
+    joined = running.join(total, F.col(by).eqNullSafe(F.col("__by")))
+    picked = [F.min(F.when(F.col("upto_n") >= rank, F.col(value))).alias(name) for name, rank in ranks.items()]
+    return joined.groupBy(by).agg(F.max("n").alias("n"), *picked)
 
 
 def endpoint_summary(rows: DataFrame, by: str, value: str, failed: Column, top: int = 30) -> DataFrame:
@@ -43,6 +62,6 @@ def capped(rows: DataFrame, by: str, newest: list[Column], keep: int) -> DataFra
 
 def evicted(rows: DataFrame, by: str, newest: list[Column], size: str, most_rows: int, most_bytes: int) -> DataFrame:
     """rows with kept: whether a row and all newer ones of its group stay within both caps."""
-    w = Window.partitionBy(by).orderBy(*newest)
-    upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("kept", (F.row_number().over(w) <= most_rows) & (upto <= most_bytes))
+    upto = running_sums(rows.withColumn("__one", F.lit(1)), by, newest, ["__one", size])
+    kept = (F.col("upto___one") <= most_rows) & (F.col(f"upto_{size}") <= most_bytes)
+    return upto.select(*rows.columns, kept.alias("kept"))

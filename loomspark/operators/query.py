@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,23 @@ def diagnosis(n_indexed: Column, n_candidates: Column, kept: Column, n_sources:
         .when(n_candidates == 0, "P01")
         .when((kept >= 3) & (n_sources == 1), "P08")
     )
+
+
+def condition(spec: dict) -> Column:
+    """A filter over columns from a nested description: {"lang": "en"}, {"source": {"$in": [...]}}, {"name": {"$contains": part}},
+    {"$and": [...]}, {"$or": [...]}; several keys of one mapping hold together. An empty mapping holds for every row.
+
+    The result is a column expression, so that it reaches the scan; a null value fits nothing."""
+    parts = []
+    for key, value in spec.items():
+        if key in ("$and", "$or"):
+            join = Column.__and__ if key == "$and" else Column.__or__
+            parts.append(reduce(join, [condition(x) for x in value], F.lit(key == "$and")))
+        elif isinstance(value, dict):
+            (how, wanted), = value.items()
+            if how not in ("$eq", "$in", "$contains"):
+                raise ValueError(f"unknown filter {how}")
+            parts.append(F.col(key).isin(wanted) if how == "$in" else F.contains(F.col(key), F.lit(wanted)) if how == "$contains" else F.col(key) == wanted)
+        else:
+            parts.append(F.col(key) == value)
+    return reduce(Column.__and__, parts, F.lit(True))

@@ -162,10 +162,18 @@ def citations(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("trust", trust)
 
 
-def grounded(claims: DataFrame, served: DataFrame) -> DataFrame:
-    """claims (file, start, end) with verdict: not_in_context, outside_range or matched against served (file, low, high)."""
-    c = claims.withColumn("__id", F.struct("file", "start", "end"))
-    fit = c.select("__id", "file", "start").distinct().join(served.select(F.col("file"), "low", "high"), "file", "left")
-    per = fit.groupBy("__id").agg(F.max(F.col("low").isNotNull()).alias("known"), F.max(F.coalesce((F.col("low") <= F.col("start")) & (F.col("start") <= F.col("high")), F.lit(False))).alias("inside"))
-    verdict = F.when(~F.col("known"), "not_in_context").when(F.col("inside"), "matched").otherwise("outside_range")
-    return c.join(per, "__id").drop("__id").withColumn("verdict", verdict).drop("known", "inside")
+def grounded(claims: DataFrame, served: DataFrame, bin_size: int = 64) -> DataFrame:
+    """claims (file, start, end) with verdict: not_in_context, outside_range or matched against served (file, low, high).
+
+    Served spans are cut into bins of lines, and a claim looks into the bin of its start alone: a file that is served
+    often and claimed often isn't held against itself. Spans that hold no line match nothing.
+    """
+    bins = F.sequence(F.floor(F.col("low") / bin_size), F.floor(F.col("high") / bin_size))
+    spans = served.where("low <= high").select("file", "low", "high").distinct().select("file", "low", "high", F.explode(bins).alias("bin"))
+    starts = claims.select("file", "start").distinct().withColumn("bin", F.floor(F.col("start") / bin_size))
+    inside = starts.join(spans, ["file", "bin"]).where((F.col("low") <= F.col("start")) & (F.col("start") <= F.col("high")))
+    inside = inside.select("file", "start").distinct().withColumn("inside", F.lit(True))
+    known = served.select("file").distinct().withColumn("known", F.lit(True))
+    rows = claims.join(known, "file", "left").join(inside, ["file", "start"], "left")
+    verdict = F.when(F.col("known").isNull(), "not_in_context").when(F.col("inside"), "matched").otherwise("outside_range")
+    return rows.select(*claims.columns, verdict.alias("verdict"))

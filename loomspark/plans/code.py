@@ -6,12 +6,15 @@ nations Rust files that use the next nation: a graph with hubs, several parents
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import parse
 from loomspark.functions import text as T
-from loomspark.operators import graph, lexical
+from loomspark.operators import fusion, graph, lexical, logs, query, rules
+from loomspark.plans import review
 from loomspark.plans.retrieval import BM25_SQL
 from loomspark.sources.tables import table
 
@@ -249,6 +252,45 @@ def parent_expansion(spark: SparkSession, d: str) -> DataFrame:
     return top.join(parents, "doc_id").join(n, "doc_id").select("item_id", "doc_id", "rank", "parent_md5", "n_children")
 
 
+def chunk_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a document joined as they are, line break between, overlaps and all."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", T.window_spans(F.col("text"), 900, 90).alias("w"))
+    parts = F.transform("w", lambda w: F.substring(F.col("text"), w["start"] + 1, w["stop"] - w["start"]))
+    return docs.select("doc_id", F.size("w").alias("n_chunks"), F.md5(F.array_join(parts, "\n")).alias("joined_md5"))
+
+
+#: A filter as a search gets it.
+FILTER = {"$and": [{"$or": [{"lang": {"$in": ["fr", "de"]}}, {"source": {"$contains": "rc1"}}]}, {"text": {"$contains": "e"}}]}
+
+
+def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(query.condition(FILTER)).select("doc_id", "lang", "source")
+
+
+def units_per_file(spark: SparkSession, d: str) -> DataFrame:
+    """Windows per document: files, least, middle (0-based place n div 2), 90 % (place min(n - 1, int(0.9 n))) and most."""
+    per = parent_windows(spark, d).groupBy("doc_id").agg(F.count("*").alias("units")).withColumn("all", F.lit(1))
+    ranks = {"median": F.floor(F.col("n") / 2) + 1, "p90": F.least(F.col("n"), F.floor(F.col("n") * 0.9) + 1), "least": F.lit(1), "most": F.col("n")}
+    return logs.at_ranks(per, "all", "units", ranks).select(F.col("n").alias("n_files"), "least", "median", "p90", "most")
+
+
+def leg_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Hit, reciprocal rank and precision of three legs of retrieval over the same questions."""
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    index = lexical.Index.of(docs, carry=("source",))
+    top = lexical.search(index, items, 15)
+    sources = docs.select("doc_id", "source")
+    legs = {
+        "lexical": top,
+        "diversified": fusion.diversified(top.join(sources, "doc_id"), "item_id", "source"),
+        "best_of_source": lexical.ranked(lexical.search(index, items, 1, within="source").drop("rank"), "item_id", "doc_id", k=5),
+    }
+    truth = review.answers(index, docs, items)
+    asked = items.select(F.col("item_id").alias("q"))
+    named = lambda x: x.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
+    return reduce(DataFrame.unionByName, [rules.retrieval_metrics(asked, named(x), truth).withColumn("leg", F.lit(leg)) for leg, x in legs.items()])
+
+
 def slowest(spark: SparkSession, d: str) -> DataFrame:
     """Per user the event of the highest value among those that have one, and samples, mean and maximum; null where none has."""
     rows = table(spark, d, "events").withColumn("ms", F.when(F.col("event_type") != "error", F.col("value")))
@@ -293,6 +335,20 @@ QUERIES = {
     "parent_windows": (parent_windows, f"WITH {CHILDREN} SELECT * FROM children"),
     "parent_expansion": (parent_expansion, f"""WITH {BM25_SQL}, {CHILDREN}, k AS (SELECT doc_id, count(*) AS n_children FROM children GROUP BY doc_id)
         SELECT item_id, doc_id, rank, md5(text) AS parent_md5, n_children FROM top JOIN documents USING (doc_id) JOIN k USING (doc_id) WHERE rank <= 10"""),
+    "chunk_joined": (chunk_joined, """WITH w AS (SELECT doc_id, text, length(text) AS n, unnest(range(0, greatest(length(text), 1), 810)) AS s FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT * FROM w WHERE n > 0 AND (s = 0 OR s - 810 + 900 < n)), j AS (SELECT doc_id, count(*) AS n, string_agg(substr(text, s + 1, 900), chr(10) ORDER BY s) AS t FROM k GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(j.n, 0) AS INTEGER) AS n_chunks, md5(coalesce(t, '')) AS joined_md5 FROM documents d LEFT JOIN j USING (doc_id) WHERE d.text IS NOT NULL"""),
+    "metadata_filter": (metadata_filter, "SELECT doc_id, lang, source FROM documents WHERE (lang IN ('fr', 'de') OR contains(source, 'rc1')) AND contains(text, 'e')"),
+    "units_per_file": (units_per_file, f"""WITH {CHILDREN}, u AS (SELECT doc_id, count(*) AS n FROM children GROUP BY doc_id), l AS (SELECT list_sort(list(n)) AS l FROM u)
+        SELECT len(l) AS n_files, l[1] AS least, l[len(l) // 2 + 1] AS median, l[least(len(l), CAST(floor(len(l) * 0.9) AS BIGINT) + 1)] AS p90, l[len(l)] AS most FROM l"""),
+    "leg_metrics": (leg_metrics, rf"""WITH {BM25_SQL}, {review.ANSWERS},
+        dv AS (SELECT item_id, doc_id, rank, row_number() OVER (PARTITION BY item_id, source ORDER BY rank) AS nth FROM top JOIN tk USING (doc_id) WHERE rank <= 15),
+        bs AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS nth FROM top JOIN tk USING (doc_id)),
+        legs AS (SELECT 'lexical' AS leg, item_id, doc_id, rank FROM top UNION ALL SELECT 'diversified', item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) FROM dv WHERE nth <= 2
+            UNION ALL SELECT 'best_of_source', item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) FROM bs WHERE nth = 1),
+        g AS (SELECT leg, item_id, min(rank) AS first, count(*) AS n FROM legs JOIN truth USING (item_id, doc_id) WHERE rank <= 5 GROUP BY leg, item_id), a3 AS (SELECT DISTINCT leg FROM legs)
+        SELECT leg, count(*) AS n_queries, round(100 * avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 4) AS hit_at_k, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(100 * avg(coalesce(n, 0) / 5), 4) AS precision_at_k
+        FROM (SELECT leg, item_id FROM a3, benchmark) LEFT JOIN g USING (leg, item_id) GROUP BY leg"""),
     "slowest": (slowest, """WITH r AS (SELECT *, CASE WHEN event_type <> 'error' THEN value END AS ms FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC NULLS LAST, event_id) AS nth FROM r)
         SELECT user_id, max(CASE WHEN nth = 1 AND ms IS NOT NULL THEN event_id END) AS slowest, count(ms) AS samples, round(avg(ms), 4) AS avg_ms, max(ms) AS max_ms FROM n GROUP BY user_id"""),
     "recent_requests": (recent_requests, "SELECT event_type, CAST(nth AS INTEGER) AS nth, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 60"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import compare, dense, lexical, rules
+from loomspark.operators import compare, dense, lexical, logs, rules
 from loomspark.plans.retrieval import BM25_SQL, tok
 from loomspark.plans.review import FOUND, LINES, _q, line_rules
 from loomspark.sources.tables import table
@@ -88,7 +88,8 @@ def patch_budget(spark: SparkSession, d: str) -> DataFrame:
     """Characters kept of each document of a source in order: 20,000 of one, 100,000 of all. What is kept so far is the lesser
     of the cap and the running sum, so no loop is needed."""
     docs = table(spark, d, "documents").select("source", "doc_id", F.least(F.length("text"), F.lit(20_000)).alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    docs = logs.running_sums(docs, "source", [F.col("doc_id")], ["size"])
+    upto = F.col("upto_size")
     return docs.select("source", "doc_id", (F.least(upto, F.lit(100_000)) - F.least(upto - F.col("size"), F.lit(100_000))).cast("long").alias("kept"))
 
 

@@ -120,7 +120,7 @@ def detection_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rules.detection(rows, "lang", F.col("flagged"), F.col("quality") == 0)
 
 
-def _answers(index: lexical.Index, docs: DataFrame, items: DataFrame) -> DataFrame:
+def answers(index: lexical.Index, docs: DataFrame, items: DataFrame) -> DataFrame:
     """q, id: the documents that hold an item's whole text, word by word.
 
     A document that does holds all of the item's tokens, the rarest too: only documents with that one are compared."""
@@ -132,12 +132,16 @@ def _answers(index: lexical.Index, docs: DataFrame, items: DataFrame) -> DataFra
     return both.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id")).distinct()
 
 
+ANSWERS = r"""w AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS w FROM documents), a AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS p FROM benchmark),
+    truth AS (SELECT DISTINCT item_id, doc_id FROM w JOIN a ON contains(w, p))"""
+
+
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages as questions; documents that hold the whole passage are the answers."""
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     index = lexical.Index.of(docs)
     ranked = lexical.search(index, items, 5).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
-    return rules.retrieval_metrics(items.select(F.col("item_id").alias("q")), ranked, _answers(index, docs, items))
+    return rules.retrieval_metrics(items.select(F.col("item_id").alias("q")), ranked, answers(index, docs, items))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
@@ -242,8 +246,7 @@ QUERIES = {
         c AS (SELECT lang, count(*) FILTER (f AND t) AS tp, count(*) FILTER (f AND NOT t) AS fp, count(*) FILTER (NOT f AND t) AS fn, count(*) FILTER (NOT f AND NOT t) AS tn FROM r GROUP BY lang)
         SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 4) END AS f1 FROM c"""),
     "retrieval_metrics": (retrieval_metrics, rf"""WITH {BM25_SQL},
-        w AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS w FROM documents), a AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS p FROM benchmark),
-        truth AS (SELECT DISTINCT item_id, doc_id FROM w JOIN a ON contains(w, p)), g AS (SELECT item_id, min(rank) AS first, count(*) AS n FROM top JOIN truth USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id)
+        {ANSWERS}, g AS (SELECT item_id, min(rank) AS first, count(*) AS n FROM top JOIN truth USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id)
         SELECT count(*) AS n_queries, round(100 * avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 4) AS hit_at_k, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(100 * avg(coalesce(n, 0) / 5), 4) AS precision_at_k FROM benchmark LEFT JOIN g USING (item_id)"""),
     "citations": (citations, f"""WITH {BM25_SQL}, h AS (SELECT item_id, d.source, rank, t.score - 40 AS score, d.doc_id % 100 + 1 AS a, d.doc_id % 100 + len(string_split(d.text, chr(10))) AS b, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE 'fn' || d.doc_id END AS symbol FROM top t JOIN documents d USING (doc_id) WHERE rank <= 10)
         SELECT item_id, source, min(a) AS start_line, max(b) AS end_line, count(*) AS chunk_count, max(score) AS score, arg_max(symbol, (score, -rank)) FILTER (symbol IS NOT NULL) AS symbol, min(rank) AS first_rank, CASE WHEN max(score) >= 2 THEN 'high' WHEN max(score) >= -3 THEN 'medium' ELSE 'low' END AS trust FROM h GROUP BY item_id, source"""),
