@@ -15,6 +15,8 @@ from loomspark.session import checkpointed
 
 #: Rows of a bucket inside which documents are numbered; buckets are numbered by their counts.
 PER_BUCKET = 5_000
+#: Equal rows that are numbered together.
+EQUAL = 10_000
 
 
 def _hash(*columns: str) -> Column:
@@ -76,11 +78,13 @@ def balanced(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float =
     linked: whether another row has the same text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("x"), F.spark_partition_id().alias("p")
-    )
-    # One pass over the texts. The group is the texts' two hashes and length; the row's own hash deals out copies of one id too.
-    rows = rows.select("doc_id", "size", "text_crc32", _hash("x", "text_crc32", "size").alias("g"), _hash("doc_id", "x", "p").alias("r"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("x"))
+    # One pass over the texts. The group is the texts' two hashes and length. Equal rows are counted and numbered, a block of them
+    # at a time, so that the row's own hash tells them apart whatever files they come from.
+    same = rows.groupBy("doc_id", "size", "text_crc32", "x").agg(F.count("*").alias("n"))
+    block = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EQUAL).cast("long"))).alias("from"))
+    rows = block.select("*", F.explode(F.sequence("from", F.least(F.col("from") + EQUAL, F.col("n")) - 1)).alias("nth"))
+    rows = rows.select("doc_id", "size", "text_crc32", _hash("x", "text_crc32", "size").alias("g"), _hash("doc_id", "x", "nth").alias("r"))
     rows = checkpointed(rows)
     total = rows.count()
     capacity = int(total / shards * (1 + slack)) + 1
@@ -92,7 +96,11 @@ def balanced(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float =
 
     spark = docs.sparkSession
     named = spark.createDataFrame([(g, [n for _, n in at], [s for s, _ in at]) for g, at in places.items()], "gg long, takes array<long>, ats array<int>")
-    placed = rows.join(groups.select(F.col("g").alias("gl"), F.lit(True).alias("linked")), F.col("g") == F.col("gl"), "left").join(F.broadcast(named), F.col("g") == F.col("gg"), "left")
+    # Rows of large groups, at most 4 x (shards + 1) of them, meet their places by broadcast; no other group has many rows.
+    known = rows.join(F.broadcast(named), F.col("g") == F.col("gg"), "left")
+    linked = groups.select(F.col("g").alias("gl"), F.lit(True).alias("linked"))
+    small = known.where("gg is null").join(linked, F.col("g") == F.col("gl"), "left").drop("gl")
+    placed = known.where("gg is not null").withColumn("linked", F.lit(True)).unionByName(small)
     # A document's place is where its hash falls among the shares of the group's places.
     point = F.pmod("r", F.lit(1 << 20)) / float(1 << 20) * F.aggregate("takes", F.lit(0).cast("long"), lambda x, y: x + y)
     passed = F.aggregate("takes", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at")), lambda x, y: F.struct((x["sum"] + y).alias("sum"), (x["at"] + F.when(point >= x["sum"] + y, 1).otherwise(0)).alias("at")))
@@ -107,14 +115,15 @@ def balanced(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float =
 
     moved = cells.select(F.col("g").alias("cg"), F.col("part").alias("cp"), F.col("origin").alias("co"), F.col("shard").alias("cs"))
     on = (F.col("g") == F.col("cg")) & (F.col("part") == F.col("cp")) & (F.col("origin") == F.col("co"))
-    settled = placed.join(moved, on, "left").select("doc_id", "size", "text_crc32", "g", "r", "linked", F.coalesce("given", "cs", "origin").alias("s"))
+    settled = placed.join(moved, on, "left").select("doc_id", "size", "text_crc32", "g", "r", "linked", F.col("given").isNotNull().alias("large"), F.coalesce("given", "cs", "origin").alias("s"))
     return _numbered(settled, shards, total)
 
 
 def _numbered(rows: DataFrame, shards: int, total: int) -> DataFrame:
     """Rows with exact quotas and slots: numbered in each shard, groups first, and those beyond the quota moved on."""
     buckets = max(1, total // (shards * PER_BUCKET))
-    at = F.when(F.col("linked"), F.pmod("g", F.lit(buckets))).otherwise(buckets + F.pmod("r", F.lit(buckets))).cast("int")
+    own = F.when(F.col("large"), F.col("r")).otherwise(F.col("g"))  # a large group is numbered in many buckets
+    at = F.when(F.col("linked"), F.pmod(own, F.lit(buckets))).otherwise(buckets + F.pmod("r", F.lit(buckets))).cast("int")
     rows = checkpointed(rows.select("*", at.alias("bucket")))
     sizes = checkpointed(rows.groupBy("s", "bucket").agg(F.count("*").alias("n")))
     first = sizes.select(F.col("s").alias("s2"), F.col("bucket").alias("b2"), F.expr("coalesce(sum(n) over (partition by s order by bucket rows between unbounded preceding and 1 preceding), 0)").alias("first"))

@@ -51,3 +51,12 @@ def test_groups_that_fit_a_shard_stay_whole(spark):
     by = {t: sorted(Counter(r["shard"] for r in rows if docs[r["doc_id"]][1] == t).values()) for t in sizes}
     assert [by[t] for t in "abc"] == [[90], [70], [40]]
     assert sum(by["hot"][-8:]) > 0.9 * 800
+
+
+def test_shards_do_not_depend_on_files_and_equal_rows_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL", 7)
+    docs = [(i, f"text {i % 300}") for i in range(900)] + [(5, "again")] * 200 + [(None, None)] * 100
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, other = (Counter(map(tuple, sharding.balanced(x).select("doc_id", "text_crc32", "shard", "slot").collect())) for x in (df.repartition(2), df.repartition(7)))
+    assert one == other
+    law(sharding.balanced(df).collect(), docs, 24)
