@@ -1,10 +1,10 @@
 """Benchmark decontamination: a prefix-filtered join of item windows with documents, verified word by word.
 
-A window is ``size`` consecutive words of an item (the whole item if it has fewer, but not none). A document
-holds a window only if it holds all of its words, the rarest of them too: one word, the rarest in the corpus, is the
-prefix that a containment of 100 % asks for. Each document word that is the prefix of some window puts that window in
-one place of the document (positional bound); the place must lie inside the document (length bound) and hold the
-window's words exactly (verification).
+A window is ``size`` consecutive words of an item (the whole item if it has fewer, but not none). Its tokens are its
+shingles of three words (of all its words, if it has fewer). A document holds a window only if it holds all of its shingles,
+the rarest of them too: one shingle, the rarest in the corpus, is the prefix that a containment of 100 % asks for. Each
+place of a prefix in a document puts the window in one place there (positional bound); the place must lie inside the
+document (length bound) and hold the window's words exactly (verification).
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from loomspark.llm.spans import let
 from loomspark.llm.words import folded_words
 from loomspark.session import checkpointed
 
-#: Words of windows that are asked for in each text as a set: so many, and so many bytes of them, at most. More are joined.
-SET_WORDS, SET_BYTES = 50_000, 1_000_000
-#: A table of windows or of their words is sent to all tasks up to so many bytes, else joined by a shuffle.
+#: Words of a shingle. Shingles are known by a 64-bit hash; what it lets through by accident is verified like all else.
+SHINGLE = 3
+#: Up to so many shingles of windows are asked for in each text as a set (8 bytes each); more are joined.
+SET_SHINGLES = 50_000
+#: A table of windows or of their shingles is sent to all tasks up to so many bytes, else joined by a shuffle.
 BROADCAST_BYTES = 64_000_000
 
 
@@ -39,42 +41,52 @@ def _sized(df: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def _wanted(words: DataFrame) -> list[str] | None:
-    """The words (one column) if they are few enough to be asked for as a set."""
-    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(words.columns[0])), F.lit(0))).first()
-    return [r[0] for r in words.collect()] if n <= SET_WORDS and size <= SET_BYTES else None
+def _shingles(words: Column, length: int) -> Column:
+    """Array of structs (pos, s): the hash of the shingle that begins at each word."""
+    return F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(length), w, *[F.get(words, i + j) for j in range(1, length)]).alias("s")))
 
 
-def _holding(words: Column, wanted: list[str] | None) -> Column:
-    """Array of structs (pos, word) of the words that are in the set, or of all without one."""
-    placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
-    return placed if wanted is None else F.filter(placed, lambda x: x["word"].isin(wanted))
+def _holding(words: Column, lengths: list[int], wanted: list[int] | None) -> Column:
+    """The shingles of a text of those lengths that are in the set, or all without one."""
+    each = [_shingles(words, n) for n in lengths]
+    return F.concat(*[x if wanted is None else F.filter(x, lambda p: p["s"].isin(wanted)) for x in each])
 
 
-def counted(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """word, n: how often each word of the vocabulary (v) comes in the documents; words that never come are missing."""
-    wanted = _wanted(vocabulary)
-    words = docs.select(folded_words(F.col("text").cast("string")).alias("words"))
-    each = words.select(F.explode(_holding(F.col("words"), wanted)).alias("x")).select("x.word")
+def _wanted(shingles: DataFrame) -> list[int] | None:
+    """The shingles (one column, distinct) if they are few enough to be asked for as a set."""
+    found = [r[0] for r in shingles.limit(SET_SHINGLES + 1).collect()]
+    return found if len(found) <= SET_SHINGLES else None
+
+
+def counted(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> DataFrame:
+    """s, n: how often each of the shingles (v) comes in the documents; those that never come are missing."""
+    wanted = _wanted(shingles)
+    held = let(folded_words(F.col("text").cast("string")), lambda words: F.transform(_holding(words, lengths, wanted), lambda x: x["s"]))
+    each = docs.select(F.explode(held).alias("s"))
     if wanted is None:
-        each = each.join(_sized(vocabulary, F.octet_length("v")), F.col("word") == F.col("v"), "left_semi")
-    return each.groupBy("word").agg(F.count("*").alias("n"))
+        each = each.join(_sized(shingles, F.lit(8)), F.col("s") == F.col("v"), "left_semi")
+    return each.groupBy("s").agg(F.count("*").alias("n"))
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frame of doc_id, h (hash of the text) and, for each place of a window in a document, start, stop (0-based, exclusive) and
     window; frame of doc_id, h, n_words of each row of docs; and the windows of items.
 
-    Texts are cut into words twice: for the counts of the windows' words, and for the join. Of a text only the places of
-    prefixes, with the words about them, leave its row.
+    Texts are cut into words twice: for the counts of the windows' shingles, and for the join. Of a text only the places
+    of prefixes, with the words about them, leave its row.
     """
     per_item = checkpointed(windows_of(items, size))
     windows = checkpointed(per_item.select("words").distinct())
-    vocabulary = checkpointed(windows.select(F.explode("words").alias("v")).distinct())
-    counts = checkpointed(counted(docs, vocabulary))
-    ranked = windows.select("words", F.posexplode("words").alias("at", "v")).join(_sized(counts, F.octet_length("word")), F.col("v") == F.col("word"), "left")
+    lengths = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # 1, 2 or 3
+    placed = F.lit(None).cast("array<struct<pos:int,s:bigint>>")
+    for n in lengths:
+        whole = F.slice(_shingles(F.col("words"), n), 1, F.size("words") - (n - 1))
+        placed = F.when(F.least(F.size("words"), F.lit(SHINGLE)) == n, whole).otherwise(placed)
+    tokens = checkpointed(windows.select("words", F.explode(placed).alias("x")).select("words", F.col("x.pos").alias("at"), F.col("x.s").alias("v")))
+    counts = checkpointed(counted(docs, tokens.select("v").distinct(), lengths))
+    # A window with a shingle that no document has can't occur; it needs no place in the join.
+    ranked = tokens.join(_sized(counts, F.lit(16)), F.col("v") == F.col("s"), "left")
     prefix = ranked.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "v", "at")).alias("x"))
-    # A window with a word that no document has can't occur; it needs no place in the join.
     prefix = checkpointed(prefix.where("x.n > 0").select(F.col("words").alias("window"), F.col("x.v").alias("rarest"), F.col("x.at").alias("at")))
     rarest = checkpointed(prefix.select("rarest").distinct())
     wanted = _wanted(rarest)
@@ -84,7 +96,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[DataFrame,
     def about(words: Column) -> Column:
         """The number of words, and the places of prefixes with the words that a window can have before and after them."""
         around = lambda x: F.slice(words, F.greatest(x["pos"] - size + 2, F.lit(1)), 2 * size - 1)
-        places = F.transform(_holding(words, wanted), lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), around(x).alias("around")))
+        places = F.transform(_holding(words, lengths, wanted), lambda x: F.struct(x["pos"].alias("pos"), x["s"].alias("s"), around(x).alias("around")))
         return F.struct(F.size(words).cast("long").alias("n_words"), places.alias("about"))
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), let(folded_words(text), about).alias("x")).select("doc_id", "h", "x.*")
@@ -92,13 +104,13 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[DataFrame,
         rows = checkpointed(rows)
     places = rows.select("doc_id", "h", "n_words", F.explode("about").alias("x")).select("doc_id", "h", "n_words", "x.*")
     if wanted is None:
-        places = places.join(_sized(rarest.withColumnRenamed("rarest", "r"), F.octet_length("r")), F.col("word") == F.col("r"), "left_semi")
+        places = places.join(_sized(rarest.withColumnRenamed("rarest", "r"), F.lit(8)), F.col("s") == F.col("r"), "left_semi")
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
     first = start - F.greatest(F.col("pos") - size + 1, F.lit(0))
     same = F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("window")) == F.col("window")
     bytes_of = F.aggregate("window", F.lit(0), lambda n, w: n + F.octet_length(w) + 20)
-    found = places.join(_sized(prefix, bytes_of), (F.col("word") == F.col("rarest")) & fits & same)
+    found = places.join(_sized(prefix, bytes_of), (F.col("s") == F.col("rarest")) & fits & same)
     return found.select("doc_id", "h", start.alias("start"), (start + F.size("window")).alias("stop"), "window"), rows.select("doc_id", "h", "n_words"), per_item
 
 

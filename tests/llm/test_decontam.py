@@ -40,7 +40,7 @@ ITEMS = [(1, "the same words again and again the same words again and again"), (
 
 @pytest.mark.parametrize(("words", "size"), [(50_000, 64_000_000), (0, 64_000_000), (0, 0), (50_000, 0)])
 def test_matches_brute_force(spark, monkeypatch, words, size):
-    monkeypatch.setattr(decontam, "SET_WORDS", words)
+    monkeypatch.setattr(decontam, "SET_SHINGLES", words)
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
     rows = [*nasty.rows(), (60, "here is a short, item: and w501 w502", *[None] * 8), (61, "x " + " ".join(f"W{i}" for i in range(495, 512)), *[None] * 8)]
     got = decontam.judged(spark.createDataFrame(rows, nasty.SCHEMA), spark.createDataFrame(ITEMS, "item_id int, text string")).collect()
