@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.llm.spans import let
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that are white space in the contracts.
 SPACE = r"\x20\x09-\x0D"
@@ -18,9 +20,13 @@ def lowered(text: Column) -> Column:
 
 def _trimmed(parts: Column) -> Column:
     """Without the empty strings that a split leaves at either end."""
-    first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
-    last = F.when((F.size(parts) > first) & (F.get(parts, F.size(parts) - 1) == ""), 1).otherwise(0)
-    return F.slice(parts, first + 1, F.size(parts) - first - last)
+
+    def kept(p: Column) -> Column:
+        first = F.when(F.get(p, F.lit(0)) == "", 1).otherwise(0)
+        last = F.when((F.size(p) > first) & (F.get(p, F.size(p) - 1) == ""), 1).otherwise(0)
+        return F.slice(p, first + 1, F.size(p) - first - last)
+
+    return let(parts, kept)
 
 
 def plain_words(text: Column) -> Column:
