@@ -37,10 +37,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a mark; all documents stay, and n_chars follows the text."""
-    found = secrets.scanned(docs, "__base", "__every")
-    text = secrets.redacted(F.col("text"), F.col("__every"))
-    new = {"text": text} | ({"n_chars": F.when(F.size("__every") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.withColumns(new).select(*docs.columns)
+    # The spans are written before texts are cut by them: inlined into one projection with both uses below, they came out wrong.
+    found = checkpointed(secrets.scanned(docs, "__base", "__every"))
+    new = found.withColumn("text", secrets.redacted(F.col("text"), F.col("__every")))
+    if "n_chars" in docs.columns:
+        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new = new.withColumn("n_chars", F.when(F.size("__every") > 0, n_chars).otherwise(F.col("n_chars")))
+    return new.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
