@@ -137,7 +137,11 @@ def as_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans (sorted by start) replaced by the mark; null stays null."""
+    """The text with each run of overlapping spans (sorted by start) replaced by the mark; null stays null.
+
+    The spans must be a column that is read, not one that the same projection works out: where Spark inlines their
+    expression and the result is used twice, the second use may be cut wrongly.
+    """
 
     def gaps(all_):
         """What lies between the runs: from the end of all spans so far to the next start beyond it."""
