@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, language, licences, neardup, negatives, packing, pii, quality, secrets, sharding, urls
+from loomspark.llm import decontam, language, licences, neardup, negatives, packing, pii, quality, repeats, secrets, sharding, urls
 from loomspark.sources.tables import table
 
 
@@ -97,7 +97,13 @@ _OP11_SQL = """
     WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5"""
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op12_substring_dedup": (op12_substring_dedup, repeats.duckdb_sql()),
     "op11_hard_negatives": (op11_hard_negatives, _OP11_SQL),
     "op4_minhash_dedup": (op4_minhash_dedup, None),
     "op8_sharding": (op8_sharding, None),
