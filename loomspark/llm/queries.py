@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, language, licences, neardup, negatives, packing, pii, quality, repeats, secrets, sharding, urls
+from loomspark.llm import decontam, language, licences, neardup, negatives, packing, phrases, pii, quality, repeats, secrets, sharding, urls
 from loomspark.sources.tables import table
 
 
@@ -102,7 +102,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_phrase_mining": (op13_phrase_mining, phrases.duckdb_sql()),
     "op12_substring_dedup": (op12_substring_dedup, repeats.duckdb_sql()),
     "op11_hard_negatives": (op11_hard_negatives, _OP11_SQL),
     "op4_minhash_dedup": (op4_minhash_dedup, None),
