@@ -6,7 +6,7 @@ in it with their piece, is the node's own count; nodes of two words and of one g
 counted for one length, and the shorter counts are sums over the graph.
 
 A phrase can come 30 times only if its words and pairs of neighbours do. These are counted first; a bounded sieve tells them to all tasks,
-and where a pair is too rare the edge ends, like at the end of a piece. Nodes with one way in and one way out are then joined into paths.
+and where a pair is too rare the edge ends, like at the end of a piece.
 """
 
 from __future__ import annotations
@@ -54,50 +54,57 @@ def _pairs(name: np.ndarray) -> np.ndarray:
     return mixed(name * BASES[0] + np.append(name[1:], U(0))[: len(name)] * BASES[1])
 
 
-def _counted(names: list[np.ndarray], counts: list[np.ndarray] | None, share: int) -> Iterator[dict]:
+def _counted(names: list[np.ndarray], counts: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     name = np.concatenate(names)
     order = np.argsort(name)
     name = name[order]
     at = np.flatnonzero(np.diff(name, prepend=~name[:1]))
     n = np.diff(np.append(at, len(name))) if counts is None else np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), at)
-    name = name[at]
-    yield from dealt((name >> U(64 - share)).astype(np.int64), {"name": name, "n": n.astype("<i8")})
+    return name[at], n.astype("<i8")
 
 
 def often(texts: DataFrame, least: int, n_words: int) -> Sieve:
-    """The sieve of words and pairs of neighbours that come so often."""
+    """The sieve of words and pairs of neighbours that come so often.
+
+    In its bucket a name is told by the 32 digits after those that all names of the bucket have: more names than a sieve tells apart.
+    """
     share, size = share_for(n_words), Sieve.bits_for(n_words // max(1, least))
     out = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("n", pa.binary())])
 
+    def passed(held: list[np.ndarray]) -> pa.RecordBatch:
+        name, n = _counted(held, None)
+        short = (name >> U(32 - share)).astype("<u4")
+        return as_batch(list(dealt((name >> U(64 - share)).astype(np.int64), {"name": short, "n": n.astype("<u4")})), out)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for _, _, name, near in _parts(batches):
             held += [mixed(name), _pairs(name)[near]]
             many += 2 * len(name)
             if many > HELD:
-                yield as_batch(list(_counted(held, None, share)), out)
+                yield passed(held)
                 held, many = [], 0
         if many:
-            yield as_batch(list(_counted(held, None, share)), out)
+            yield passed(held)
 
     def tell(table: pa.Table) -> pa.Table:
-        row = next(_counted([gathered(table, "name", "<u8")], [gathered(table, "n", "<i8")], share))
-        name, n = np.frombuffer(row["name"], "<u8"), np.frombuffer(row["n"], "<i8")
-        return pa.table({"bucket": pa.array([row["bucket"]], pa.int32()), "bits": [Sieve.segment(name[n >= least], size, share)]})
+        short, n = _counted([gathered(table, "name", "<u4")], [gathered(table, "n", "<u4")])
+        name = short[n >= least].astype(U) << U(32 - share)
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": [Sieve.segment(name, size, share)]})
 
     found = texts.mapInArrow(count, "bucket int, name binary, n binary").groupBy("bucket").applyInArrow(tell, "bucket int, bits binary")
     return Sieve.joined({r["bucket"]: bytes(r["bits"]) for r in found.collect()}, size, share)  # 2 ** size bits in all
 
 
 def _summed(edges: np.ndarray) -> np.ndarray:
-    """Equal edges as one, and the digest by which they are dealt out."""
+    """Each edge once. They are told apart by words; where digests meet, those are sorted as well."""
     digest = _digest(edges)
     order = np.argsort(digest)
+    unlike = lambda e: np.logical_or.reduce([e[w][1:] != e[w][:-1] for w in WORDS])
+    if (unlike(edges[order]) & (digest[order][1:] == digest[order][:-1])).any():
+        order = np.lexsort([*(edges[w] for w in WORDS), digest])
     edges = edges[order]
-    new = np.ones(len(edges), bool)
-    # Unlike edges of one digest may come in turn and be several rows; all rows of an edge are summed up by its words at the end.
-    new[1:] = np.logical_or.reduce([edges[w][1:] != edges[w][:-1] for w in WORDS])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.append(True, unlike(edges))[: len(edges)])
     out = edges[at].copy()
     out["n"] = np.add.reduceat(edges["n"], at)
     return out
@@ -118,8 +125,7 @@ def edges(texts: DataFrame, sieve: Sieve, n_words: int) -> DataFrame:
     out = pa.schema([("bucket", pa.int32()), ("edges", pa.binary()), ("name", pa.binary()), ("n", pa.binary()), ("lang", pa.list_(pa.string())), ("word", pa.list_(pa.binary()))])
     none = {"edges": b"", "name": b"", "n": b"", "lang": [], "word": []}
 
-    def passed(held: list[np.ndarray]) -> Iterator[dict]:
-        found = _summed(np.concatenate(held))
+    def passed(found: np.ndarray) -> Iterator[dict]:
         for row in dealt((_digest(found) >> U(64 - share)).astype(np.int64), {"edges": found}):
             yield none | row
 
@@ -157,10 +163,13 @@ def edges(texts: DataFrame, sieve: Sieve, n_words: int) -> DataFrame:
                 strings = [words.data[words.start[i] : words.end[i]].tobytes() for _, i in fresh]
                 yield as_batch(list(named([x for x, _ in fresh], [0] * len(fresh), [langs[words.text[i]] for _, i in fresh], strings)), out)
             if many > HELD // 4:
-                yield as_batch(list(passed(held)), out)
-                held, many = [], 0
-        if held and many:
-            yield as_batch(list(passed(held)), out)
+                found = _summed(np.concatenate(held))
+                # Edges of one word come again and again: they stay to the end, unless there are too many.
+                alone = (found["w2"] == 0) & (np.count_nonzero(found["w2"] == 0) < HELD // 8)
+                yield as_batch(list(passed(found[~alone])), out)
+                held, many = [found[alone]], np.count_nonzero(alone)
+        if many:
+            yield as_batch(list(passed(_summed(np.concatenate(held)))), out)
         if totals:
             yield as_batch(list(named([0] * len(totals), list(totals.values()), list(totals), [b""] * len(totals))), out)
 
@@ -182,15 +191,13 @@ def edges(texts: DataFrame, sieve: Sieve, n_words: int) -> DataFrame:
 
 
 def flows(counted: DataFrame, least: int) -> DataFrame:
-    """w1 ... w4, n of each phrase of one to four words that comes so often: edges, then nodes of ever fewer words, each with all that
+    """w1 ... w4, n of each phrase of one to four words that comes so often: the edges, and the nodes of three, two and one words, each with all that
     leaves it or ends in it."""
-    level = counted.groupBy(*WORDS).agg(F.sum("n").alias("n"))
-    out = level.where(F.col(WORDS[-1]) != 0)
-    for k in range(LONGEST - 1, 0, -1):
-        kept = [F.col(w) if i < k else F.lit(0).cast("long").alias(w) for i, w in enumerate(WORDS)]
-        level = level.select(*kept, "n").groupBy(*WORDS).agg(F.sum("n").alias("n"))
-        out = out.union(level.where(F.col(WORDS[k - 1]) != 0))
-    return out.where(F.col("n") >= least)
+    longest = counted.where(F.col(WORDS[-1]) != 0).select(*WORDS, "n")
+    node = lambda k: F.struct(*[(F.col(w) if i < k else F.lit(0).cast("long")).alias(w) for i, w in enumerate(WORDS)])
+    passed = F.array_compact(F.array(*[F.when(F.col(WORDS[k - 1]) != 0, node(k)) for k in range(1, LONGEST)]))
+    nodes = counted.select("n", F.explode(passed).alias("x")).groupBy("x").agg(F.sum("n").alias("n")).select("x.*", "n")
+    return longest.union(nodes).where(F.col("n") >= least)
 
 
 def _part(start: int, end: int) -> list[Column]:
