@@ -5,8 +5,8 @@ nodes of three words that overlap, and are counted over the corpus. What flows o
 in it with their piece, is the node's own count; nodes of two words and of one get theirs from those in turn. So the corpus is
 counted for one length, and the shorter counts are sums over the graph.
 
-A phrase can come 30 times only if its words and pairs of neighbours do. These are counted first; a bounded sieve tells them to all tasks,
-and where a pair is too rare the edge ends, like at the end of a piece.
+A phrase can come 30 times only if its words, its pairs of neighbours and its triples do. These are counted first, triples of such pairs after
+the pairs; bounded sieves tell them to all tasks, and before a pair or triple that is too rare the edge ends, like at the end of a piece.
 """
 
 from __future__ import annotations
@@ -49,9 +49,26 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Words
             yield part.column("lang").to_pylist(), words, name, np.append(piece[1:] == piece[:-1], False)[: len(name)]
 
 
-def _pairs(name: np.ndarray) -> np.ndarray:
-    """The name of each word with the next one."""
-    return mixed(name * BASES[0] + np.append(name[1:], U(0))[: len(name)] * BASES[1])
+def _run(name: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """The name of the m words from each place on."""
+    out = name[at]
+    for k in range(1, m):
+        out = out * BASES[0] + name[at + k] * BASES[1]
+    return mixed(out)
+
+
+def _possible(name: np.ndarray, near: np.ndarray, sieves: list[Sieve]) -> list[np.ndarray]:
+    """Whether the word, the pair and (with two sieves) the triple that begin at each place may come often enough."""
+    one = sieves[0].holds(_run(name, np.arange(len(name)), 1))
+    out = [one]
+    last, holds = one, near
+    for m in range(2, len(sieves) + 2):
+        longer = last & holds & np.append(last[1:], False)[: len(name)]
+        at = np.flatnonzero(longer)
+        longer[at] = sieves[max(0, m - 2)].holds(_run(name, at, m))
+        out.append(longer)
+        last = longer
+    return out
 
 
 def _counted(names: list[np.ndarray], counts: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +80,14 @@ def _counted(names: list[np.ndarray], counts: list[np.ndarray] | None) -> tuple[
     return name[at], n.astype("<i8")
 
 
-def often(texts: DataFrame, least: int, n_words: int) -> Sieve:
-    """The sieve of words and pairs of neighbours that come so often.
+def often(texts: DataFrame, least: int, n_words: int, known: list[Sieve]) -> Sieve:
+    """The sieve of words and pairs of neighbours that come so often or, where that is known, of triples.
 
     In its bucket a name is told by the 32 digits after those that all names of the bucket have: more names than a sieve tells apart.
     """
     share, size = share_for(n_words), Sieve.bits_for(n_words // max(1, least))
     out = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("n", pa.binary())])
+    told = texts.sparkSession.sparkContext.broadcast(known)
 
     def passed(held: list[np.ndarray]) -> pa.RecordBatch:
         name, n = _counted(held, None)
@@ -79,8 +97,12 @@ def often(texts: DataFrame, least: int, n_words: int) -> Sieve:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for _, _, name, near in _parts(batches):
-            held += [mixed(name), _pairs(name)[near]]
-            many += 2 * len(name)
+            if told.value:
+                pair = _possible(name, near, told.value)[1]
+                held.append(_run(name, np.flatnonzero(pair[:-1] & pair[1:]), 3))
+            else:
+                held += [_run(name, np.arange(len(name)), 1), _run(name, np.flatnonzero(near), 2)]
+            many = sum(len(x) for x in held)
             if many > HELD:
                 yield passed(held)
                 held, many = [], 0
@@ -117,11 +139,11 @@ def _digest(edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def edges(texts: DataFrame, sieve: Sieve, n_words: int) -> DataFrame:
+def edges(texts: DataFrame, sieves: list[Sieve], n_words: int) -> DataFrame:
     """w1 ... w4 (names; 0 after the phrase), n, lang, word: the counts of edges, and for each word that may come often enough a row of count 0
     with its language and string. Rows of w1 = 0 have the words of a language in all."""
     share = share_for(n_words // 4)
-    told = texts.sparkSession.sparkContext.broadcast(sieve)
+    told = texts.sparkSession.sparkContext.broadcast(sieves)
     out = pa.schema([("bucket", pa.int32()), ("edges", pa.binary()), ("name", pa.binary()), ("n", pa.binary()), ("lang", pa.list_(pa.string())), ("word", pa.list_(pa.binary()))])
     none = {"edges": b"", "name": b"", "n": b"", "lang": [], "word": []}
 
@@ -136,22 +158,19 @@ def edges(texts: DataFrame, sieve: Sieve, n_words: int) -> DataFrame:
             yield none | row | {"lang": [langs[i] for i in at], "word": [words[i] for i in at]}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, held, many = told.value, [], 0
+        held, many = [], 0
         known: set[int] = set()
         totals: dict[str, int] = {}
         for langs, words, name, near in _parts(batches):
             for t, n in enumerate(np.diff(words.at).tolist()):
                 totals[langs[t]] = totals.get(langs[t], 0) + n
-            some = sieve.holds(mixed(name))
-            on = near & some & np.append(some[1:], False)[: len(name)]
-            at = np.flatnonzero(on)
-            on[at] = sieve.holds(mixed(name[at] * BASES[0] + name[at + 1] * BASES[1]))
+            some, pair, triple = _possible(name, near, told.value)
             first = np.flatnonzero(some)
             found = np.zeros(len(first), _EDGE)
-            found["n"], reach = 1, np.ones(len(first), bool)
-            for k, w in enumerate(WORDS):
+            found["n"] = 1
+            for k, (w, on) in enumerate(zip(WORDS, (some, pair, triple, triple & np.append(triple[1:], False)[: len(triple)]), strict=True)):
+                reach = on[first]
                 found[w][reach] = name[first[reach] + k]
-                reach[reach] = on[first[reach] + k]
             held.append(found)
             many += len(found)
             distinct, at = np.unique(name[some], return_index=True)
@@ -230,7 +249,10 @@ def collocations(docs: DataFrame, least: int = 30, within: int = 80, top: int =
     """
     texts = _texts(docs)
     n_words = (texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] or 0) // 6  # one number, for sizes alone
-    every = checkpointed(edges(texts, often(texts, least, n_words), n_words))
+    sieves: list[Sieve] = []
+    for _ in range(2):
+        sieves.append(often(texts, least, n_words, sieves))
+    every = checkpointed(edges(texts, sieves, n_words))
     totals = every.where("w1 = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     words = every.where("w1 <> 0 and word is not null").select(F.col("w1").alias("w"), "lang", F.col("word").cast("string").alias("word"))
     counts = checkpointed(flows(every.where("w1 <> 0"), least))
