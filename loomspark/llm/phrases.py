@@ -73,6 +73,8 @@ def _possible(name: np.ndarray, near: np.ndarray, sieves: list[Sieve]) -> list[n
 
 def _counted(names: list[np.ndarray], counts: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     name = np.concatenate(names)
+    if not len(name):
+        return name, np.zeros(0, "<i8")
     order = np.argsort(name)
     name = name[order]
     at = np.flatnonzero(np.diff(name, prepend=~name[:1]))
@@ -151,6 +153,12 @@ def edges(texts: DataFrame, sieves: list[Sieve], n_words: int) -> DataFrame:
         for row in dealt((_digest(found) >> U(64 - share)).astype(np.int64), {"edges": found}):
             yield none | row
 
+    def single(name: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Edges of one word: they come again and again, so they are held as names until there are too many."""
+        found = np.zeros(len(name), _EDGE)
+        found["w1"], found["n"] = name, n
+        return found
+
     def named(names: list[int], n: list[int], langs: list[str], words: list[bytes]) -> Iterator[dict]:
         name = np.array(names, U)
         for row in dealt((mixed(name) >> U(64 - share)).astype(np.int64), {"name": name, "n": np.array(n, "<i8"), "at": np.arange(len(n))}):
@@ -158,14 +166,14 @@ def edges(texts: DataFrame, sieves: list[Sieve], n_words: int) -> DataFrame:
             yield none | row | {"lang": [langs[i] for i in at], "word": [words[i] for i in at]}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
+        held, alone, many = [], [], 0
         known: set[int] = set()
         totals: dict[str, int] = {}
         for langs, words, name, near in _parts(batches):
             for t, n in enumerate(np.diff(words.at).tolist()):
                 totals[langs[t]] = totals.get(langs[t], 0) + n
             some, pair, triple = _possible(name, near, told.value)
-            first = np.flatnonzero(some)
+            first = np.flatnonzero(pair)
             found = np.zeros(len(first), _EDGE)
             found["n"] = 1
             for k, (w, on) in enumerate(zip(WORDS, (some, pair, triple, triple & np.append(triple[1:], False)[: len(triple)]), strict=True)):
@@ -173,22 +181,28 @@ def edges(texts: DataFrame, sieves: list[Sieve], n_words: int) -> DataFrame:
                 found[w][reach] = name[first[reach] + k]
             held.append(found)
             many += len(found)
+            alone.append(np.unique(name[some & ~pair], return_counts=True))
             distinct, at = np.unique(name[some], return_index=True)
-            fresh = [(x, first[i]) for x, i in zip(distinct.tolist(), at.tolist(), strict=True) if x not in known]
+            places = np.flatnonzero(some)
+            fresh = [(x, places[i]) for x, i in zip(distinct.tolist(), at.tolist(), strict=True) if x not in known]
             if fresh:
                 if len(known) > TOLD:
                     known.clear()
                 known.update(x for x, _ in fresh)
                 strings = [words.data[words.start[i] : words.end[i]].tobytes() for _, i in fresh]
                 yield as_batch(list(named([x for x, _ in fresh], [0] * len(fresh), [langs[words.text[i]] for _, i in fresh], strings)), out)
-            if many > HELD // 4:
-                found = _summed(np.concatenate(held))
-                # Edges of one word come again and again: they stay to the end, unless there are too many.
-                alone = (found["w2"] == 0) & (np.count_nonzero(found["w2"] == 0) < HELD // 8)
-                yield as_batch(list(passed(found[~alone])), out)
-                held, many = [found[alone]], np.count_nonzero(alone)
+            if many > HELD // 3:
+                yield as_batch(list(passed(_summed(np.concatenate(held)))), out)
+                held, many = [], 0
+            if sum(len(x) for x, _ in alone) > HELD // 4:
+                alone = [_counted([x for x, _ in alone], [n for _, n in alone])]
+                if len(alone[0][0]) > HELD // 8:
+                    yield as_batch(list(passed(single(*alone[0]))), out)
+                    alone = []
         if many:
             yield as_batch(list(passed(_summed(np.concatenate(held)))), out)
+        if alone:
+            yield as_batch(list(passed(single(*_counted([x for x, _ in alone], [n for _, n in alone])))), out)
         if totals:
             yield as_batch(list(named([0] * len(totals), list(totals.values()), list(totals), [b""] * len(totals))), out)
 
