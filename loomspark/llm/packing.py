@@ -11,6 +11,7 @@ and its rest opens the next window as the next seed. So all windows of a task ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -37,6 +38,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White-space characters in a row from which a text isn't given to ``tiktoken``.
+BLANKS = 100_000
+_LONG_BLANK = re.compile(r"\s{%d}" % BLANKS)
+
+
 def _plain(spec: dict) -> bool:
     """Whether the vocabulary splits and merges as ``tiktoken`` does: byte level, the public pattern, nothing else."""
     split, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -52,12 +58,20 @@ def _plain(spec: dict) -> bool:
     )
 
 
+@lru_cache(maxsize=4)
+def _whole(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
     """The tokenizer at the path, as a function from a text to its ids, and the number of ids.
 
     A plain byte-level vocabulary of ``tokenizers`` (json) is read into the merge table of ``tiktoken``, which gives the same
-    ids at four times the speed; any other goes through ``tokenizers`` itself. Strings of added tokens become their ids.
+    ids at four times the speed; any other goes through ``tokenizers`` itself, and so does a text with a run of BLANKS white-space
+    characters, on which the patterns of ``tiktoken`` give up. Strings of added tokens become their ids.
     """
     import json
 
@@ -65,16 +79,19 @@ def _encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     size = max([*spec["model"]["vocab"].values(), *added.values()]) + 1
     if not _plain(spec):
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32), size
+        return lambda text: np.array(_whole(path).encode(text, add_special_tokens=False).ids, np.uint32), size
     import tiktoken
 
     sign = {c: b for b, c in _byte_signs().items()}
     ranks = {bytes(sign[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     bpe = tiktoken.Encoding("from_json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: bpe.encode_to_numpy(text, allowed_special="all"), size
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= BLANKS and _LONG_BLANK.search(text):
+            return np.array(_whole(path).encode(text, add_special_tokens=False).ids, np.uint32)
+        return bpe.encode_to_numpy(text, allowed_special="all")
+
+    return encode, size
 
 
 def _byte_signs() -> dict[int, str]:

@@ -111,3 +111,19 @@ def test_equal_rows_are_spread_and_whole(spark):
     rows = [(1, "the same words again")] * 3000 + [(None, None)] * 1000
     pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), packing.tokenizer_path(), window=64).collect()
     assert sum(p["length"] for p in pieces) == 3000 * (len(HF.encode("the same words again", add_special_tokens=False).ids) + 1) + 1000
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u00a0"])
+def test_ids_of_very_long_blank_runs(blank):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    encode, whole = packing._encoder(path)[0], Tokenizer.from_file(path)
+    for text in (blank * 1_000_000, "a" + blank * 1_000_000 + "b", "word " * 3 + blank * 99_999 + "x" + blank * 100_000):
+        assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_survives_a_padded_text(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "x" * 1_000_000)], "doc_id long, text string")
+    rows = packing.packed(docs, packing.tokenizer_path()).collect()
+    assert {r["doc_id"] for r in rows} == {1, 2} and all(sum(r["length"] for r in rows if r["doc_id"] == i) == next(r["doc_tokens"] for r in rows if r["doc_id"] == i) for i in (1, 2))
