@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a mark; all documents stay, and n_chars follows the text."""
-    # The spans are written before texts are cut by them: inlined into one projection with both uses below, they came out wrong.
+    # The spans are written before texts are cut by them, so that both uses below don't search the texts again.
     found = checkpointed(secrets.scanned(docs, "__base", "__every"))
     new = found.withColumn("text", secrets.redacted(F.col("text"), F.col("__every")))
     if "n_chars" in docs.columns:

@@ -137,18 +137,15 @@ def as_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans (sorted by start) replaced by the mark; null stays null.
+    """The text with each run of overlapping spans (sorted by start) replaced by the mark; null stays null."""
 
-    The spans must be a column that is read, not one that the same projection works out: where Spark inlines their
-    expression and the result is used twice, the second use may be cut wrongly.
-    """
-
-    def gaps(all_):
+    def gaps(v):
         """What lies between the runs: from the end of all spans so far to the next start beyond it."""
-        reach = running(F.transform(all_, lambda x: x["end"]), F.greatest)
-        starts = F.concat(F.transform(all_, lambda x: x["start"]), F.array(F.length(text)))
+        reach = running(F.transform(v["spans"], lambda x: x["end"]), F.greatest)
+        starts = F.concat(F.transform(v["spans"], lambda x: x["start"]), F.array(v["length"]))
         ends = F.concat(F.array(F.lit(0)), reach)
         each = F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
         return F.filter(each, lambda x, i: (x["start"] <= x["end"]))
 
-    return F.when(F.size(spans) > 0, F.array_join(pieces(text, let(spans, gaps)), mark)).otherwise(text)
+    between = let(F.struct(spans.alias("spans"), F.length(text).alias("length")), gaps)
+    return F.when(F.size(spans) > 0, F.array_join(pieces(text, between), mark)).otherwise(text)

@@ -1,7 +1,8 @@
 """Places of regular-expression matches in a text, with native functions alone.
 
-What a lambda names from outside is worked out again at each step, so nothing but variables of lambdas is named inside
-them: arrays are zipped together first, and ``let`` binds a value that is used more than once.
+What a lambda names from outside is worked out again at each step, and there a column's name may also mean an earlier alias of
+the same select. So nothing but variables of lambdas is named inside them: arrays are zipped together or put into one struct first,
+and ``let`` binds a value that is used more than once.
 """
 
 from __future__ import annotations
@@ -63,4 +64,4 @@ def pieces(text: Column, places: Column) -> Column:
         tail = F.when(last > first, F.substring(F.get(b, last), F.lit(1), x["end"] % BLOCK))
         return F.concat_ws("", head, middle, tail)
 
-    return let(blocks, lambda b: F.transform(places, lambda x: piece(b, x)))
+    return let(F.struct(blocks.alias("blocks"), places.alias("places")), lambda v: F.transform(v["places"], lambda x: piece(v["blocks"], x)))

@@ -454,3 +454,17 @@ def test_spellings_are_of_whole_words_and_the_strictest_policy_holds(spark):
     docs = spark.createDataFrame([(1, "The programmer has a licence!"), (2, "the programr has a license"), (3, "organization  organisation")], "doc_id long, text string")
     got = {r["doc_id"]: (r["license"], r["policy"]) for r in licences.scanned(docs, texts, []).collect()}
     assert got == {1: ("A", "forbid"), 2: (None, "none"), 3: ("C", "allow")}
+
+
+def test_redacted_beside_clashing_aliases(spark):
+    """An earlier alias of the same select with the text's or the spans' name changes nothing."""
+    text = "keep token = abcdef123 and password: zzzzzzz end"
+    found = secrets.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    new = secrets.redacted(F.col("text"), F.col("all_found"))
+    want = found.select(new.alias("other")).first()[0]
+    assert want.count("[SECRET]") == 2 and want.startswith("keep ") and want.endswith(" end")
+    for df in (found, found.cache()):
+        row = df.select("doc_id", F.lit("zz").alias("text"), F.lit(0).alias("all_found"), new.alias("new"), F.length(new).alias("n")).first()
+        assert (row["new"], row["n"]) == (want, len(want))
+        row = df.select("doc_id", new.alias("text"), F.length(new).alias("n")).first()
+        assert (row["text"], row["n"]) == (want, len(want))
