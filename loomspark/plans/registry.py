@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import code, extra, graphs, logs, more, retrieval, review
+from loomspark.plans import code, extra, graphs, logs, more, retrieval, review, spans
 
-MODULES: tuple = (retrieval, logs, graphs, review, more, extra, code)
+MODULES: tuple = (retrieval, logs, graphs, review, more, extra, code, spans)
 
 
 def queries() -> dict:
