@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.session import checkpointed
@@ -74,7 +74,12 @@ def within(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """source, target: each import (source, stem) to the first file (id, stem) of that stem that isn't itself."""
-    hits = imports.join(files.select(F.col("id").alias("target"), "stem"), "stem").where("source <> target")
-    w = Window.partitionBy("source", "stem").orderBy("target")
-    return hits.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("source", "target").distinct()
+    """source, target: each import (source, stem) to the first file (id, stem) of that stem that isn't itself.
+
+    That is one of the two least of the stem, so that a stem of very many files is one row of two for its imports.
+    """
+    least = files.groupBy("stem").agg(F.min("id").alias("first"))
+    other = files.join(least, "stem").where("id > first").groupBy("stem").agg(F.min("id").alias("second"))
+    each = imports.join(least.join(other, "stem", "left"), "stem")
+    target = F.when(F.col("source") != F.col("first"), F.col("first")).otherwise(F.col("second"))
+    return each.select("source", target.alias("target")).where("target is not null").distinct()

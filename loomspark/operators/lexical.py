@@ -16,6 +16,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DOCS, QUERIES = 1_000, 1_000
 #: Up to so many different tokens of queries are sent to all tasks (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_TOKENS = 500_000
+#: Queries of up to so many bytes of tokens are sent to all tasks, which score the documents where they lie.
+BROADCAST_BYTES = 32 << 20
+#: Pairs of a document and a query's token that a task adds up at once.
+PAIRS = 4_000_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,6 +38,13 @@ class Index:
         self.tokens, self.weights, self.key = tokens, weights, key
         stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(1.0)).alias("avgdl")).first()  # two numbers
         self.n, self.avgdl = stats["n"], stats["avgdl"] or 1.0
+        self._single: bool | None = None
+
+    def single(self) -> bool:
+        """Whether each key comes once: asked once, of the keys alone."""
+        if self._single is None:
+            self._single = not self.tokens.groupBy(self.key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        return self._single
 
     @classmethod
     def of(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> Index:
@@ -124,19 +135,77 @@ def _matrix(hits: pa.Table, asked: pa.Table, key: str, query_key: str, within: s
     return pa.table(out | {"score": pa.array(scores[rows, columns])})
 
 
+def _beside(index: Index, rows: DataFrame, asked: DataFrame, query_key: str, within: str | None, k: int | None, schema: str) -> DataFrame:
+    """Scores of all rows of the index for queries that every task has: nothing of the corpus moves but what is found."""
+    table = asked.select(query_key, "token", "idf").toArrow()  # of a size that was measured
+    told = rows.sparkSession.sparkContext.broadcast(table)
+    key, names = index.key, [x.split()[0] for x in schema.split(", ")]
+    own = [key] + ([within] if within else [])
+
+    def score(batches):
+        asked = told.value
+        words = pc.unique(asked.column("token"))
+        of, labels, _ = _numbered(asked.column(query_key))
+        token = pc.index_in(asked.column("token"), words).to_numpy(zero_copy_only=False)
+        order = np.argsort(token, kind="stable")
+        of, idf, edges = of[order], asked.column("idf").to_numpy()[order], np.searchsorted(token[order], np.arange(len(words) + 1))
+        m = len(labels)
+        for batch in batches:
+            n = batch.num_rows
+            held = batch.column("tokens")
+            sizes = pc.fill_null(held.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.fill_null(pc.index_in(held.flatten(), words), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(n), sizes)[found >= 0]
+            found = found[found >= 0]
+            w, many = batch.column("w").to_numpy(), edges[found + 1] - edges[found]
+            # Documents in stretches whose pairs fit.
+            cuts = np.flatnonzero(np.diff(np.cumsum(np.bincount(doc, many, n)) // PAIRS)) + 1
+            number, keys, ties = _numbered(pa.chunked_array([batch.column(key)]))
+            group, groups, _ = _numbered(pa.chunked_array([batch.column(within)])) if within else (np.zeros(n, np.int64), pa.array([None]), None)
+            for a, b in zip([0, *cuts], [*cuts, n], strict=True):
+                lo, hi = np.searchsorted(doc, (a, b))
+                each = many[lo:hi]
+                if not each.sum():
+                    continue
+                at = np.repeat(edges[found[lo:hi]] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
+                row = np.repeat(doc[lo:hi], each) - a
+                pair, place = np.unique(row * m + of[at], return_inverse=True)
+                value = np.round(np.bincount(place, idf[at] * w[row + a]), 6)
+                pair, value = pair[value > 0], value[value > 0]
+                d, q = a + pair // m, pair % m
+                # The best k of each query and group: by query, group, falling score, key.
+                order = np.lexsort((ties[number[d]], -value, group[d], q))
+                d, q, value = d[order], q[order], value[order]
+                if k is not None and len(d):
+                    first = np.flatnonzero((np.diff(q, prepend=-1) != 0) | (np.diff(group[d], prepend=-1) != 0))
+                    place = np.arange(len(d)) - np.repeat(first, np.diff(np.append(first, len(d))))
+                    d, q, value = d[place < k], q[place < k], value[place < k]
+                out = [labels.take(pa.array(q)), keys.take(pa.array(number[d]))] + ([groups.take(pa.array(group[d]))] if within else [])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(value)], names)
+
+    dl = F.size("tokens")
+    weight = (K1 + 1) / (1 + K1 * (1 - B + B * dl / index.avgdl))
+    return rows.select(*own, weight.cast("double").alias("w"), "tokens").mapInArrow(score, schema)
+
+
 def scored(index: Index, queries: DataFrame, query_key: str = "item_id", query_text: str = "text", k: int | None = None, where: Column | None = None, within: str | None = None) -> DataFrame:
     """query_key, key, (within,) score (6 decimals): documents that share a token with a query and score above 0.
 
     A token counts once per document. With k, no fewer than the k best of each query (and value of within, a carried column)
-    are among them. where: the documents that may be found; weights are those of all. Blocks of documents meet blocks of queries; only
-    tokens of queries are moved.
+    are among them. where: the documents that may be found; weights are those of all. Queries of a measured size go to all tasks, which
+    score the documents where they lie; of more, or where a key comes several times, blocks of documents meet blocks of queries, and only tokens of queries are moved.
     """
     key, own = index.key, [index.key] + ([within] if within else [])
     asked = queries.select(query_key, F.explode(code_tokens(F.col(query_text))).alias("token"))
     used = checkpointed(index.weights.join(asked.select("token").distinct(), "token", "left_semi"))
     asked = asked.join(used, "token")
-    n_used, n_queries = used.count(), queries.count()
     rows = index.tokens if where is None else index.tokens.where(where)
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(queries, query_key), *[kind(index.tokens, c) for c in own], "score double"])
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("token") + 24), F.lit(0))).first()[0]  # one number
+    if size <= BROADCAST_BYTES and index.single():
+        return _beside(index, rows, asked, query_key, within, k, schema)
+    n_used, n_queries = used.count(), queries.count()
     dl = F.size("tokens")
     rows = rows.select(*own, ((K1 + 1) / (1 + K1 * (1 - B + B * dl / index.avgdl))).alias("w"), F.explode("tokens").alias("token"))
     names = used.select("token")
@@ -145,8 +214,6 @@ def scored(index: Index, queries: DataFrame, query_key: str = "item_id", query_t
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     hits = hits.select("*", F.pmod(F.xxhash64(key), F.lit(p)).cast("int").alias("p"), every(q).alias("q"))
     asked = asked.select("*", every(p).alias("p"), F.pmod(F.xxhash64(query_key), F.lit(q)).cast("int").alias("q"))
-    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
-    schema = ", ".join([kind(queries, query_key), *[kind(index.tokens, c) for c in own], "score double"])
     return hits.groupBy("p", "q").cogroup(asked.groupBy("p", "q")).applyInArrow(lambda a, b: _matrix(a, b, key, query_key, within, k), schema)
 
 

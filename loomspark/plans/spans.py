@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import cascade
 from loomspark.functions import text as T
-from loomspark.operators import lexical, spans
+from loomspark.operators import lexical, spans, upkeep
 from loomspark.plans.retrieval import BM25_SQL, tok
+from loomspark.session import shared_folder
 from loomspark.sources.tables import table
 
 SIZE, OVERLAP = 700, 150
@@ -112,7 +113,18 @@ _SPAN_SQL = rf"""WITH {BM25_SQL},
     w AS (SELECT leg, (SELECT count(*) FROM f WHERE f.leg = l.leg) AS found_length, (SELECT count(*) FROM tr) AS true_length, (SELECT count(*) FROM f JOIN tr USING (q, file, place) WHERE f.leg = l.leg) AS both_length FROM l)
     SELECT m.*, found_length, true_length, both_length, round(100.0::DOUBLE * both_length / nullif(true_length, 0), 4) AS span_recall, round(100.0::DOUBLE * both_length / nullif(found_length, 0), 4) AS span_precision FROM m JOIN w USING (leg)"""
 
+def index_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten documents of each item, from a stored index that began without every seventh document and with other texts of every fifth, and
+    then followed the documents as they are."""
+    docs, folder = table(spark, d, "documents"), shared_folder(spark, "index")
+    past = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("an older version "), F.reverse("text"))).otherwise(F.col("text")))
+    extra = docs.where("doc_id % 11 = 0").withColumn("doc_id", -F.col("doc_id") - 1)  # these are gone now
+    version = upkeep.advance(docs, folder, upkeep.start(past.unionByName(extra), folder))
+    return lexical.search(upkeep.index(spark, folder, version), table(spark, d, "benchmark"), 10)
+
+
 QUERIES = {
+    "index_upkeep": (index_upkeep, f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM top WHERE rank <= 10"),
     "separator_chunks": (separator_chunks, _separator_sql()),
     "span_metrics": (span_metrics, _SPAN_SQL),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,11 +49,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Where neither that nor a folder set by hand exists, a temporary one
     is taken on a single machine, as in tests; on a cluster, whose executors would each write to their own disk, it is an error.
     """
-    spark = df.sparkSession
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one in which lineage is cut: all executors share it."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
