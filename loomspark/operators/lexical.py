@@ -48,7 +48,11 @@ class Index:
 
     @classmethod
     def of(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> Index:
-        tokens = checkpointed(docs.select(key, *carry, code_tokens(F.col(text)).alias("tokens")))
+        rows = docs.select(key, *carry, F.col(text).alias("__text"))
+        # A small table may be one group of rows in one file: its texts are dealt out, so that all cores cut them. Large ones lie in many parts as they are.
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+        tokens = checkpointed(rows.select(key, *carry, code_tokens(F.col("__text")).alias("tokens")))
         n = tokens.count()
         held = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
         raw = checkpointed(held.select("token", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))

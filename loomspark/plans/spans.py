@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions import cascade
+from loomspark.functions import cascade, loops
 from loomspark.functions import text as T
 from loomspark.operators import lexical, spans, upkeep
 from loomspark.plans.retrieval import BM25_SQL, tok
@@ -123,7 +123,25 @@ def index_upkeep(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search(upkeep.index(spark, folder, version), table(spark, d, "benchmark"), 10)
 
 
+def loop_nesting(spark: SparkSession, d: str) -> DataFrame:
+    """Loops within loops of code that is made of the words of every document: a word's length tells its line's indent, and what stands there."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^A-Za-z]+"), lambda w: w != "")
+    line = lambda w: F.concat(F.repeat(F.lit(" "), F.length(w) % 5), F.when(F.length(w) % 3 == 0, "for x in y:").when(F.length(w) == 7, "except:").otherwise(w))
+    code = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(words, line), "\n").alias("code"))
+    return code.select("doc_id", loops.nesting(F.col("code")).alias("n")).select("doc_id", "n.nested_loops", "n.bare_excepts")
+
+
+#: A loop is nested if one before it is indented less, and no line since then as little as that one: the last line indented less, before any other, is a loop.
+_LOOP_SQL = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^A-Za-z]+'), lambda x: x <> '') AS ws FROM documents),
+    l AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM w), k AS (SELECT doc_id, i, length(w) % 5 AS d, length(w) % 3 = 0 AS is_loop, length(w) = 7 AS is_bare FROM l),
+    m AS (SELECT *, max(CASE WHEN d = 0 THEN i END) OVER b AS p0, max(CASE WHEN d <= 1 THEN i END) OVER b AS p1, max(CASE WHEN d <= 2 THEN i END) OVER b AS p2, max(CASE WHEN d <= 3 THEN i END) OVER b AS p3,
+        max(CASE WHEN d = 0 AND is_loop THEN i END) OVER b AS l0, max(CASE WHEN d = 1 AND is_loop THEN i END) OVER b AS l1, max(CASE WHEN d = 2 AND is_loop THEN i END) OVER b AS l2, max(CASE WHEN d = 3 AND is_loop THEN i END) OVER b AS l3
+        FROM k WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    n AS (SELECT doc_id, is_bare, is_loop AND ((d > 0 AND l0 = p0) OR (d > 1 AND l1 = p1) OR (d > 2 AND l2 = p2) OR (d > 3 AND l3 = p3)) AS nested FROM m)
+    SELECT d.doc_id, CAST(count(*) FILTER (nested) AS INTEGER) AS nested_loops, CAST(count(*) FILTER (is_bare) AS INTEGER) AS bare_excepts FROM (SELECT doc_id FROM documents) d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
 QUERIES = {
+    "loop_nesting": (loop_nesting, _LOOP_SQL),
     "index_upkeep": (index_upkeep, f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM top WHERE rank <= 10"),
     "separator_chunks": (separator_chunks, _separator_sql()),
     "span_metrics": (span_metrics, _SPAN_SQL),
