@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.encodings import decoded
 from loomspark.functions.text import extension
 
 #: Folders that are never read, and the kinds of file that are.
@@ -13,15 +14,16 @@ KINDS = ("py", "js", "jsx", "ts", "tsx", "go", "java", "rs", "rb", "md", "txt",
 
 
 def source_files(spark: SparkSession, root: str, most_bytes: int = 500_000) -> DataFrame:
-    """source, file_name, language, size, content_hash, text of the files below root of a known kind and size; files that
-    aren't valid UTF-8 are left out. The size and path are tested before a file's content is read."""
+    """source, file_name, language, size, content_hash, text, encoding of the files below root of a known kind and size. The encoding
+    is told from the bytes (see ``functions.encodings``), so that UTF-16, Windows and Latin-1 files are kept; those that hold no
+    text (binary) are left out. The size and path are tested before a file's content is read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") < most_bytes)
     hidden = "/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
     rows = rows.where(~F.col("path").rlike(hidden)).withColumn("language", extension(F.col("path"))).where(F.col("language").isin(*KINDS))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
+    rows = rows.withColumn("read", decoded(F.col("content")))
     return rows.select(
         F.col("path").alias("source"), F.element_at(F.split("path", "/"), -1).alias("file_name"), "language", F.col("length").alias("size"),
-        F.left(F.sha2("content", 256), F.lit(16)).alias("content_hash"), text.alias("text"),
+        F.left(F.sha2("content", 256), F.lit(16)).alias("content_hash"), "read.text", "read.encoding",
     ).where("text is not null")
 
 

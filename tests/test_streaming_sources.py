@@ -51,7 +51,10 @@ def test_sources_and_sinks(spark, tmp_path):
     (root / ".git" / "b.py").write_text("x")
     (root / "c.bin").write_bytes(b"x")
     (root / "d.txt").write_bytes(b"\xff\xfe broken")
-    assert [(r["file_name"], r["text"]) for r in readers.source_files(spark, str(root)).collect()] == [("a.py", "print(1)\n")]
+    (root / "e.txt").write_bytes("wide é".encode("utf-16"))
+    (root / "f.txt").write_bytes(b"\x00\x01\xff\x00\xfe")
+    files = {r["file_name"]: (r["text"], r["encoding"]) for r in readers.source_files(spark, str(root)).collect()}
+    assert files == {"a.py": ("print(1)\n", "utf-8"), "d.txt": ("ÿþ broken", "iso-8859-1"), "e.txt": ("wide é", "utf-16le")}
     (tmp_path / "log.jsonl").write_text("\n".join([json.dumps({"ts": i, "path": "p"}) for i in range(9)] + ["{broken"]))
     assert [r["ts"] for r in readers.json_lines(spark, f"{tmp_path}/log.jsonl", "ts int, path string", 3).collect()] == [8, 7, 6]
     (tmp_path / "doc.json").write_text('{"prompts":\n [1, 2]}')
