@@ -22,12 +22,27 @@ def _pairs(big: bool) -> str:
 
 
 def _whole(latin: Column, big: bool) -> Column:
-    """Whether the bytes are whole UTF-16 characters: nothing is left when they are taken out one after the other."""
-    return F.regexp_replace(latin, _pairs(big), "") == ""
+    """Whether the bytes are whole UTF-16 characters. Without a byte of a surrogate any pairs are; else characters are taken out one
+    after the other, and nothing may be left."""
+    even = F.length(latin) % 2 == 0
+    return even & (~latin.rlike(r"[\xD8-\xDF]") | (F.regexp_replace(latin, _pairs(big), "") == ""))
 
 
-def _zeros(half: Column) -> Column:
-    return (F.length(half) - F.length(F.translate(half, "\0", ""))) / F.length(half)
+def _wide(latin: Column) -> Column:
+    """'utf-16le' or 'utf-16be' if zero bytes fill one half of the pairs and hardly any of the other, else null."""
+    zeros = lambda x: F.length(x) - F.length(F.translate(x, "\0", ""))
+
+    def judged(v: Column) -> Column:
+        pairs = F.length(v["odd"])
+        odd, even = zeros(v["odd"]) / pairs, (zeros(v["latin"]) - zeros(v["odd"])) / pairs
+        little = (odd >= ZEROS) & (even <= OTHERS) & _whole(v["latin"], False)
+        big = (even >= ZEROS) & (odd <= OTHERS) & _whole(v["latin"], True)
+        return F.when(little, "utf-16le").when(big, "utf-16be")
+
+    def halved(text: Column) -> Column:
+        return let_all({"latin": text, "odd": F.regexp_replace(text, r"(?s)(.)(.)", "$2")}, judged)
+
+    return F.when(latin.contains("\0") & (F.length(latin) % 2 == 0), halved(latin))
 
 
 def decoded(content: Column) -> Column:
@@ -40,11 +55,7 @@ def decoded(content: Column) -> Column:
     """
 
     def told(v: Column) -> Column:
-        latin, bytes_ = v["latin"], v["bytes"]
-        even, odd = F.regexp_replace(latin, r"(?s)(.)(.)", "$1"), F.regexp_replace(latin, r"(?s)(.)(.)", "$2")
-        paired = (F.length(latin) % 2 == 0) & (F.length(latin) > 0)
-        little = paired & latin.contains("\0") & (_zeros(odd) >= ZEROS) & (_zeros(even) <= OTHERS) & _whole(latin, False)
-        big = paired & latin.contains("\0") & (_zeros(even) >= ZEROS) & (_zeros(odd) <= OTHERS) & _whole(latin, True)
+        latin, bytes_, wide = v["latin"], v["bytes"], v["wide"]
         marked = lambda mark: latin.startswith(mark)
         behind = lambda n: F.substring(bytes_, F.lit(n + 1), F.length(latin) - n)
         after = lambda n: F.substring(latin, F.lit(n + 1), F.length(latin) - n)
@@ -54,13 +65,16 @@ def decoded(content: Column) -> Column:
             F.when(marked("\xef\xbb\xbf") & as_utf8(behind(3)).isNotNull(), result(as_utf8(behind(3)), "utf-8"))
             .when(marked("\xff\xfe") & _whole(after(2), False), result(F.decode(behind(2), "UTF-16LE"), "utf-16le"))
             .when(marked("\xfe\xff") & _whole(after(2), True), result(F.decode(behind(2), "UTF-16BE"), "utf-16be"))
-            .when(little, result(F.decode(bytes_, "UTF-16LE"), "utf-16le"))
-            .when(big, result(F.decode(bytes_, "UTF-16BE"), "utf-16be"))
+            .when(wide == "utf-16le", result(F.decode(bytes_, "UTF-16LE"), "utf-16le"))
+            .when(wide == "utf-16be", result(F.decode(bytes_, "UTF-16BE"), "utf-16be"))
             .when(as_utf8(bytes_).isNotNull(), result(as_utf8(bytes_), "utf-8"))
             .when(latin.contains("\0"), result(F.lit(None).cast("string"), "binary"))
             .when(latin.rlike(f"[{_CODES}]"), result(F.translate(latin, _CODES, _CHARACTERS), "windows-1252"))
             .otherwise(result(latin, "iso-8859-1"))
         )
 
-    read = let(content, lambda c: let_all({"bytes": c, "latin": F.decode(c, "ISO-8859-1")}, told))
+    def read_as(c: Column) -> Column:
+        return let(F.decode(c, "ISO-8859-1"), lambda latin: let_all({"bytes": c, "latin": latin, "wide": _wide(latin)}, told))
+
+    read = let(content, read_as)
     return F.when(content.isNotNull(), read)
