@@ -1,6 +1,7 @@
 """Operators that judge each row: against plain Python on rows full of trouble."""
 
 import hashlib
+import random
 import re
 import textwrap
 from collections import Counter
@@ -8,6 +9,7 @@ from datetime import datetime, timedelta
 from math import comb, log2
 from pathlib import Path
 
+import duckdb
 import pytest
 import regex
 
@@ -468,3 +470,131 @@ def test_redacted_beside_clashing_aliases(spark):
         assert (row["new"], row["n"]) == (want, len(want))
         row = df.select("doc_id", new.alias("text"), F.length(new).alias("n")).first()
         assert (row["text"], row["n"]) == (want, len(want))
+
+
+APACHE_HEADER = """/*
+ * Copyright 2020 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the
+ * License. You may obtain a copy of the License at
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+package a;"""
+GPL_HEADER = """# This file is part of Thing.  Thing is free software: you can redistribute it and/or
+# modify it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+import a"""
+
+
+def test_headers_of_files_are_found_among_code(spark):
+    cases = {
+        APACHE_HEADER: ("Apache-2.0", "allow"),
+        GPL_HEADER.format("", "3"): ("GPL-3.0", "review"),
+        GPL_HEADER.format("", "2"): ("GPL-2.0", "review"),
+        GPL_HEADER.format("Lesser ", "2.1"): ("LGPL-2.1", "review"),
+        GPL_HEADER.format("Affero ", "3"): ("AGPL-3.0", "review"),
+        GPL_HEADER.format("", "9"): ("", "none"),
+        "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy": ("MPL-2.0", "review"),
+        "x Use of this source code is governed by a BSD-style\nlicence that can be found in the LICENSE file.": ("BSD-style", "allow"),
+        "terms of the GNU " * 20_000: ("", "none"),
+        "Licensed under the Apache License, Version 2.0 (the ": ("", "none"),
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["notices"], r["policy"]) for r in licences.scanned(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    with pytest.raises(ValueError, match="words"):
+        licences.scanned(docs, (), [("A", "allow", "too short")])
+
+
+def test_known_texts_among_words_are_those_that_contain_finds(spark):
+    """Against plain Python, over few words, so that texts begin and end within each other and again and again."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    full = [(f"L{i}", "allow", t) for i, t in enumerate(dict.fromkeys(some(rng.randint(5, 12)) for _ in range(25)))]
+    texts = [some(rng.randint(0, 60)) for _ in range(200)]
+    rows = licences.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (), full).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["notices"] == ",".join(sorted(n for n, _, t in full if f" {t} " in f" {text} "))  # a text of one line gives that line too
+        assert r["license"] == next((n for n, _, t in full if t == text), None)
+
+
+def spdx_plainly(parts, ranks):
+    """Ids and rank by recursive descent."""
+    ids, at = [], 0
+
+    def operand():
+        nonlocal at
+        if at < len(parts) and parts[at] == "(":
+            at += 1
+            value = either()
+            at += 1
+        else:
+            ids.append(re.sub(r"(\+|-only|-or-later)$", "", parts[at].lower()))
+            at += 1
+            value = ranks.get(ids[-1], 2)
+            if at < len(parts) and parts[at] == "WITH":
+                at += 2
+        return value
+
+    def both():
+        nonlocal at
+        value = operand()
+        while at < len(parts) and parts[at] == "AND":
+            at += 1
+            value = max(value, operand())
+        return value
+
+    def either():
+        nonlocal at
+        value = both()
+        while at < len(parts) and parts[at] == "OR":
+            at += 1
+            value = min(value, both())
+        return value
+
+    return either(), ids
+
+
+def test_spdx_expressions_against_recursive_descent(spark):
+    rng, ranks = random.Random(11), {"mit": 1, "isc": 1, "gpl-3.0": 2, "cc-by-nc-4.0": 3}
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return [rng.choice(["MIT", "ISC", "GPL-3.0-or-later", "GPL-3.0+", "CC-BY-NC-4.0", "Other-1.0"]), *(["WITH", "Some-exception"] if rng.random() < 0.2 else [])]
+        left, right = expression(depth - 1), expression(depth - 1)
+        out = [*left, rng.choice(["AND", "OR"]), *right]
+        return ["(", *out, ")"] if rng.random() < 0.5 else out
+
+    cases = [expression(rng.randint(0, 4)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(c).replace("( ", "(")) for i, c in enumerate(cases)], "i long, e string")
+    got = {r["i"]: (r["v"]["rank"], r["v"]["ids"]) for r in docs.select("i", licences.spdx(F.col("e"), ranks).alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [spdx_plainly(c, ranks) for c in cases]
+    lines = {
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;": ("Apache-2.0,MIT", "allow"),
+        "<!-- SPDX-License-Identifier: MIT AND CC-BY-NC-4.0-->": ("CC-BY-NC-4.0,MIT", "forbid"),
+        "spdx-license-identifier: unknown": ("", "none"),
+        "SPDX-License-Identifier: MIT AND (": ("MIT", "allow"),
+        "SPDX-License-Identifier: ) MIT x": ("", "none"),
+        "SPDX-License-Identifier:\nMIT": ("", "none"),
+        "SPDX-License-Identifier: ISC and more\nSPDX-License-Identifier: GPL-3.0": ("GPL-3.0,ISC", "review"),
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["notices"], r["policy"]) for r in licences.scanned(docs).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+
+
+def test_licence_sql_knows_full_texts_and_headers(spark):
+    """DuckDB and Spark over every licence file whole, among code and cut, over headers, and over rows that are hard."""
+    texts = [t for _, _, t in licences.full_texts()] + [APACHE_HEADER, GPL_HEADER.format("", "3"), *nasty.TEXTS]
+    texts += [f"A readme\n{t}\nCopyright (c) 2020 X\nint main() {{}}" for t in texts if t] + [t[: len(t) // 2] for t in texts if t]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        want = con.execute(licences.duckdb_sql()).fetchall()
+    got = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "license", "notices", "policy").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
