@@ -579,7 +579,7 @@ def test_spdx_expressions_against_recursive_descent(spark):
         "spdx-license-identifier: unknown": ("", "none"),
         "SPDX-License-Identifier: MIT AND (": ("MIT", "allow"),
         "SPDX-License-Identifier: ) MIT x": ("", "none"),
-        "SPDX-License-Identifier:\nMIT": ("", "none"),
+        "SPDX-License-Identifier:\nMIT\nx": ("", "none"),
         "SPDX-License-Identifier: ISC and more\nSPDX-License-Identifier: GPL-3.0": ("GPL-3.0,ISC", "review"),
     }
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
