@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import code, extra, graphs, logs, more, retrieval, review, spans, surface
+from loomspark.plans import code, extra, graphs, history, logs, more, retrieval, review, spans, surface
 
-MODULES: tuple = (retrieval, logs, graphs, review, more, extra, code, spans, surface)
+MODULES: tuple = (retrieval, logs, graphs, review, more, extra, code, spans, surface, history)
 
 
 def queries() -> dict:
