@@ -67,13 +67,17 @@ files AS (
     UNION ALL SELECT 'src/region_' || r_regionkey || '.rs', 'rs', 'region_' || r_regionkey, '' FROM region)"""
 
 
-def _imports(files: DataFrame) -> DataFrame:
-    """source, stem of each import of each file, by the file's language."""
+def _stems() -> Column:
+    """The distinct stems of what a file imports, by its language."""
     found = F.array().cast("array<string>")
     for language in parse.IMPORTS:
         found = F.when(F.col("language") == language, parse.imported(F.col("text"), language)).otherwise(found)
-    each = files.select(F.col("id").alias("source"), F.explode(found).alias("module"))
-    return each.select("source", parse.stem(F.col("module")).alias("stem")).distinct()
+    return F.array_distinct(F.transform(found, parse.stem))
+
+
+def _imports(files: DataFrame) -> DataFrame:
+    """source, stem of each import of each file; a pair comes several times only where an id does."""
+    return files.select(F.col("id").alias("source"), F.explode(_stems()).alias("stem"))
 
 
 def _edges(files: DataFrame) -> DataFrame:
@@ -158,16 +162,26 @@ def batch_context(spark: SparkSession, d: str) -> DataFrame:
     return out.fillna("", ["imports", "used_by"])
 
 
-def batch_import_map(spark: SparkSession, d: str) -> DataFrame:
-    """Imports of a batch held against the names in it, by prefix: how many names begin with what each file imports.
+def _prefix_counts(rows: DataFrame) -> DataFrame:
+    """source, batch, n_names: to rows (id, batch, name, stems) how many names of its batch begin with one of its stems.
 
-    Names are given by each of their beginnings, so that the join is by equality."""
-    rows = _batches(spark, d)
-    asked = _imports(rows).join(rows.select(F.col("id").alias("source"), "batch"), "source")
+    Names are counted by each of their beginnings before the join, so that no name is paired with a file. A stem that begins with another
+    one of its file finds no further names, and the names of the remaining stems are disjoint: the counts add up. The join is told to
+    sort: what is small when it is shuffled in compressed form may be far too large to be gathered and sent to all.
+    """
     heads = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring("name", F.lit(1), n))
-    names = rows.select(F.col("batch").alias("b2"), "name", F.explode(heads).alias("head"))
-    hits = asked.join(names, (F.col("batch") == F.col("b2")) & (F.col("stem") == F.col("head")))
-    return hits.groupBy("source", "batch").agg(F.countDistinct("name").alias("n_names"))
+    names = rows.where("name <> ''").select("batch", "name").distinct()
+    counts = names.select("batch", F.explode(heads).alias("stem")).groupBy("batch", "stem").agg(F.count("*").alias("n"))
+    files = rows.groupBy(F.col("id").alias("source"), "batch").agg(F.flatten(F.collect_set("stems")).alias("stems"))
+    stems = files.select("source", "batch", F.filter(F.array_distinct("stems"), lambda s: s != "").alias("stems"))
+    shortest = F.expr("filter(stems, s -> not exists(stems, t -> t <> s and startswith(s, t)))")
+    asked = stems.select("source", "batch", F.explode(shortest).alias("stem"))
+    return asked.join(counts.hint("merge"), ["batch", "stem"]).groupBy("source", "batch").agg(F.sum("n").alias("n_names"))
+
+
+def batch_import_map(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of a batch held against the names in it, by prefix: how many names begin with what each file imports."""
+    return _prefix_counts(_batches(spark, d).select("id", "batch", "name", _stems().alias("stems")))
 
 
 def _review(spark: SparkSession, d: str) -> DataFrame:

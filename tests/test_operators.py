@@ -177,3 +177,19 @@ def test_dense_in_blocks_is_as_in_one(spark, monkeypatch):
     monkeypatch.setattr(dense, "ROWS", 9)
     monkeypatch.setattr(dense, "QUERIES", 2)
     assert found() == want and len(want) == 18
+
+
+def test_names_by_prefix_are_counted_before_they_meet_files(spark):
+    """Stems that begin with another, empty ones, names and ids that come twice; nothing is gathered on the driver for the join."""
+    from loomspark.plans.code import _prefix_counts
+
+    rows = [("a", 1, "part_1", ["part_1", "part_11", ""]), ("a", 1, "part_1", ["or", "part_1"]), ("b", 1, "part_11", ["x"]), ("c", 1, "order_1", ["part"]), ("d", 2, "part_1", ["part_11", "part_1", None]), ("e", 2, "part_12", [])]
+    df = spark.createDataFrame(rows, "id string, batch long, name string, stems array<string>")
+    want = {}
+    for i, batch, _, _ in rows:
+        stems = {s for r in rows if r[:2] == (i, batch) for s in r[3] if s}
+        n = len({r[2] for r in rows if r[1] == batch and any(r[2].startswith(s) for s in stems)})
+        want |= {(i, batch): n} if n else {}
+    got = _prefix_counts(df)
+    assert {(r["source"], r["batch"]): r["n_names"] for r in got.collect()} == want
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
