@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import code_tokens
+from loomspark.functions.tokens import token_sets
 from loomspark.operators.lexical import EPSILON, Index
 from loomspark.session import checkpointed
 
@@ -32,7 +32,7 @@ def _read(spark: SparkSession, folder: str, part: str, version: int, of: type |
 
 def start(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> int:
     """The first version: all documents. Keys must be unique and not null."""
-    tokens = checkpointed(docs.select(key, *carry, code_tokens(F.col(text)).alias("tokens")))
+    tokens = checkpointed(docs.select(key, *carry, token_sets(F.col(text)).alias("tokens")))
     _write(tokens, folder, "tokens", 0)
     _write(tokens.select(key).where("false"), folder, "gone", 0)
     _write(_frequencies(tokens, 1), folder, "changes", 0)
@@ -68,7 +68,7 @@ def advance(docs: DataFrame, folder: str, version: int, key: str = "doc_id", tex
     to the document frequencies."""
     spark = docs.sparkSession
     steps = checkpointed(plan(docs, folder, version, key, text))
-    fresh = docs.join(steps.where("action <> 'removed'").select(key), key, "left_semi").select(key, *carry, code_tokens(F.col(text)).alias("tokens"))
+    fresh = docs.join(steps.where("action <> 'removed'").select(key), key, "left_semi").select(key, *carry, token_sets(F.col(text)).alias("tokens"))
     fresh = checkpointed(fresh)
     gone = steps.where("action <> 'new'").select(key)
     old = live(spark, folder, version, key).join(gone, key, "left_semi")
