@@ -44,10 +44,12 @@ def diverse(candidates: DataFrame, k: int = 8, trade: float = 0.5) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(choose, "query_id long, id long, pick int")
 
 
-def hash_embedding(rows: DataFrame, key: str, tokens: Column, dims: int = 384, most: int = 256) -> DataFrame:
-    """key, bucket, weight, dropped: the entries of a signed hashing embedding of length 1 of each row's first tokens, in the order given, by
-    md5; dropped tells how many tokens are beyond them."""
-    named = rows.select(key, tokens.alias("t")).select(key, F.slice("t", 1, most).alias("t"), F.greatest(F.size("t") - most, F.lit(0)).alias("dropped"))
+def hash_embedding(rows: DataFrame, key: str, tokens: Column, dims: int = 384, most: int | None = None) -> DataFrame:
+    """key, bucket, weight, dropped: the entries of a signed hashing embedding of length 1 of each row's tokens, by md5. With most, of its
+    first ones alone, in the order given; dropped tells how many tokens are beyond them."""
+    named = rows.select(key, tokens.alias("t"), F.lit(0).alias("dropped"))
+    if most is not None:
+        named = named.select(key, F.slice("t", 1, most).alias("t"), F.greatest(F.size("t") - most, F.lit(0)).alias("dropped"))
     each = named.select(key, "dropped", F.explode("t").alias("t")).select(key, "dropped", F.md5("t").alias("h"))
     number = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("long")
     sums = each.select(key, "dropped", (number(1, 8) % dims).cast("int").alias("bucket"), F.when(number(9, 1) >= 8, -1).otherwise(1).alias("sign")).groupBy(key, "bucket").agg(F.sum("sign").alias("s"), F.max("dropped").alias("dropped"))

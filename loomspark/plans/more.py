@@ -30,10 +30,10 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Signed hashing embeddings of turns, of their first 40 words in the order of the text, and how many are left out."""
+    """Signed hashing embeddings of turns, of all their words; none is left out."""
     words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower)
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("t"))
-    return compare.hash_embedding(turns, "id", F.col("t"), most=40)
+    return compare.hash_embedding(turns, "id", F.col("t"))
 
 
 def turn_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,7 @@ QUERIES = {
         w AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1613)) AS s FROM documents WHERE length(text) > 0), k AS (SELECT doc_id, {tok('substr(text, s + 1, least(s + 1792, length(text)) - s)')} AS t FROM w WHERE s = 0 OR s - 1613 + 1792 < length(text)),
         b AS (SELECT item_id, doc_id, round(max(len(list_intersect(q, t)) / len(q)), 6) AS score FROM c JOIN iq USING (item_id) JOIN k USING (doc_id) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM b) SELECT * FROM r WHERE rank <= 5"""),
     "mmr_select": (mmr_select, None),
-    "hash_embedding": (hash_embedding, """WITH w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS l FROM conversations), t AS (SELECT id, greatest(len(l) - 40, 0) AS dropped, unnest(l[1:40]) AS t FROM w), h AS (SELECT id, dropped, md5(lower(t)) AS h FROM t),
+    "hash_embedding": (hash_embedding, """WITH w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS l FROM conversations), t AS (SELECT id, 0 AS dropped, unnest(l) AS t FROM w), h AS (SELECT id, dropped, md5(lower(t)) AS h FROM t),
         s AS (SELECT id, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 384 AS INTEGER) AS bucket, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN -1 ELSE 1 END) AS s, CAST(max(dropped) AS INTEGER) AS dropped FROM h GROUP BY 1, 2)
         SELECT id, bucket, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) AS weight, dropped FROM s QUALIFY s <> 0"""),
     "turn_changes": (turn_changes, None),

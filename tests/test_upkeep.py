@@ -103,3 +103,17 @@ def test_embedding_keeps_the_order_of_the_text(spark):
         got.setdefault(r["id"], {})[r["bucket"]] = r["weight"]
         assert r["dropped"] == (1 if r["id"] == 1 else 0)
     assert got[1] == got[2]
+
+
+def test_embedding_has_all_words_of_a_turn(spark, tmp_path):
+    """Words beyond the fortieth count: turns that differ in their last word alone differ, and nothing is told as dropped."""
+    from loomspark.plans.more import hash_embedding
+
+    words = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, 0, f"{words} alpha"), (2, 0, f"{words} beta"), (3, 0, f"{words} ALPHA"), (4, 0, None), (5, 0, "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {}
+    for r in hash_embedding(spark, str(tmp_path)).collect():
+        got.setdefault(r["id"], {})[r["bucket"]] = r["weight"]
+        assert r["dropped"] == 0
+    assert got[1000] == got[3000] != got[2000] and set(got) == {1000, 2000, 3000}
