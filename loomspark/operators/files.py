@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +28,27 @@ def fitted(rows: DataFrame, by: str, order: str, size: str, budget: int) -> Data
     return rows.select(by, F.array_join(F.transform(kept, lambda x: x["o"].cast("string")), ",").alias("kept"), total.alias("used"))
 
 
+def _merged(parts: list[str | None], least: int, most: int) -> str | None:
+    """Pieces are gathered and joined once; only the last ``most`` characters so far are compared."""
+    pieces, tail = [], ""
+    for x in parts:
+        if x is None:
+            return None
+        sizes = range(min(most, len(tail), len(x)), least - 1, -1)
+        cut = next((n for n in sizes if tail.endswith(x[:n])), 0)
+        new = x[cut:] if cut or not tail else "\n" + x
+        pieces.append(new)
+        tail = (tail + new[-most:])[-most:]
+    return "".join(pieces)
+
+
 def merged(parts: Column, least: int = 20, most: int = 200) -> Column:
     """One text of parts in order, without the longest overlap of 20 to 200 characters between neighbours."""
 
-    def step(a, x):
-        sizes = F.sequence(F.lit(most), F.lit(least), F.lit(-1))
-        same = F.filter(sizes, lambda n: (n <= F.length(x)) & (n <= F.length(a)) & (F.right(a, n) == F.left(x, n)))
-        cut = F.coalesce(F.get(same, F.lit(0)), F.lit(0))
-        return F.concat(a, F.when(cut > 0, F.substring(x, cut + 1, F.length(x))).when(a == "", x).otherwise(F.concat(F.lit("\n"), x)))
+    def merge(rows: pa.Array) -> pa.Array:
+        return pa.array([_merged(x.as_py(), least, most) if x.is_valid else None for x in rows], pa.string())
 
-    return F.aggregate(parts, F.lit(""), step)
+    return F.arrow_udf(merge, "string")(parts)
 
 
 def markdown(rows: DataFrame, by: str, order: str, text: str, language: str) -> DataFrame:

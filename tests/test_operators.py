@@ -193,3 +193,30 @@ def test_names_by_prefix_are_counted_before_they_meet_files(spark):
     got = _prefix_counts(df)
     assert {(r["source"], r["batch"]): r["n_names"] for r in got.collect()} == want
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_chunks_of_a_long_text(spark):
+    """As stated by the folding expression: overlaps in any place, short and empty parts, nulls; long texts take time in proportion."""
+    import random
+    import time
+
+    from loomspark.operators import files
+
+    def plain(parts):
+        a = ""
+        for x in parts:
+            cut = next((n for n in range(200, 19, -1) if n <= len(x) and n <= len(a) and a[-n:] == x[:n]), 0)
+            a += x[cut:] if cut or a == "" else "\n" + x
+        return a
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abé ") for _ in range(n)) for n in (0, 1, 19, 20, 21, 199, 200, 201, 900, 2500)]
+    cases = [[t[max(0, i - k) : i + step] for i in range(0, len(t), step)] for t in base for step, k in ((5, 25), (90, 20), (90, 19), (300, 200), (300, 201), (810, 90))]
+    cases += [[], ["", "", "a"], ["a", "", "b"], ["x" * 50, "x" * 300, "x" * 10], ["ab" * 200, "ab" * 30, "c"]]
+    df = spark.createDataFrame(list(enumerate(cases)) + [(-1, None), (-2, ["a", None, "b"])], "id int, p array<string>")
+    got = {r["id"]: r["m"] for r in df.select("id", files.merged(F.col("p")).alias("m")).collect()}
+    assert got == {i: plain(c) for i, c in enumerate(cases)} | {-1: None, -2: None}
+    long = "".join(rng.choice("abcdefgh") for _ in range(900_000))
+    parts = [long[i : i + 900] for i in range(0, len(long), 810)]
+    df, began = spark.createDataFrame([(parts,)], "p array<string>"), time.perf_counter()
+    assert df.select(files.merged(F.col("p"))).first()[0] == long and time.perf_counter() - began < 20
