@@ -18,7 +18,10 @@ def graph_hints(spark: SparkSession, d: str) -> DataFrame:
     named = nodes.where("kind in ('region', 'nation')").select("id", F.explode(F.array_distinct(F.split(F.lower("label"), "[^a-z0-9]+"))).alias("w"))
     hits = words.join(named, "w").select("q", "id").distinct()
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("near")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("near")))
-    near = hits.join(both, "id").select("q", "near").distinct().join(nodes.select(F.col("id").alias("near"), "label"), "near")
+    # Hits are pairs of two tables of fixed size: they go to all tasks, so that no edge moves but those of a hit. Labels come by a table of the
+    # neighbours, not by a sort of all nodes, nor by gathering them where they are small in compressed form alone.
+    near = both.join(F.broadcast(hits), "id").select("q", "near").distinct()
+    near = near.hint("shuffle_hash").join(nodes.select(F.col("id").alias("near"), "label"), "near")
     return near.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("label", "near"))).where("nth <= 5").select("q", "nth", "label")
 
 

@@ -220,3 +220,12 @@ def test_merged_chunks_of_a_long_text(spark):
     parts = [long[i : i + 900] for i in range(0, len(long), 810)]
     df, began = spark.createDataFrame([(parts,)], "p array<string>"), time.perf_counter()
     assert df.select(files.merged(F.col("p"))).first()[0] == long and time.perf_counter() - began < 20
+
+
+def test_hints_neither_sort_nor_gather_all_nodes(spark):
+    """All nodes meet the neighbours of the hits by a hash table of those."""
+    from loomspark.plans.extra import graph_hints
+    from tests.conftest import SF
+
+    plan = graph_hints(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin [near" not in plan
