@@ -21,6 +21,8 @@ BROADCAST_TOKENS = 500_000
 BROADCAST_BYTES = 32 << 20
 #: Pairs of a document and a query's token that a task adds up at once.
 PAIRS = 4_000_000
+#: Documents times tokens of texts that a task marks at once (a byte each).
+CELLS = 32 << 20
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -140,6 +142,16 @@ def _matrix(hits: pa.Table, asked: pa.Table, key: str, query_key: str, within: s
     return pa.table(out | {"score": pa.array(scores[rows, columns])})
 
 
+def _high(scores: np.ndarray, group: np.ndarray, k: int | None) -> np.ndarray:
+    """The places of all scores above 0 that are no lower than the k-th of their column and group; ties stay in."""
+    over = scores > 0
+    for g in np.flatnonzero(np.bincount(group) > k) if k is not None else ():
+        rows = np.flatnonzero(group == g)
+        own = scores[rows]
+        over[rows] &= own >= np.partition(own, len(rows) - k, axis=0)[len(rows) - k]
+    return np.flatnonzero(over)
+
+
 def _beside(index: Index, rows: DataFrame, asked: DataFrame, query_key: str, within: str | None, k: int | None, schema: str) -> DataFrame:
     """Scores of all rows of the index for queries that every task has: nothing of the corpus moves but what is found."""
     table = asked.select(query_key, "token", "idf").toArrow()  # of a size that was measured
@@ -174,9 +186,14 @@ def _beside(index: Index, rows: DataFrame, asked: DataFrame, query_key: str, wit
                     continue
                 at = np.repeat(edges[found[lo:hi]] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
                 row = np.repeat(doc[lo:hi], each) - a
-                pair, place = np.unique(row * m + of[at], return_inverse=True)
-                value = np.round(np.bincount(place, idf[at] * w[row + a]), 6)
-                pair, value = pair[value > 0], value[value > 0]
+                if (b - a) * m <= 2 * len(at):  # most documents meet most queries: a matrix takes no more room than the pairs, and needs no sort
+                    value = np.round(np.bincount(row * m + of[at], idf[at] * w[row + a], (b - a) * m), 6)
+                    pair = _high(value.reshape(b - a, m), group[a:b], k)
+                    value = value[pair]
+                else:
+                    pair, place = np.unique(row * m + of[at], return_inverse=True)
+                    value = np.round(np.bincount(place, idf[at] * w[row + a]), 6)
+                    pair, value = pair[value > 0], value[value > 0]
                 d, q = a + pair // m, pair % m
                 # The best k of each query and group: by query, group, falling score, key.
                 order = np.lexsort((ties[number[d]], -value, group[d], q))
@@ -222,6 +239,66 @@ def scored(index: Index, queries: DataFrame, query_key: str = "item_id", query_t
     return hits.groupBy("p", "q").cogroup(asked.groupBy("p", "q")).applyInArrow(lambda a, b: _matrix(a, b, key, query_key, within, k), schema)
 
 
+def _all_of(asked: pa.Table, text: str, key: str):
+    """The task of ``holding`` for texts that every task has: only documents with a text's rarest token are compared with its others."""
+    codes, texts, _ = _numbered(asked.column(text))
+    known = asked.column("idf").is_valid().to_numpy()
+    named = asked.column("token").is_valid().to_numpy()
+    lost = np.bincount(codes, named & ~known, len(texts)) > 0  # a token that no document has
+    every = np.flatnonzero(~lost & (np.bincount(codes, named, len(texts)) == 0))  # texts without tokens
+    some = named & ~lost[codes]
+    words = pc.unique(asked.column("token").filter(pa.array(some)))
+    token = pc.index_in(asked.column("token"), words).to_numpy(zero_copy_only=False)[some].astype(np.int64)
+    of, idf = codes[some].astype(np.int64), asked.column("idf").to_numpy()[some]
+    order = np.lexsort((token, -idf, of))
+    token, of = token[order], of[order]
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    with_any = np.flatnonzero(np.diff(first))
+    with_any = with_any[np.argsort(token[first[with_any]], kind="stable")]  # texts by their rarest token
+    edges = np.searchsorted(token[first[with_any]], np.arange(len(words) + 1))
+    step = max(1, CELLS // max(1, len(words)))
+
+    def held(batches):
+        for whole in batches:
+            for batch in (whole.slice(a, step) for a in range(0, whole.num_rows, step)):
+                n, tokens = batch.num_rows, batch.column("tokens")
+                sizes = pc.fill_null(tokens.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = pc.fill_null(pc.index_in(tokens.flatten(), words), -1).to_numpy(zero_copy_only=False)
+                doc, found = np.repeat(np.arange(n), sizes)[found >= 0], found[found >= 0]
+                has = np.zeros((n, len(words)), bool)
+                has[doc, found] = True
+                many = edges[found + 1] - edges[found]
+                ask = with_any[np.repeat(edges[found] - np.append(0, np.cumsum(many))[:-1], many) + np.arange(many.sum())]
+                doc = np.repeat(doc, many)
+                for nth in range(1, int(np.diff(first).max(initial=1))):
+                    at = first[ask] + nth
+                    stay = at >= first[ask + 1]
+                    stay[~stay] = has[doc[~stay], token[at[~stay]]]
+                    doc, ask = doc[stay], ask[stay]
+                doc, ask = np.append(doc, np.tile(np.arange(n), len(every))), np.append(ask, np.repeat(every, n))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(doc)), texts.take(pa.array(ask))], [key, text])
+
+    return held
+
+
+def holding(index: Index, texts: DataFrame, text: str, tokens: Column | None = None) -> DataFrame:
+    """key, text: the documents that have all tokens of a text (or those given), all documents where it has none; null holds nothing.
+
+    Where a key comes several times, its documents may be taken together: what is named has to be compared with the text itself."""
+    key = index.key
+    asked = texts.where(F.col(text).isNotNull()).select(text, F.explode_outer(code_tokens(F.col(text)) if tokens is None else tokens).alias("token")).distinct()
+    asked = checkpointed(asked.join(index.weights, "token", "left").select(text, "token", "idf"))
+    size = asked.agg(F.coalesce(F.sum(F.octet_length(text) + F.coalesce(F.octet_length("token"), F.lit(0)) + 24), F.lit(0))).first()[0]  # one number
+    if size <= BROADCAST_BYTES:
+        schema = f"{key} {index.tokens.schema[key].dataType.simpleString()}, {text} string"
+        task = asked.toArrow()  # of a size that was measured
+        return index.tokens.select(key, "tokens").mapInArrow(lambda batches: _all_of(task, text, key)(batches), schema)
+    n = asked.groupBy(text).agg(F.count("token").alias("n"))
+    pairs = index.tokens.select(key, F.explode("tokens").alias("token")).join(asked.select(text, "token"), "token").groupBy(text, key).agg(F.count("*").alias("has"))
+    some = pairs.join(n, text).where("has >= n").select(key, text)
+    return some.unionByName(index.tokens.select(key).crossJoin(n.where("n = 0").select(text)))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
     """query_key, key, score (6 decimals) of all documents that score above 0."""
     return scored(Index.of(docs, key, text), queries, query_key, query_text)

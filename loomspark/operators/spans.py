@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.lookup import small
+
 #: Length of the stretches in which intervals are swept.
 STRETCH = 65_536
 
@@ -56,13 +58,13 @@ def localized(asked: DataFrame, units: DataFrame, k: int = 5) -> DataFrame:
     some = asked.select("q", F.filter(F.coalesce("symbols", F.array().cast("array<string>")), lambda s: s != "").alias("symbols"))
     legs = units.select("leg").distinct()
     # Symbols are few; the texts of units stay where they are until they have been searched.
-    held = units.where(F.col("rank") <= k).join(F.broadcast(some) if _small(some) else some, "q")
+    held = units.where(F.col("rank") <= k).join(F.broadcast(some) if small(some) else some, "q")
     looked = held.select("leg", "q", "rank", (F.col("right") & F.exists("symbols", has(F.col("text")))).alias("is"), F.filter("symbols", has(F.col("parent"))).alias("seen"))
     first = F.min(F.when(F.col("is"), F.col("rank")))
     per = looked.groupBy("leg", "q").agg(first.alias("first"), F.count_if("is").alias("n_right"), F.count("*").alias("n_units"))
     recalled = looked.select("leg", "q", F.explode("seen").alias("s")).distinct().groupBy("leg", "q").agg(F.count("*").alias("n_seen"))
     n = some.select("q", F.size(F.array_distinct("symbols")).alias("n_symbols"))
-    rows = legs.join(F.broadcast(n), how="cross") if _small(n) else legs.join(n, how="cross")  # as many rows as legs times queries: what is reported on
+    rows = legs.join(F.broadcast(n), how="cross") if small(n) else legs.join(n, how="cross")  # as many rows as legs times queries: what is reported on
     rows = rows.join(per, ["leg", "q"], "left").join(recalled, ["leg", "q"], "left")
     scored: Column = F.col("n_symbols") > 0
     mean = lambda value: F.avg(F.when(scored, value))
@@ -74,9 +76,3 @@ def localized(asked: DataFrame, units: DataFrame, k: int = 5) -> DataFrame:
         F.round(100 * mean(F.col("n_right") / F.col("n_units")), 4).alias("span_precision_at_k"),
         F.round(100 * F.sum(F.when(scored, F.coalesce("n_seen", F.lit(0)))) / F.nullif(F.sum("n_symbols"), F.lit(0)), 4).alias("symbol_recall"),
     )
-
-
-def _small(df: DataFrame, most: int = 16 << 20) -> bool:
-    """Whether the rows take no more than so many bytes, roughly as text."""
-    size = df.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))) + 16), F.lit(0))).first()[0]  # one number
-    return size <= most

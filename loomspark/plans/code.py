@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import parse
 from loomspark.functions import text as T
-from loomspark.operators import fusion, graph, lexical, logs, query, rules
+from loomspark.operators import fusion, graph, lexical, logs, lookup, query, rules
 from loomspark.plans import review
 from loomspark.plans.retrieval import BM25_SQL
+from loomspark.session import checkpointed
 from loomspark.sources.tables import table
 
 
@@ -292,14 +293,14 @@ def leg_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Hit, reciprocal rank and precision of three legs of retrieval over the same questions."""
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     index = lexical.Index.of(docs, carry=("source",))
-    top = lexical.search(index, items, 15)
-    sources = docs.select("doc_id", "source")
+    top = checkpointed(lexical.search(index, items, 15))
+    sources = lookup.named(docs.select("doc_id", "source"), top, "doc_id")
     legs = {
         "lexical": top,
         "diversified": fusion.diversified(top.join(sources, "doc_id"), "item_id", "source"),
         "best_of_source": lexical.ranked(lexical.search(index, items, 1, within="source").drop("rank"), "item_id", "doc_id", k=5),
     }
-    truth = review.answers(index, docs, items)
+    truth = checkpointed(review.answers(index, docs, items))
     asked = items.select(F.col("item_id").alias("q"))
     named = lambda x: x.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
     return reduce(DataFrame.unionByName, [rules.retrieval_metrics(asked, named(x), truth).withColumn("leg", F.lit(leg)) for leg, x in legs.items()])

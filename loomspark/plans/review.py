@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import files, lexical, rules
+from loomspark.operators import files, lexical, lookup, rules
 from loomspark.plans.retrieval import BM25_SQL
+from loomspark.session import checkpointed
 from loomspark.sources.tables import table
 
 
@@ -123,13 +124,11 @@ def detection_metrics(spark: SparkSession, d: str) -> DataFrame:
 def answers(index: lexical.Index, docs: DataFrame, items: DataFrame) -> DataFrame:
     """q, id: the documents that hold an item's whole text, word by word.
 
-    A document that does holds all of the item's tokens, the rarest too: only documents with that one are compared."""
+    A document that does holds all of the item's tokens: only documents with all of them are compared."""
     words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(" "))
-    asked = items.select("item_id", words("text").alias("passage"), F.explode(T.code_tokens(F.col("text"))).alias("token"))
-    rarest = asked.join(index.weights, "token").groupBy("item_id", "passage").agg(F.max_by("token", F.struct("idf", "token")).alias("token"))
-    held = index.tokens.select("doc_id", F.explode("tokens").alias("token")).join(rarest, "token").select("doc_id", "item_id", "passage")
-    both = docs.select("doc_id", words("text").alias("w")).join(held, "doc_id").where(F.contains("w", F.col("passage")))
-    return both.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id")).distinct()
+    held = checkpointed(lexical.holding(index, items.select(F.col("text").alias("passage")), "passage"))
+    both = lookup.named(docs, held, "doc_id").select("doc_id", words("text").alias("w")).join(held, "doc_id").where(F.contains("w", words("passage")))
+    return both.join(items.select("item_id", F.col("text").alias("passage")), "passage").select(F.col("item_id").alias("q"), F.col("doc_id").alias("id")).distinct()
 
 
 ANSWERS = r"""w AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS w FROM documents), a AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS p FROM benchmark),
