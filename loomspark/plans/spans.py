@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import cascade, loops
 from loomspark.functions import text as T
-from loomspark.operators import lexical, spans, upkeep
+from loomspark.operators import lexical, lookup, spans, upkeep
 from loomspark.plans.retrieval import BM25_SQL, tok
-from loomspark.session import shared_folder
+from loomspark.session import checkpointed, shared_folder
 from loomspark.sources.tables import table
 
 SIZE, OVERLAP = 700, 150
@@ -64,9 +64,10 @@ def _retrieved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     long = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0)))
     by_length = F.array_sort(F.transform(long, lambda w: F.struct((-F.length(w)).alias("minus"), w.alias("w"))))
     asked = items.select(F.col("item_id").alias("q"), F.transform(F.slice(by_length, 1, 3), lambda x: x["w"]).alias("symbols"))
-    top = lexical.search(index, items, 5).select("item_id", "doc_id", F.col("rank").alias("of"))
-    rows = top.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id")
+    top = checkpointed(lexical.search(index, items, 5).select("item_id", "doc_id", F.col("rank").alias("of")))
+    rows = top.join(lookup.named(docs.select("doc_id", "text"), top, "doc_id"), "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id")
     rows = rows.select(F.col("item_id").alias("q"), F.col("doc_id").alias("file"), "of", F.col("text").alias("parent"), "passage", F.contains("text", F.col("passage")).alias("right"))
+    rows = checkpointed(rows)  # five documents of each question
     cut = rows.select("*", F.posexplode(T.window_spans(F.col("parent"), 400, 40)).alias("child", "w"))
     cut = cut.withColumn("text", F.expr("substring(parent, w.start + 1, w.stop - w.start)")).withColumn("common", F.size(F.array_intersect(T.code_tokens(F.col("text")), T.code_tokens(F.col("passage")))))
     some = lambda df, leg, rank, start, stop, text: df.select(F.lit(leg).alias("leg"), "q", rank.cast("int").alias("rank"), "file", start.alias("start"), stop.alias("stop"), "right", text.alias("text"), "parent")
@@ -74,16 +75,16 @@ def _retrieved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     best = cut.withColumn("nth", F.row_number().over(Window.partitionBy("q", "of").orderBy(F.desc("common"), "child"))).where("nth = 1")
     window = (F.col("w.start"), F.col("w.stop"), F.col("text"))
     units = [some(in_order, LEGS[0], F.col("nth"), *window), some(best, LEGS[1], F.col("of"), *window), some(rows, LEGS[2], F.col("of"), F.lit(0), F.length("parent"), F.col("parent"))]
-    # A document that holds the passage holds its rarest token, so that only those with it are looked through.
-    tokens = items.select(F.col("item_id").alias("q"), F.col("text").alias("passage"), F.explode(T.code_tokens(F.col("text"))).alias("token"))
-    rarest = tokens.join(index.weights, "token").groupBy("q", "passage").agg(F.max_by("token", F.struct("idf", "token")).alias("token"))
-    held = index.tokens.select("doc_id", F.explode("tokens").alias("token")).join(rarest, "token").select("doc_id", "q", "passage")
+    # A document that holds the passage holds the tokens of its runs, but for the first and last, which may stand within longer ones.
+    inner = T.code_tokens(F.regexp_replace("passage", "^[A-Za-z0-9]+|[A-Za-z0-9]+$", ""))
+    passages = items.select(F.col("item_id").alias("q"), F.col("text").alias("passage")).where("passage <> ''")
+    held = checkpointed(lexical.holding(index, passages, "passage", inner))
     gaps = F.expr(r"split(text, concat('\\Q', passage, '\\E'), -1)")
-    found = docs.select("doc_id", "text").join(held, "doc_id").where(F.contains("text", F.col("passage"))).select("q", F.col("doc_id").alias("file"), F.length("passage").alias("n"), F.transform(gaps, lambda g: F.length(g)).alias("gaps"))
+    found = lookup.named(docs.select("doc_id", "text"), held, "doc_id").join(held, "doc_id").where(F.contains("text", F.col("passage"))).join(passages, "passage").select("q", F.col("doc_id").alias("file"), F.length("passage").alias("n"), F.transform(gaps, lambda g: F.length(g)).alias("gaps"))
     each = found.select("q", "file", "n", "gaps", F.explode(F.sequence(F.lit(1), F.size("gaps") - 1)).alias("i"))
     start = F.expr("aggregate(slice(gaps, 1, i), 0, (s, x) -> s + x)") + (F.col("i") - 1) * F.col("n")
     true = each.select("q", "file", start.alias("start"), (start + F.col("n")).alias("stop"))
-    return asked, reduce(DataFrame.unionByName, units), true
+    return asked, checkpointed(reduce(DataFrame.unionByName, units)), true
 
 
 def span_metrics(spark: SparkSession, d: str) -> DataFrame:
