@@ -145,8 +145,8 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """The first ten hits of each item gathered by source, as citations of line spans."""
-    top = lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 10)
-    docs = table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 100 + 1).alias("start_line"), (F.col("doc_id") % 100 + F.size(F.split("text", "\n"))).alias("end_line"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("fn"), "doc_id")).alias("symbol"))
+    top = checkpointed(lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 10))
+    docs = lookup.named(table(spark, d, "documents"), top, "doc_id").select("doc_id", "source", (F.col("doc_id") % 100 + 1).alias("start_line"), (F.col("doc_id") % 100 + F.size(F.split("text", "\n"))).alias("end_line"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("fn"), "doc_id")).alias("symbol"))
     return rules.citations(top.withColumn("score", F.col("score") - 40).join(docs, "doc_id"), ["item_id", "source"])
 
 
