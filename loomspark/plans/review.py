@@ -174,8 +174,8 @@ def repo_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     """Of the twenty first hits of each item, those that fit 14,000 characters."""
-    top = lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 20)
-    sizes = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("size"))
+    top = checkpointed(lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 20))
+    sizes = lookup.named(table(spark, d, "documents"), top, "doc_id").select("doc_id", F.length("text").cast("long").alias("size"))
     return files.fitted(top.join(sizes, "doc_id"), "item_id", "rank", "size", 14_000)
 
 
