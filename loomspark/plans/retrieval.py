@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import dense, fusion, lexical, query
+from loomspark.operators import dense, fusion, lexical, lookup, query
+from loomspark.session import checkpointed
 from loomspark.sources.tables import table
 
 
@@ -40,8 +41,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _top_with_source(spark: SparkSession, d: str, k: int) -> DataFrame:
-    top = _search(spark, d, k)
-    return top.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    top = checkpointed(_search(spark, d, k))
+    return top.join(lookup.named(table(spark, d, "documents").select("doc_id", "source", "lang"), top, "doc_id"), "doc_id")
 
 
 def bm25_topk_diversified(spark: SparkSession, d: str) -> DataFrame:
