@@ -175,8 +175,8 @@ def repo_filter(spark: SparkSession, d: str) -> DataFrame:
     wanted = [f"https://host.test/{s}" for s in ("src1", "src12")]
     spelled = F.concat(F.lit(" https://host.test/"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, ".git").otherwise("/"))
     repo = T.normal_repo(spelled)
-    hits = _search(spark, d, 200, ("source",), where=repo.isin(wanted) | F.lower("source").contains("src7"))
-    named = table(spark, d, "documents").select("doc_id", repo.alias("repo"))
+    hits = checkpointed(_search(spark, d, 200, ("source",), where=repo.isin(wanted) | F.lower("source").contains("src7")))
+    named = lookup.named(table(spark, d, "documents"), hits, "doc_id").select("doc_id", repo.alias("repo"))
     return hits.join(named, "doc_id").select("item_id", "doc_id", "repo", "rank")
 
 
