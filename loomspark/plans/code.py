@@ -247,11 +247,14 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     return each.select("s_suppkey", "ecosystem", F.col("p.name").alias("name"), F.col("p.version").alias("version"))
 
 
+def _windows(docs: DataFrame) -> DataFrame:
+    rows = docs.where("text is not null").select("doc_id", F.length("text").alias("parent_chars"), F.posexplode(T.window_spans(F.col("text"), 400, 40)).alias("child", "w"))
+    return rows.select("doc_id", "child", F.col("w.start").alias("start"), F.col("w.stop").alias("stop"), "parent_chars")
+
+
 def parent_windows(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, child, start, stop, parent_chars: windows of 400 characters that know their parent."""
-    docs = table(spark, d, "documents").where("text is not null")
-    rows = docs.select("doc_id", F.length("text").alias("parent_chars"), F.posexplode(T.window_spans(F.col("text"), 400, 40)).alias("child", "w"))
-    return rows.select("doc_id", "child", F.col("w.start").alias("start"), F.col("w.stop").alias("stop"), "parent_chars")
+    return _windows(table(spark, d, "documents"))
 
 
 CHILDREN = """w AS (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 360)) AS s FROM documents WHERE text IS NOT NULL AND length(text) > 0),
@@ -261,9 +264,10 @@ CHILDREN = """w AS (SELECT doc_id, length(text) AS n, unnest(range(0, length(tex
 
 def parent_expansion(spark: SparkSession, d: str) -> DataFrame:
     """The ten first documents of each item, each once, as parents: the digest of their text and how many windows stand for them."""
-    top = lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 10).select("item_id", "doc_id", "rank")
-    parents = table(spark, d, "documents").select("doc_id", F.md5("text").alias("parent_md5"))
-    n = parent_windows(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_children"))
+    top = checkpointed(lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), 10).select("item_id", "doc_id", "rank"))
+    docs = lookup.named(table(spark, d, "documents").select("doc_id", "text"), top, "doc_id")
+    parents = docs.select("doc_id", F.md5("text").alias("parent_md5"))
+    n = _windows(docs).groupBy("doc_id").agg(F.count("*").alias("n_children"))
     return top.join(parents, "doc_id").join(n, "doc_id").select("item_id", "doc_id", "rank", "parent_md5", "n_children")
 
 
