@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import code_tokens
 from loomspark.operators import lexical, lookup
-from loomspark.plans import review
+from loomspark.plans import review, spans
 
 
 def test_documents_that_hold_all_tokens(spark, monkeypatch):
@@ -52,3 +52,10 @@ def test_high_scores_of_a_matrix_keep_all_ties():
                 own = [(scores[i, q], i * 7 + q) for i in range(30) if group[i] == g and scores[i, q] > 0]
                 edge = sorted((s for s, _ in own), reverse=True)[: k or len(own)][-1:] or [0]
                 assert {c for s, c in own if s >= edge[0]} == {c for s, c in own if c in kept}
+
+
+def test_true_spans_may_begin_within_words(spark, tmp_path):
+    spark.createDataFrame([(1, "hello worlds and hello worlds"), (2, "hello there"), (3, "?! hello")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "llo worlds an"), (8, "?!"), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    true = spans._retrieved(spark, str(tmp_path))[2]
+    assert sorted(map(tuple, true.select("q", "file", "start", "stop").collect())) == [(7, 1, 2, 15), (8, 3, 0, 2)]
