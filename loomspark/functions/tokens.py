@@ -8,8 +8,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Bytes of text that are cut at once, whole texts at least.
 STRETCH = 4 << 20
@@ -40,36 +41,69 @@ def _of_runs(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.searchsorted(owner, np.arange(len(runs) + 1)), number, coded.dictionary
 
 
-def _cut(texts: pa.StringArray) -> pa.ListArray:
-    """The distinct tokens of each text; none of them is null."""
+def _runs(texts: pa.StringArray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The text that each run of letters and digits stands in, and the runs; none goes on from one text into the next."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets -= offsets[0]
-    inside = _RUN[data]
-    # No run goes on from one text into the next.
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before, after = np.append(False, inside[:-1])[: len(data)], np.append(inside[1:], False)[: len(data)]
-    starts, stops = np.flatnonzero(inside & (edge[:-1] | ~before)), np.flatnonzero(inside & (edge[1:] | ~after)) + 1
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _RUN[data]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    within = offsets[inside[offsets] & inside[offsets + 1]]  # where a text ends and the next begins inside a run
+    if len(within):
+        turns = np.sort(np.append(turns, np.repeat(np.unique(within), 2)))
+    starts, stops = turns[::2], turns[1::2]
     ends = np.append(0, np.cumsum(stops - starts)).astype(np.int32)
-    runs = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data[inside])).dictionary_encode()
-    doc = np.searchsorted(offsets, starts, "right") - 1
+    runs = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data[inside[1:-1]])).dictionary_encode()
+    return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets))), runs
+
+
+def _cut(texts: pa.StringArray) -> tuple[pa.ListArray, pa.StringArray, np.ndarray]:
+    """The distinct tokens of each text, none of which is null; the tokens of all, and how many texts have each."""
+    doc, runs = _runs(texts)
     first, number, tokens = _of_runs(runs.dictionary)
     doc, run = np.divmod(_distinct(doc * max(1, len(runs.dictionary)) + runs.indices.to_numpy()), max(1, len(runs.dictionary)))
     many = first[run + 1] - first[run]
     at = np.arange(many.sum()) + np.repeat(first[run] - np.append(0, np.cumsum(many))[:-1], many)
     doc, token = np.divmod(_distinct(np.repeat(doc, many) * max(1, len(tokens)) + number[at]), max(1, len(tokens)))
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), tokens.take(pa.array(token)))
+    return pa.ListArray.from_arrays(pa.array(bounds), tokens.take(pa.array(token))), tokens, np.bincount(token, minlength=len(tokens))
 
 
-def _cut_all(texts: pa.Array) -> pa.Array:
+def _stretches(texts: pa.Array) -> list[pa.StringArray]:
+    """The texts in parts that are cut at once; null is an empty text."""
     texts = pc.fill_null(texts, "")
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     # A stretch holds whole texts, and more than its bytes only by one.
     cuts = np.flatnonzero(np.diff(np.cumsum(size) // STRETCH)) + 1
-    out = [_cut(texts.slice(a, b - a).cast(pa.string())) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
-    return pa.concat_arrays(out)
+    return [texts.slice(a, b - a).cast(pa.string()) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+
+
+def _cut_all(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_cut(x)[0] for x in _stretches(texts)])
+
+
+def counted(rows: DataFrame, text: str) -> DataFrame:
+    """The other columns of the rows, tokens, many: a row per text with its distinct tokens (many is null), and a row per stretch of texts
+    with all tokens of it and how many of its texts have each (the other columns are null).
+
+    So texts are cut and tokens counted in one pass, and what is left to add up is a row per token of a stretch, not of a text."""
+    others = [c for c in rows.columns if c != text]
+
+    def cut(batches):
+        for batch in batches:
+            at = 0
+            for part in _stretches(batch.column(text)):
+                held, tokens, many = _cut(part)
+                own = [batch.column(c).slice(at, len(part)) for c in others]
+                at += len(part)
+                names = [*others, "tokens", "many"]
+                yield pa.RecordBatch.from_arrays([*own, held, pa.nulls(len(part), pa.list_(pa.int64()))], names)
+                both = [pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), x) for x in (tokens, pa.array(many, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x.type) for x in own), *both], names)
+
+    schema = StructType([StructField(c, rows.schema[c].dataType) for c in others]).add("tokens", ArrayType(StringType())).add("many", ArrayType(LongType()))
+    return rows.mapInArrow(cut, schema)
 
 
 def token_sets(text: Column) -> Column:

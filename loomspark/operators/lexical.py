@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import code_tokens
-from loomspark.functions.tokens import token_sets
+from loomspark.functions.tokens import counted
 from loomspark.session import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -55,9 +55,11 @@ class Index:
         # A small table may be one group of rows in one file: its texts are dealt out, so that all cores cut them. Large ones lie in many parts as they are.
         cores = docs.sparkSession.sparkContext.defaultParallelism
         rows = rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
-        tokens = checkpointed(rows.select(key, *carry, token_sets(F.col("__text")).alias("tokens")))
+        both = checkpointed(counted(rows, "__text"))
+        tokens = both.where("many is null").select(key, *carry, "tokens")
         n = tokens.count()
-        held = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        each = both.where("many is not null").select(F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("many").alias("many"))))
+        held = each.groupBy("token").agg(F.sum("many").alias("df"))
         raw = checkpointed(held.select("token", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
         mean = raw.agg(F.avg("idf")).first()[0] or 0.0  # one number
         return cls(tokens, raw.select("token", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf")), key)
