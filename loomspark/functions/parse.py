@@ -27,9 +27,9 @@ def imported(text: Column, language: str) -> Column:
 def stem(module: Column) -> Column:
     """The last part of a path or dotted module (:: counts as a dot), without an extension of a path, in lower case."""
     module = F.replace(module, F.lit("::"), F.lit("."))
-    tail = F.element_at(F.split(F.regexp_replace(module, "^[.]+", ""), "[/\\\\]"), -1)
-    dotted = F.element_at(F.split(module, "\\."), -1)
-    return F.lower(F.when(module.contains("/"), F.regexp_replace(tail, r"\..*$", "")).otherwise(dotted))
+    tail = F.substring_index(F.substring_index(module, "/", -1), "\\", -1)  # leading dots stand before the last slash
+    bare = F.when(tail.contains("."), F.regexp_replace(tail, r"\..*$", "")).otherwise(tail)
+    return F.lower(F.when(module.contains("/"), bare).otherwise(F.substring_index(module, ".", -1)))
 
 
 def requirements(text: Column) -> Column:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.session import checkpointed
 
+#: Up to so many nodes have their hashes (some 40 bytes each) sent to all tasks, so that only edges into them are moved.
+SENT = 1_000_000
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with degree: edges in and out; a loop counts twice."""
-    ends = edges.select(F.col("source").alias("id")).unionAll(edges.select(F.col("target").alias("id")))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id"))  # edges are worked out once for both
     return nodes.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left").fillna(0, ["degree"])
 
 
@@ -27,18 +30,30 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
 
 
+def _into(edges: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Edges among which are all those into the n nodes asked for (id); where they are few, no others but those of equal hash."""
+    hashes = asked.select(F.xxhash64("id").alias("h")).distinct()
+    return edges.join(F.broadcast(hashes), F.xxhash64("target") == F.col("h"), "left_semi") if n <= SENT else edges
+
+
 def dependents(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """target, id, depth: what depends on each target (id), directly at depth 1 or through others; cycles end.
 
     Each round joins the newest nodes with the edges into them and drops those seen before. Rounds are as many as the longest
-    shortest path; each is written to the checkpoint folder, so plans don't grow.
+    shortest path; each is written to the checkpoint folder, so plans don't grow. Of the newest nodes only those with an edge into them
+    are looked for, and edges that lead to none of them stay where they lie.
     """
     edges = checkpointed(edges.select("source", "target").distinct())
+    ends = checkpointed(edges.select("target").distinct())
     frontier = targets.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
     seen, found, depth = frontier, [], 0
     while max_depth is None or depth < max_depth:
+        asked = checkpointed(frontier.join(ends, F.col("id") == F.col("target"), "left_semi").select("root", "id"))
+        n = asked.count()
+        if not n:
+            break
         depth += 1
-        step = frontier.join(edges, F.col("id") == F.col("target")).select("root", F.col("source").alias("id")).distinct()
+        step = _into(edges, asked, n).join(asked, F.col("id") == F.col("target")).select("root", F.col("source").alias("id")).distinct()
         frontier = checkpointed(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
@@ -76,10 +91,12 @@ def within(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     """source, target: each import (source, stem) to the first file (id, stem) of that stem that isn't itself.
 
-    That is one of the two least of the stem, so that a stem of very many files is one row of two for its imports.
+    That is one of the two least of the stem, so that a stem of very many files is one row of two for its imports. Tasks keep the two
+    least of what they read before anything is moved.
     """
-    least = files.groupBy("stem").agg(F.min("id").alias("first"))
-    other = files.join(least, "stem").where("id > first").groupBy("stem").agg(F.min("id").alias("second"))
-    each = imports.join(least.join(other, "stem", "left"), "stem")
+    order = F.dense_rank().over(Window.partitionBy("stem").orderBy("id"))
+    two = files.where("stem is not null and id is not null").select("stem", "id", order.alias("nth")).where("nth <= 2")
+    nth = lambda n: F.min(F.when(F.col("nth") == n, F.col("id")))
+    each = imports.join(two.groupBy("stem").agg(nth(1).alias("first"), nth(2).alias("second")), "stem")
     target = F.when(F.col("source") != F.col("first"), F.col("first")).otherwise(F.col("second"))
     return each.select("source", target.alias("target")).where("target is not null").distinct()

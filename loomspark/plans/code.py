@@ -68,17 +68,27 @@ files AS (
     UNION ALL SELECT 'src/region_' || r_regionkey || '.rs', 'rs', 'region_' || r_regionkey, '' FROM region)"""
 
 
-def _stems() -> Column:
-    """The distinct stems of what a file imports, by its language."""
+def _modules() -> Column:
+    """The distinct modules that a file imports, by its language."""
     found = F.array().cast("array<string>")
     for language in parse.IMPORTS:
         found = F.when(F.col("language") == language, parse.imported(F.col("text"), language)).otherwise(found)
-    return F.array_distinct(F.transform(found, parse.stem))
+    return found
+
+
+def _stems() -> Column:
+    """The distinct stems of what a file imports."""
+    return F.array_distinct(F.transform(_modules(), parse.stem))
 
 
 def _imports(files: DataFrame) -> DataFrame:
-    """source, stem of each import of each file; a pair comes several times only where an id does."""
-    return files.select(F.col("id").alias("source"), F.explode(_stems()).alias("stem"))
+    """source, stem of each import of each file (null where it has none); a pair comes several times where an id does, or where modules share a stem.
+
+    Modules are a projection of their own, which goes into each kind of files and leaves its own patterns there: all patterns in one
+    method are more than the JVM compiles. An outer explode keeps Spark from asking for the size of the modules first, by matching them again.
+    """
+    each = files.select(F.col("id").alias("source"), _modules().alias("modules")).select("source", F.explode_outer("modules").alias("module"))
+    return each.select("source", parse.stem(F.col("module")).alias("stem"))
 
 
 def _edges(files: DataFrame) -> DataFrame:
